@@ -13,6 +13,7 @@ from framewright.llm.common import read_table
 _OPERATORS = {
     "op1_mpegts": ("mpegts", "media_features", ("documents",)),
     "op2_mixing": ("mixing", "mix_documents", ("documents",)),
+    "op4_quality": ("quality", "classify", ("documents", "labels")),
     "op5_licenses": ("licenses", "scan_licenses", ("documents",)),
     "op9_chat": ("chat", "format_all", ("conversations",)),
     "op10_kdshard": ("kdshard", "shard_documents", ("documents",)),
