@@ -15,6 +15,7 @@ _OPERATORS = {
     "op2_mixing": ("mixing", "mix_documents", ("documents",)),
     "op4_quality": ("quality", "classify", ("documents", "labels")),
     "op5_licenses": ("licenses", "scan_licenses", ("documents",)),
+    "op7_decontaminate": ("decontaminate", "find_leaks", ("documents", "benchmark")),
     "op9_chat": ("chat", "format_all", ("conversations",)),
     "op10_kdshard": ("kdshard", "shard_documents", ("documents",)),
 }
