@@ -16,6 +16,7 @@ _OPERATORS = {
     "op4_quality": ("quality", "classify", ("documents", "labels")),
     "op5_licenses": ("licenses", "scan_licenses", ("documents",)),
     "op7_decontaminate": ("decontaminate", "find_leaks", ("documents", "benchmark")),
+    "op8_neardup": ("neardup", "components", ("documents",)),
     "op9_chat": ("chat", "format_all", ("conversations",)),
     "op10_kdshard": ("kdshard", "shard_documents", ("documents",)),
 }
