@@ -13,6 +13,7 @@ from framewright.llm.common import read_table
 _OPERATORS = {
     "op1_mpegts": ("mpegts", "media_features", ("documents",)),
     "op2_mixing": ("mixing", "mix_documents", ("documents",)),
+    "op3_wrappers": ("wrappers", "extract", ("pages",)),
     "op4_quality": ("quality", "classify", ("documents", "labels")),
     "op5_licenses": ("licenses", "scan_licenses", ("documents",)),
     "op7_decontaminate": ("decontaminate", "find_leaks", ("documents", "benchmark")),
