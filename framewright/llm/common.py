@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framewright.session import read_table
 
-__all__ = ["checkpointed", "read_table"]
+__all__ = ["checkpointed", "read_table", "shared_folder"]
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -19,6 +19,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framewright-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, for tables that outlive one job."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared checkpoint folder, so a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
