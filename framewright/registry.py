@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("functions.time_queries",)
 
 
 def _modules():
