@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("functions.time_queries", "operators.audio_queries")
+MODULES: tuple[str, ...] = ("operators.frame_queries", "functions.time_queries", "operators.audio_queries")
 
 
 def _modules():
