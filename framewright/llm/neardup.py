@@ -14,11 +14,13 @@ is whole. (b) Shingles that very many documents hold (common lines, passages) ma
 then common), which finds every link by the prefix principle, so that documents which only share a
 passage do not meet in its bucket.
 
-Buckets are joined in two rounds. First each set goes to the buckets of its first two shared keys
-with all its shingles; links found there are joined into components. Then buckets that still hold
-several components are joined on bitmaps alone, and pairs that could reach the threshold across
-components are counted exactly. Large buckets are dealt in blocks, and in the second round in pairs
-of blocks, so no bucket has to fit a task.
+Buckets are joined on bitmaps alone (about four bits a shingle), in two rounds. First each set
+goes to the buckets of its first two shared keys; pairs that could be linked and aren't yet connected
+by such pairs are counted exactly, and true links join components. Then every bucket that still
+holds several components is joined, and all its pairs that could be linked across components are
+counted exactly, so the first round's short cuts lose nothing. Only sets in such pairs are shipped.
+Large buckets are dealt in blocks, and in the second round in pairs of blocks, so no bucket has
+to fit a task.
 """
 
 from __future__ import annotations
@@ -99,25 +101,26 @@ def set_keys(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def keyed_sets(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, fp1, fp2, keys) per row; fp1 and fp2 are 64-bit digests of the set."""
+    """(doc_id, n, fp1, fp2, keys, map) per row: two 64-bit digests of the set, its keys and its bitmap."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f1, f2, keys = [], [], [], []
+            n, f1, f2, keys, maps = [], [], [], [], []
             for _, s in document_sets(batch.column(1)):
                 n.append(len(s))
                 f1.append(mix64(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64))
                 f2.append(mix64(s ^ np.uint64(0x5C5C)).sum(dtype=np.uint64))
                 keys.append(set_keys(s, common).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                maps.append(bitmap(s, bits_for(len(s))).tobytes() if len(s) else None)
             if n:
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), lists], names=["doc_id", "n", "fp1", "fp2", "keys"]
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), lists, pa.array(maps, pa.binary())], names=["doc_id", "n", "fp1", "fp2", "keys", "map"]
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(stream, "doc_id long, n long, fp1 long, fp2 long, keys array<long>")
+    return rows.mapInArrow(stream, "doc_id long, n long, fp1 long, fp2 long, keys array<long>, map binary")
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -213,18 +216,13 @@ class _Union:
         self.up[max(i, j)] = min(i, j)
 
 
-def join_bucket(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Links of a bucket that connect whatever is linked in it; pairs already connected are not counted again."""
+def join_sets(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """All links among these sets, by one signature tree and exact counts."""
     order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
     sizes = np.array([len(sets[k]) for k in order], np.int64)
-    bits = bits_for(int(sizes[-1]))
-    tree = SignatureTree(sizes, np.stack([bitmap(sets[k], bits) for k in order]))
-    union = _Union(len(ids))
-    for i, j in tree.pairs():
-        for x, y in zip(i.tolist(), j.tolist()):
-            if (p := union.find(x)) != (q := union.find(y)) and linked(sets[order[x]], sets[order[y]]):
-                union.join(p, q)
-                yield ids[order[x]], ids[order[y]]
+    tree = SignatureTree(sizes, np.stack([bitmap(sets[k], bits_for(int(sizes[-1]))) for k in order]))
+    found = ((order[x], order[y]) for i, j in tree.pairs() for x, y in zip(i.tolist(), j.tolist()))
+    return sorted((min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in found if linked(sets[x], sets[y]))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -261,26 +259,50 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _tree_of(rows: list[tuple]) -> tuple[np.ndarray, SignatureTree]:
+    """(ids, tree) of rows (id, size, bitmap, ..) sorted by size."""
+    maps = [np.frombuffer(r[2], np.uint64) for r in rows]
+    bits = min(m.size for m in maps) * 64
+    return np.array([r[0] for r in rows], np.int64), SignatureTree(np.array([r[1] for r in rows], np.int64), np.stack([fold(m, bits) for m in maps]))
+
+
+def _size_bands(rows: list[tuple]) -> Iterator[list[tuple]]:
+    """Rows sorted by size, cut where neighbours are too far apart to be linked."""
+    band: list[tuple] = []
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        if band and 100 * band[-1][1] < PERCENT * r[1]:
+            yield band
+            band = []
+        band.append(r)
+    yield band
+
+
 def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+    """Pairs of a block that could be linked, but none that such pairs connect already."""
     for _, rows in _groups(batches, 2):
-        found = {r[0]: r[1] for r in rows}
-        if len(found) > 1:
-            yield from join_bucket(list(found), [np.frombuffer(s, np.uint64) for s in found.values()])
+        for band in _size_bands(list({r[0]: r for r in rows}.values())):
+            if len(band) > 1:
+                ids, tree = _tree_of(band)
+                union = _Union(len(ids))
+                for i, j in tree.pairs():
+                    for x, y in zip(i.tolist(), j.tolist()):
+                        if (p := union.find(x)) != (q := union.find(y)):
+                            union.join(p, q)
+                            yield int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))
 
 
 def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
-    """Pairs across components that could be linked, of one pair of blocks (equal: within the block)."""
+    """All pairs across components that could be linked, of one pair of blocks (equal: within the block)."""
     for (_, left, right), rows in _groups(batches, 3):
-        rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: (r[2], r[0]))
-        if len({r[1] for r in rows}) < 2:
-            continue
-        ids, comps, sizes, block = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
-        maps = [np.frombuffer(r[4], np.uint64) for r in rows]
-        bits = min(m.size for m in maps) * 64
-        tree = SignatureTree(sizes, np.stack([fold(m, bits) for m in maps]))
-        for i, j in tree.pairs():
-            keep = (comps[i] != comps[j]) & ((block[i] != block[j]) if left != right else np.ones(len(i), bool))
-            yield from zip(np.minimum(ids[i[keep]], ids[j[keep]]).tolist(), np.maximum(ids[i[keep]], ids[j[keep]]).tolist())
+        for band in _size_bands(list({r[0]: r for r in rows}.values())):
+            if len({r[3] for r in band}) < 2:
+                continue
+            ids, tree = _tree_of(band)
+            comps, block = np.array([r[3] for r in band], np.int64), np.array([r[4] for r in band], np.int64)
+            for i, j in tree.pairs():
+                keep = (comps[i] != comps[j]) & ((block[i] != block[j]) if left != right else np.ones(len(i), bool))
+                a, b = ids[i[keep]], ids[j[keep]]
+                yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
 
 
 def _set_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -295,8 +317,10 @@ def _set_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(stream, "node long, set binary")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
+def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are linked."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = checkpointed(_set_bytes(docs, wanted).dropDuplicates(["node"]))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
         for batch in batches:
@@ -318,35 +342,33 @@ def components(docs: DataFrame) -> DataFrame:
     """
     keyed = checkpointed(keyed_sets(docs, common_shingles(docs)))
     filled = keyed.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = filled.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-    exploded = checkpointed(reps.select("node", "n", F.explode("keys").alias("key")))
+    reps = filled.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "keys", "map")).alias("rep"))
+    reps = checkpointed(reps.select("fp1", "fp2", "n", F.col("rep.doc_id").alias("node"), "rep.keys", "rep.map"))
+    maps = reps.select("node", "n", "map").dropDuplicates(["node"])
+    exploded = reps.select("node", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("lead")).filter("held > 1")
     members = checkpointed(exploded.join(shared, "key"))
 
     firsts = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, ROUND_KEYS).alias("own"))
-    chosen = members.join(firsts, "node").filter(F.array_contains("own", F.col("key"))).select("key", "node", "held", "lead")
+    chosen = members.join(firsts, "node").filter(F.array_contains("own", F.col("key")) | (F.col("node") == F.col("lead"))).drop("own")
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    chosen = chosen.union(members.filter("node = lead").select("key", "node", "held", "lead")).distinct()
-    chosen = chosen.withColumn(
-        "block", F.explode(F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))))
-    )
-    sets = checkpointed(_set_bytes(docs, members.select("node").distinct()).dropDuplicates(["node"]))
-    dealt = chosen.join(sets, "node").select("key", "block", "node", "set").repartition("key", "block").sortWithinPartitions("key", "block", "node")
-    links = checkpointed(dealt.mapInArrow(_pair_stream(_first_round), "a long, b long"))
+    own_block = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))
+    chosen = chosen.select("key", F.explode(own_block).alias("block"), "node").join(maps, "node").select("key", "block", "node", "n", "map")
+    chosen = chosen.repartition("key", "block").sortWithinPartitions("key", "block", "node")
+    first = checkpointed(chosen.mapInArrow(_pair_stream(_first_round), "a long, b long").distinct())
+    links = checkpointed(_verify(docs, first))
     comps = checkpointed(connected_components(links))
 
     placed = members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = checkpointed(placed.join(open_keys, "key").select("key", "node", "n", "component", "held"))
     cells = F.ceil(F.col("held") / WIDE_BLOCK).cast("int")
-    rest = rest.withColumn("cells", cells).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), cells).cast("int"))
+    rest = placed.join(open_keys, "key", "left_semi").select("key", "node", "component", cells.alias("cells"), F.pmod(F.xxhash64("node", F.lit(2)), cells).cast("int").alias("block"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     rest = rest.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-    maps = _bitmaps(sets)
-    dealt = rest.join(maps, "node").select("key", "left", "right", "node", "component", "n", "block", "map")
+    dealt = rest.join(maps, "node").select("key", "left", "right", "node", "n", "map", "component", "block")
     dealt = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "node")
-    maybe = checkpointed(dealt.mapInArrow(_pair_stream(_second_round), "a long, b long").distinct())
-    more = checkpointed(_verify(maybe, sets))
+    maybe = dealt.mapInArrow(_pair_stream(_second_round), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    more = checkpointed(_verify(docs, checkpointed(maybe)))
     comps = checkpointed(connected_components(links.unionByName(more)))
 
     of_set = reps.select("fp1", "fp2", "n", "node").join(comps, "node", "left").select("fp1", "fp2", "n", F.coalesce("component", "node").alias("component"))
@@ -355,20 +377,6 @@ def components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n", "component").unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def _bitmaps(sets: DataFrame) -> DataFrame:
-    """(node, map): each set's bitmap of about four bits an element."""
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maps = []
-            for s in batch.column(1).to_pylist():
-                a = np.frombuffer(s, np.uint64)
-                maps.append(bitmap(a, bits_for(len(a))).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], names=["node", "map"])
-
-    return sets.select("node", "set").mapInArrow(stream, "node long, map binary")
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component stays, the one with the smallest id; rows without an id all stay."""
     found = checkpointed(components(docs).filter("doc_id IS NOT NULL"))
