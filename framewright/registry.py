@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("operators.frame_queries", "functions.time_queries", "operators.audio_queries", "plans.segment_queries", "plans.decision_queries", "sources.parser_queries")
+MODULES: tuple[str, ...] = ("operators.frame_queries", "functions.time_queries", "operators.audio_queries", "plans.segment_queries", "plans.decision_queries", "sources.parser_queries", "streaming.job_queries")
 
 
 def _modules():
