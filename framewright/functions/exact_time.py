@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 _WIDE = "decimal(38,0)"
@@ -25,7 +26,7 @@ def to_long(c: Column) -> Column:
     return F.when(c.between(F.lit(LONG_MIN).cast(_WIDE), F.lit(LONG_MAX).cast(_WIDE)), c.cast("long"))
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def long_gcd(a: pa.Array, b: pa.Array) -> pa.Array:
     """Greatest common divisor of two longs. Spark has no gcd, and a fold by Euclid's rule in
     expressions is interpreted 93 times a row; this is one vectorised call a batch."""
@@ -34,7 +35,7 @@ def long_gcd(a: pa.Array, b: pa.Array) -> pa.Array:
     return pc.if_else(known, pa.array(g, pa.int64()), pa.scalar(None, pa.int64()))
 
 
-@F.arrow_udf("struct<num: bigint, den: bigint>")
+@F.arrow_udf(T.StructType([T.StructField("num", T.LongType()), T.StructField("den", T.LongType())]))
 def _reduce(num: pa.Array, den: pa.Array) -> pa.Array:
     known = pc.and_(pc.is_valid(num), pc.is_valid(den)).to_numpy(zero_copy_only=False)
     n, d = (pc.fill_null(x, 0).to_numpy(zero_copy_only=False) for x in (num, den))

@@ -85,10 +85,10 @@ def _segments_sql(m: int = 2, window: int = 2) -> str:
 dg AS (SELECT DISTINCT stream_id, unnest(range(greatest(start_frame - 12, 0), start_frame + 12)) AS pair FROM sh WHERE kind = 'dissolve'),
 ls AS (SELECT stream_id, max(end_frame) AS n FROM sh GROUP BY stream_id),
 pr AS (SELECT sh.stream_id, shot, end_frame, unnest(range(start_frame, end_frame)) AS pair FROM sh),
-pa AS (SELECT pr.stream_id, pr.pair, shot, pr.pair < end_frame - 1 AND dg.pair IS NULL AS ok FROM pr JOIN ls USING (stream_id) LEFT JOIN dg ON dg.stream_id = pr.stream_id AND dg.pair = pr.pair WHERE pr.pair < n - 1),
-ru AS (SELECT *, pair - row_number() OVER (PARTITION BY stream_id, shot, ok ORDER BY pair) AS isle FROM pa),
-rp AS (SELECT *, CASE WHEN ok THEN (row_number() OVER (PARTITION BY stream_id, shot, ok, isle ORDER BY pair) - 1) // {max(window - 2, 1)} ELSE 0 END AS piece FROM ru),
-sg AS (SELECT stream_id, CASE WHEN ok THEN 'synthesise' ELSE 'hold' END AS kind, min(pair) AS "first", max(pair) + 1 AS "last", shot, {m} * (max(pair) + 1 - min(pair)) + 1 AS outputs FROM rp GROUP BY stream_id, shot, ok, isle, piece),
+pa AS (SELECT pr.stream_id, pr.pair, shot, pr.pair < end_frame - 1 AND dg.pair IS NULL AS ok, pr.pair = end_frame - 1 AS cut FROM pr JOIN ls USING (stream_id) LEFT JOIN dg ON dg.stream_id = pr.stream_id AND dg.pair = pr.pair WHERE pr.pair < n - 1),
+ru AS (SELECT *, pair - row_number() OVER (PARTITION BY stream_id, shot, ok, cut ORDER BY pair) AS isle FROM pa),
+rp AS (SELECT *, CASE WHEN ok THEN (row_number() OVER (PARTITION BY stream_id, shot, ok, cut, isle ORDER BY pair) - 1) // {max(window - 2, 1)} ELSE 0 END AS piece FROM ru),
+sg AS (SELECT stream_id, CASE WHEN ok THEN 'synthesise' ELSE 'hold' END AS kind, min(pair) AS "first", max(pair) + 1 AS "last", shot, {m} * (max(pair) + 1 - min(pair)) + 1 AS outputs FROM rp GROUP BY stream_id, shot, ok, cut, isle, piece),
 se AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY "first") - 1 AS seq, * EXCLUDE (stream_id) FROM sg),
 sx AS (SELECT *, seq > 0 AS drop_first FROM se)"""
 

@@ -26,14 +26,15 @@ def guarded_pairs(shots: DataFrame, guard: int = 12) -> DataFrame:
 
 
 def pairs(shots: DataFrame, multiplier: int, guard: int = 12) -> DataFrame:
-    """(stream_id, pair, shot, allowed) of all consecutive frames of the shots; a pair belongs to its first frame's shot."""
+    """(stream_id, pair, shot, allowed, cut) of all consecutive frames of the shots; a pair belongs to its
+    first frame's shot, and ``cut`` marks the one that leaves it."""
     w = Window.partitionBy("stream_id").orderBy("start_frame")
     last = F.lead("shot").over(w).isNull()
     rows = shots.select("stream_id", "shot", "start_frame", "end_frame", F.explode(F.sequence("start_frame", F.col("end_frame") - 1)).alias("pair"), last.alias("is_last"))
     rows = rows.filter(~(F.col("is_last") & (F.col("pair") == F.col("end_frame") - 1)))
     marked = rows.join(guarded_pairs(shots, guard).withColumn("guarded", F.lit(True)), ["stream_id", "pair"], "left")
     inside = F.col("pair") < F.col("end_frame") - 1
-    return marked.select("stream_id", "pair", "shot", (inside & F.col("guarded").isNull() & F.lit(multiplier > 1)).alias("allowed"))
+    return marked.select("stream_id", "pair", "shot", (inside & F.col("guarded").isNull() & F.lit(multiplier > 1)).alias("allowed"), (~inside).alias("cut"))
 
 
 def segments(shots: DataFrame, multiplier: int = 2, guard: int = 12, window: int = 2) -> DataFrame:
@@ -41,7 +42,7 @@ def segments(shots: DataFrame, multiplier: int = 2, guard: int = 12, window: int
     m = F.lit(multiplier).cast("long")
     w = Window.partitionBy("stream_id").orderBy("pair")
     p = pairs(shots, multiplier, guard)
-    new_run = F.coalesce((F.col("allowed") != F.lag("allowed").over(w)) | (F.col("shot") != F.lag("shot").over(w)), F.lit(True))
+    new_run = F.coalesce(F.col("cut") | (F.col("allowed") != F.lag("allowed").over(w)) | (F.col("shot") != F.lag("shot").over(w)), F.lit(True))
     p = p.withColumn("run", F.sum(new_run.cast("int")).over(w))
     k = F.row_number().over(Window.partitionBy("stream_id", "run").orderBy("pair")) - 1
     piece = F.when(F.col("allowed"), F.floor(k / max(window - 2, 1))).otherwise(0)
