@@ -14,13 +14,12 @@ is whole. (b) Shingles that very many documents hold (common lines, passages) ma
 then common), which finds every link by the prefix principle, so that documents which only share a
 passage do not meet in its bucket.
 
-Buckets are joined on bitmaps alone (about four bits a shingle), in two rounds. First each set
-goes to the buckets of its first two shared keys; pairs that could be linked and aren't yet connected
-by such pairs are counted exactly, and true links join components. Then every bucket that still
-holds several components is joined, and all its pairs that could be linked across components are
-counted exactly, so the first round's short cuts lose nothing. Only sets in such pairs are shipped.
-Large buckets are dealt in blocks, and in the second round in pairs of blocks, so no bucket has
-to fit a task.
+Pairs that could be linked by the bitmaps' bound (about four bits a shingle) join sets into coarse
+groups; all links lie inside them. This takes two rounds over the buckets, each of which gives only
+pairs that connect something: first each set's first two shared keys, then every bucket that still
+holds several coarse groups. Then each set goes once, whole, to its coarse group, where a finer tree
+and exact counts find the links. Large buckets and groups are dealt in blocks and pairs of blocks, so
+none has to fit a task.
 """
 
 from __future__ import annotations
@@ -40,7 +39,9 @@ from framewright.llm.textkernel import SPACE, mix64, shingles, text_slices, toke
 WORDS, PERCENT, KEYS, ROUND_KEYS = 5, 80, 16, 2
 #: At most so many common shingles are broadcast (8 bytes each).
 MAX_COMMON = 1 << 20
-BLOCK, WIDE_BLOCK, FANOUT = 512, 2048, 8
+BLOCK, WIDE_BLOCK, EXACT_BLOCK, FANOUT = 512, 2048, 4096, 8
+#: Up to so many ids (8 bytes each), a semi-join broadcasts them; beyond, it shuffles.
+MAX_BROADCAST_IDS = 1 << 20
 
 
 def document_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -135,8 +136,8 @@ def fold(words: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_or.reduce(words.reshape(-1, bits // 64), axis=0)
 
 
-def bits_for(n: int) -> int:
-    return min(1 << 15, max(64, 1 << (4 * n - 1).bit_length()))
+def bits_for(n: int, each: int = 4) -> int:
+    return min(1 << 16, max(64, 1 << (each * n - 1).bit_length()))
 
 
 class SignatureTree:
@@ -216,13 +217,26 @@ class _Union:
         self.up[max(i, j)] = min(i, j)
 
 
-def join_sets(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """All links among these sets, by one signature tree and exact counts."""
+def exact_links(ids: list[int], sets: list[np.ndarray], block: list[int] | None = None) -> Iterator[tuple[int, int]]:
+    """Links that connect whatever is linked among these sets (with ``block``: across blocks only), by a
+    signature tree of 16 bits a shingle and exact counts; pairs already connected aren't counted."""
     order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
-    sizes = np.array([len(sets[k]) for k in order], np.int64)
-    tree = SignatureTree(sizes, np.stack([bitmap(sets[k], bits_for(int(sizes[-1]))) for k in order]))
-    found = ((order[x], order[y]) for i, j in tree.pairs() for x, y in zip(i.tolist(), j.tolist()))
-    return sorted((min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in found if linked(sets[x], sets[y]))
+    cuts = [0, *(k for k in range(1, len(order)) if 100 * len(sets[order[k - 1]]) < PERCENT * len(sets[order[k]])), len(order)]
+    for begin, end in zip(cuts[:-1], cuts[1:]):  # runs of sizes that can be linked
+        band = order[begin:end]
+        if len(band) < 2:
+            continue
+        sizes = np.array([len(sets[k]) for k in band], np.int64)
+        bits = bits_for(int(sizes[-1]), 16)
+        tree = SignatureTree(sizes, np.stack([bitmap(sets[k], bits) for k in band]))
+        union = _Union(len(band))
+        for i, j in tree.pairs():
+            for x, y in zip(i.tolist(), j.tolist()):
+                if (p := union.find(x)) == (q := union.find(y)) or (block is not None and block[band[x]] == block[band[y]]):
+                    continue
+                if linked(sets[band[x]], sets[band[y]]):
+                    union.join(p, q)
+                    yield ids[band[x]], ids[band[y]]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -280,7 +294,7 @@ def _size_bands(rows: list[tuple]) -> Iterator[list[tuple]]:
 def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
     """Pairs of a block that could be linked, but none that such pairs connect already."""
     for _, rows in _groups(batches, 2):
-        for band in _size_bands(list({r[0]: r for r in rows}.values())):
+        for band in _size_bands(list({(r[0], r[2]): r for r in rows}.values())):
             if len(band) > 1:
                 ids, tree = _tree_of(band)
                 union = _Union(len(ids))
@@ -292,17 +306,37 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]
 
 
 def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
-    """All pairs across components that could be linked, of one pair of blocks (equal: within the block)."""
+    """Pairs that could be linked and connect coarse groups, of one pair of blocks (equal: within the block)."""
     for (_, left, right), rows in _groups(batches, 3):
-        for band in _size_bands(list({r[0]: r for r in rows}.values())):
-            if len({r[3] for r in band}) < 2:
+        for band in _size_bands(list({(r[0], r[2]): r for r in rows}.values())):
+            comps, place = np.unique([r[3] for r in band], return_inverse=True)
+            if len(comps) < 2:
                 continue
             ids, tree = _tree_of(band)
-            comps, block = np.array([r[3] for r in band], np.int64), np.array([r[4] for r in band], np.int64)
+            block = np.array([r[4] for r in band], np.int64)
+            union = _Union(len(comps))
             for i, j in tree.pairs():
-                keep = (comps[i] != comps[j]) & ((block[i] != block[j]) if left != right else np.ones(len(i), bool))
-                a, b = ids[i[keep]], ids[j[keep]]
-                yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
+                keep = (place[i] != place[j]) & ((block[i] != block[j]) if left != right else np.ones(len(i), bool))
+                for x, y in zip(i[keep].tolist(), j[keep].tolist()):
+                    if (p := union.find(int(place[x]))) != (q := union.find(int(place[y]))):
+                        union.join(p, q)
+                        yield int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))
+
+
+def _exact_round(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+    """Links of one pair of blocks of a coarse group (equal: within the block)."""
+    for (_, left, right), rows in _groups(batches, 3):
+        rows = list({(r[0], r[1]): r for r in rows}.values())
+        if len(rows) > 1:
+            yield from exact_links([r[0] for r in rows], [np.frombuffer(r[1], np.uint64) for r in rows], None if left == right else [r[2] for r in rows])
+
+
+def _in_cells(rows: DataFrame, key: str, held: str, size: int) -> DataFrame:
+    """Rows dealt to pairs of blocks (left, right) of about ``size`` rows of their key; small keys have one."""
+    cells = F.ceil(F.col(held) / size).cast("int")
+    rows = rows.withColumns({"cells": cells, "block": F.pmod(F.xxhash64("node", F.lit(2)), cells).cast("int")})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    return rows.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("cells", "other", held)
 
 
 def _set_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -313,38 +347,25 @@ def _set_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             out = [s.tobytes() for _, s in document_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "set"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(wanted.select("node"), "node", "left_semi")
+    wanted = wanted.select("node")
+    if wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(wanted, "node", "left_semi")
     return rows.mapInArrow(stream, "node long, set binary")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = checkpointed(_set_bytes(docs, wanted).dropDuplicates(["node"]))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
-        for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            for i, j, s, t in zip(a, b, x, y):
-                if linked(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)):
-                    yield i, j
-
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_pair_stream(check), "a long, b long")
-
-
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``.
 
     Texts without words have an empty set and are their own component. Rows of one doc_id count as
-    one document; rows without an id are linked with nothing and have a null component. Extra
-    columns are not read; an empty table gives none.
+    one document that has all their sets; rows without an id are linked with nothing and have a null
+    component. Extra columns are not read; an empty table gives none.
     """
     keyed = checkpointed(keyed_sets(docs, common_shingles(docs)))
     filled = keyed.filter("n > 0 AND doc_id IS NOT NULL")
     reps = filled.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "keys", "map")).alias("rep"))
     reps = checkpointed(reps.select("fp1", "fp2", "n", F.col("rep.doc_id").alias("node"), "rep.keys", "rep.map"))
-    maps = reps.select("node", "n", "map").dropDuplicates(["node"])
+    maps = reps.select("node", "n", "map")
     exploded = reps.select("node", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("lead")).filter("held > 1")
     members = checkpointed(exploded.join(shared, "key"))
@@ -356,20 +377,21 @@ def components(docs: DataFrame) -> DataFrame:
     chosen = chosen.select("key", F.explode(own_block).alias("block"), "node").join(maps, "node").select("key", "block", "node", "n", "map")
     chosen = chosen.repartition("key", "block").sortWithinPartitions("key", "block", "node")
     first = checkpointed(chosen.mapInArrow(_pair_stream(_first_round), "a long, b long").distinct())
-    links = checkpointed(_verify(docs, first))
-    comps = checkpointed(connected_components(links))
+    coarse = checkpointed(connected_components(first))
 
-    placed = members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.join(coarse, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    cells = F.ceil(F.col("held") / WIDE_BLOCK).cast("int")
-    rest = placed.join(open_keys, "key", "left_semi").select("key", "node", "component", cells.alias("cells"), F.pmod(F.xxhash64("node", F.lit(2)), cells).cast("int").alias("block"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    rest = rest.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-    dealt = rest.join(maps, "node").select("key", "left", "right", "node", "n", "map", "component", "block")
+    rest = placed.join(open_keys, "key", "left_semi").select("key", "node", "component", "held")
+    dealt = _in_cells(rest, "key", "held", WIDE_BLOCK).join(maps, "node").select("key", "left", "right", "node", "n", "map", "component", "block")
     dealt = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "node")
-    maybe = dealt.mapInArrow(_pair_stream(_second_round), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = checkpointed(_verify(docs, checkpointed(maybe)))
-    comps = checkpointed(connected_components(links.unionByName(more)))
+    second = dealt.mapInArrow(_pair_stream(_second_round), "a long, b long").distinct()
+    coarse = checkpointed(connected_components(first.unionByName(second)))
+
+    sizes = coarse.groupBy("component").agg(F.count("*").alias("held"))
+    cells = _in_cells(coarse.join(sizes, "component"), "component", "held", EXACT_BLOCK)
+    dealt = cells.join(_set_bytes(docs, coarse), "node").select("component", "left", "right", "node", "set", "block")
+    dealt = dealt.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "node")
+    comps = checkpointed(connected_components(dealt.mapInArrow(_pair_stream(_exact_round), "a long, b long")))
 
     of_set = reps.select("fp1", "fp2", "n", "node").join(comps, "node", "left").select("fp1", "fp2", "n", F.coalesce("component", "node").alias("component"))
     found = filled.select("doc_id", "fp1", "fp2", "n").join(of_set, ["fp1", "fp2", "n"])
