@@ -204,6 +204,26 @@ def hangover(rows: DataFrame, raw: str = "raw", min_speech: int = 3, hold: int =
     return t.withColumn("mask", F.col("h_long") | F.coalesce(held, F.lit(False))).drop("h_run", "h_long", "h_last")
 
 
+def speech_levels(mono: DataFrame, rate: float, chunk_frames: int, low: float = 300.0, high: float = 3400.0) -> DataFrame:
+    """(stream_id, chunk_idx, level_db): RMS of the speech band per chunk, -120 at least. A stream's last
+    partial chunk counts if it has a quarter of a chunk. mono is (stream_id, ch, frame_idx, sample)."""
+    band = filtered(mono, high_pass(rate, low), high_pass(rate, low), low_pass(rate, high), low_pass(rate, high))
+    c = band.groupBy("stream_id", F.call_function("div", F.col("frame_idx"), F.lit(chunk_frames).cast("long")).alias("chunk_idx")).agg(F.avg(F.col("filtered") * F.col("filtered")).alias("ms"), F.count("*").alias("n"))
+    level = F.greatest(F.coalesce(10 * F.log10(F.when(F.col("ms") > 0, F.col("ms"))), F.lit(-120.0)), F.lit(-120.0))
+    return c.filter(F.col("n") >= chunk_frames // 4).select("stream_id", "chunk_idx", level.alias("level_db"))
+
+
+def analysis_signal(samples: DataFrame) -> DataFrame:
+    """(stream_id, ch, frame_idx, sample): the centre channel of streams with three or more, else the mean of the channels."""
+    t = samples.groupBy("stream_id", "frame_idx").agg(F.max(F.when(F.col("ch") == 2, clean(F.col("sample")))).alias("centre"), F.avg(clean(F.col("sample"))).alias("mean"))
+    return t.select("stream_id", F.lit(0).alias("ch"), "frame_idx", F.coalesce("centre", "mean").alias("sample"))
+
+
+def cross_check(own: Column, other: Column, tolerance: float = 0.5) -> Column:
+    """A note where two meters differ by more than the tolerance, else NULL."""
+    return F.when(F.abs(own - other) > tolerance, F.format_string("meters differ by %.2f LU", F.abs(own - other)))
+
+
 def smooth_mask(rows: DataFrame, width: int) -> DataFrame:
     """Trailing moving average of the mask (partial at the start)."""
     w = Window.partitionBy("stream_id").orderBy("chunk_idx").rowsBetween(-(width - 1), 0)

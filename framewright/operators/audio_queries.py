@@ -80,6 +80,15 @@ def downmix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mono.join(dropped, "stream_id").select("stream_id", "frame_idx", F.call_function("div", F.col("frame_idx"), F.lit(CHUNK).cast("long")).alias("chunk_idx"), "mono", "right", F.col("dropped").cast("long").alias("dropped"))
 
 
+def speech_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speech-band levels of the analysis signal, and where they disagree with the full band."""
+    mono = A.analysis_signal(samples(spark, sf_dir))
+    t = A.speech_levels(mono, RATE, CHUNK).withColumnRenamed("level_db", "speech_db")
+    full = mono.groupBy("stream_id", F.call_function("div", F.col("frame_idx"), F.lit(CHUNK).cast("long")).alias("chunk_idx")).agg(A.lufs(F.avg(F.col("sample") * F.col("sample"))).alias("full"))
+    t = t.join(full, ["stream_id", "chunk_idx"])
+    return t.select("stream_id", "chunk_idx", F.round("speech_db", 6).alias("speech_db"), A.cross_check(F.round("speech_db", 6), F.round("full", 6), 3.0).isNotNull().alias("apart"))
+
+
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-role gain with default 0 past the curve's end."""
     table = spark.createDataFrame(list(enumerate(A.channel_roles(3, "3.0")))[1:], "ch int, role string")
@@ -166,6 +175,23 @@ SELECT stream_id, ch, frame_idx, round(y, 9) AS filtered FROM r JOIN n USING (st
 
 
 ORACLES["audio_weighted"] = _weighted_sql()
+def _levels_sql() -> str:
+    sections = [A.high_pass(RATE, 300.0)] * 2 + [A.low_pass(RATE, 3400.0)] * 2
+    lit = lambda x: f"({x!r}::DOUBLE)"
+    inner, x = "SELECT n.stream_id, n.k, n.sample AS y0, r.* EXCLUDE (stream_id, k, y) FROM r JOIN n ON n.stream_id = r.stream_id AND n.k = r.k + 1", "y0"
+    for i, f in enumerate(sections, 1):
+        inner = f"SELECT *, {lit(f.b0)} * y{i - 1} + p{i} AS y{i} FROM ({inner})"
+    state = ", ".join(f"{lit(f.b1)} * y{i - 1} - {lit(f.a1)} * y{i} + q{i}, {lit(f.b2)} * y{i - 1} - {lit(f.a2)} * y{i}" for i, f in enumerate(sections, 1))
+    names = ", ".join(f"p{i}, q{i}" for i in range(1, 5))
+    return f"""WITH RECURSIVE {_SAMPLES},
+n AS MATERIALIZED (SELECT stream_id, frame_idx, avg(sample) AS sample, row_number() OVER (PARTITION BY stream_id ORDER BY frame_idx) AS k FROM s GROUP BY stream_id, frame_idx),
+r(stream_id, k, y, {names}) AS (SELECT DISTINCT stream_id, 0::BIGINT, 0::DOUBLE, {", ".join(["0::DOUBLE"] * 8)} FROM n UNION ALL SELECT stream_id, k, y4, {state} FROM ({inner})),
+c AS (SELECT r.stream_id, frame_idx // 4 AS chunk_idx, avg(y * y) AS ms, avg(sample * sample) AS full_ms FROM r JOIN n USING (stream_id, k) GROUP BY ALL HAVING count(*) >= 1),
+d AS (SELECT *, round(CASE WHEN ms > 0 THEN greatest(10 * log10(ms), -120) ELSE -120 END::DOUBLE, 6) AS speech_db, CASE WHEN full_ms > 0 THEN round({_L.format("full_ms")}, 6) END AS f FROM c)
+SELECT stream_id, chunk_idx, speech_db, coalesce(abs(speech_db - f) > 3, false) AS apart FROM d"""
+
+
+ORACLES["audio_speech_levels"] = _levels_sql()
 ORACLES["audio_downmix"] = f"""WITH {_SAMPLES} SELECT stream_id, frame_idx, frame_idx // 4 AS chunk_idx, avg(sample) AS mono, max(sample) FILTER (WHERE ch = 1) AS "right",
   (SELECT count(*) FROM s z WHERE z.stream_id = s.stream_id AND z.frame_idx >= z.stream_id * 100 + 900) AS dropped FROM s WHERE frame_idx < stream_id * 100 + 900 GROUP BY ALL"""
 ORACLES["audio_roles"] = f"""WITH {_SAMPLES} SELECT stream_id, frame_idx, ch + 1 AS ch, CASE ch WHEN 0 THEN 'front' ELSE 'dialogue' END AS role,
@@ -173,5 +199,5 @@ ORACLES["audio_roles"] = f"""WITH {_SAMPLES} SELECT stream_id, frame_idx, ch + 1
 
 QUERIES = {
     "audio_chunks": chunks, "audio_programme": programme, "audio_speech": speech, "audio_remaster": remaster,
-    "audio_curve": curve, "audio_weighted": weighted, "audio_downmix": downmix, "audio_roles": roles,
+    "audio_curve": curve, "audio_weighted": weighted, "audio_downmix": downmix, "audio_roles": roles, "audio_speech_levels": speech_levels,
 }

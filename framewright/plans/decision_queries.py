@@ -143,6 +143,16 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.round(f, 9).alias("fraction"), F.round(eta, 9).alias("eta"))
 
 
+def conversion_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole plans by file."""
+    c = cadence(spark, sf_dir).select("file", "mode", "chain", "confidence")
+    f = F.col("file")
+    shapes = c.select("file", *[x.alias(n) for n, x in zip(("target_w", "target_h"), D.choose_target(f * 20, f * 30, F.lit(2.0)))], (f * 10).alias("source_frames"), (f % 2 + 1).alias("multiplier"))
+    audio = c.filter(f % 7 > 0).select("file", D.audio_plan(f % 3 == 0, f / 4, f / 8, F.when(f % 3 == 0, "above target").otherwise("within"), f % 2 == 0, f % 4).alias("audio"))
+    p = D.assemble_plan(c, shapes, audio)
+    return p.select("file", "plan.mode", "plan.raster.target_w", "plan.raster.target_h", "plan.decoded_frames", "plan.output_frames", "plan.audio.remaster", "plan.audio.tracks", F.array_join("warnings", "; ").alias("warnings"))
+
+
 def _counts_sql() -> str:
     special = {
         "progressive": "CASE WHEN l_suppkey % 5 < 2 THEN q * 40 ELSE q % 7 END", "tff": "CASE WHEN l_suppkey % 5 = 2 THEN q * 30 ELSE q % 5 END",
@@ -208,7 +218,14 @@ ORACLES["quality_summary"] = f"WITH {_QUALITY} SELECT o_orderkey, count(*) AS ch
 ORACLES["job_progress"] = """WITH t AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_id * 1000 / 1e6 END::DOUBLE AS s, event_id % 500 AS f, user_id % 9 * 1.0::DOUBLE AS total, event_id % 4 / 2 AS speed FROM events)
 SELECT event_id, round(least(greatest(CASE WHEN total > 0 AND s IS NOT NULL THEN s / total ELSE f / 400 END, 0), 1), 9) AS fraction, round(CASE WHEN speed > 0.01 AND total > 0 AND s IS NOT NULL THEN greatest(total - s, 0) / speed END, 9) AS eta FROM t"""
 
+ORACLES["conversion_plans"] = f"""WITH c AS ({ORACLES["cadence"]}),
+t AS (SELECT *, CASE WHEN mode = 'telecine' THEN file * 10 * 4 // 5 ELSE file * 10 END AS dec, least(CASE WHEN file * 30 < 1080 THEN 1080 ELSE file * 30 END, greatest(round(file * 30 * 2)::BIGINT, file * 30)) AS h FROM c),
+u AS (SELECT *, greatest(round(h * file * 20 / nullif(file * 30, 0))::BIGINT, 2) AS w FROM t)
+SELECT file, mode, CASE WHEN file = 0 THEN 1920 ELSE w + w % 2 END AS target_w, CASE WHEN file = 0 THEN 1080 ELSE h + h % 2 END AS target_h, dec AS decoded_frames, CASE WHEN dec > 0 THEN (file % 2 + 1) * (dec - 1) + 1 ELSE 0 END AS output_frames,
+  CASE WHEN file % 7 > 0 THEN file % 3 = 0 END AS remaster, CASE WHEN file % 7 > 0 THEN CASE WHEN file % 4 = 0 THEN 0 WHEN file % 2 = 0 THEN file % 4 + 1 ELSE 1 END END::INT AS tracks,
+  concat_ws('; ', CASE WHEN file % 7 = 0 THEN 'no audio' END, CASE WHEN confidence < 0.5 THEN 'cadence unsure' END, CASE WHEN file <> 0 AND h + h % 2 > 2160 THEN 'large canvas' END) AS warnings FROM u"""
+
 QUERIES = {
-    "cadence": cadence, "cadence_points": sample_points, "geometry": geometry, "devices": devices, "budgets": budgets, "ladder": ladder, "heaps": heaps, "encoders": encoders,
+    "conversion_plans": conversion_plans, "cadence": cadence, "cadence_points": sample_points, "geometry": geometry, "devices": devices, "budgets": budgets, "ladder": ladder, "heaps": heaps, "encoders": encoders,
     "quality_checks": quality, "quality_summary": quality_summary, "job_progress": job_progress,
 }

@@ -258,3 +258,24 @@ def job_progress(done_us: Column, frames: Column, total_s: Column, total_frames:
     fraction = F.least(F.greatest(F.coalesce(by_time, by_frames), F.lit(0.0)), F.lit(1.0))
     eta = F.when((speed > 0.01) & by_time.isNotNull(), F.greatest(total_s - done_us / 1e6, F.lit(0.0)) / speed)
     return fraction, eta
+
+
+def audio_plan(apply_: Column, gain_db: Column, duck_db: Column, reason: Column, keep_original: Column, tracks: Column) -> Column:
+    """The audio part of a plan: what is done and how many tracks come out."""
+    out = F.when(tracks == 0, 0).otherwise(F.when(keep_original, tracks + 1).otherwise(1))
+    return F.struct(F.coalesce(apply_, F.lit(False)).alias("remaster"), gain_db.alias("gain_db"), duck_db.alias("duck_db"), reason.alias("reason"), out.cast("int").alias("tracks"))
+
+
+def assemble_plan(cadences: DataFrame, shapes: DataFrame, audio: DataFrame, key: str = "file") -> DataFrame:
+    """(key, plan, warnings): cadence, geometry, audio and the frame estimate as one nested document.
+
+    cadences has mode, chain, confidence, fps_num, fps_den; shapes target_w, target_h, source_frames,
+    multiplier; audio the struct ``audio``. A key without audio keeps a NULL there and a warning.
+    """
+    t = cadences.join(shapes, key).join(audio, key, "left")
+    dropped = F.col("mode") == "telecine"
+    decoded = F.when(dropped, F.call_function("div", F.col("source_frames") * 4, F.lit(5).cast("long"))).otherwise(F.col("source_frames"))
+    estimate = F.when(decoded > 0, F.col("multiplier") * (decoded - 1) + 1).otherwise(F.lit(0).cast("long"))
+    warnings = F.array(F.when(F.col("audio").isNull(), "no audio"), F.when(F.col("confidence") < 0.5, "cadence unsure"), F.when(F.col("target_h") > 2160, "large canvas"))
+    plan = F.struct("mode", "chain", F.struct("target_w", "target_h").alias("raster"), decoded.alias("decoded_frames"), estimate.alias("output_frames"), "audio")
+    return t.select(key, plan.alias("plan"), F.array_compact(warnings).alias("warnings"))

@@ -77,7 +77,8 @@ def padding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def concat_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concatenation lists of each stream's chunks (K6)."""
-    return G.concat_list(chunks(spark, sf_dir).withColumn("path", F.concat(F.lit("C:\\it's\\"), "path")))
+    planned = chunks(spark, sf_dir)
+    return G.concat_list(G.require_chunks(planned, planned).withColumn("path", F.concat(F.lit("C:\\it's\\"), "path")))
 
 
 def _segments_sql(m: int = 2, window: int = 2) -> str:

@@ -148,6 +148,13 @@ def progress(segs: DataFrame, shots: DataFrame) -> DataFrame:
     return segs.join(n, "stream_id").select("stream_id", "seq", F.least((F.col("last") + 1) / F.col("n"), F.lit(1.0)).alias("fraction"), F.sum(emitted()).over(w).alias("done"))
 
 
+def require_chunks(planned: DataFrame, files: DataFrame) -> DataFrame:
+    """Planned chunks with their files' paths; a chunk without a file raises when its row is computed."""
+    t = planned.select("stream_id", "chunk").join(files.select("stream_id", "chunk", "path"), ["stream_id", "chunk"], "left")
+    missing = F.raise_error(F.format_string("chunk %d of stream %d is missing", "chunk", "stream_id")).cast("string")
+    return t.withColumn("path", F.when(F.col("path").isNotNull(), F.col("path")).otherwise(missing))
+
+
 def concat_list(files: DataFrame) -> DataFrame:
     """(stream_id, listing): one line per chunk in order; backslashes become slashes, quotes are escaped."""
     path = F.replace(F.translate("path", "\\", "/"), F.lit("'"), F.lit("'\\''"))

@@ -233,3 +233,36 @@ def log_sink(write: Callable[[DataFrame], None], failures: list[str]) -> Callabl
             failures.append(f"{epoch}: {error}")
 
     return sink
+
+
+class Bus:
+    """Fan-out of events to subscribers; one that raises is dropped, the others still get the event."""
+
+    def __init__(self) -> None:
+        self._subscribers: list[Callable[[Any], None]] = []
+
+    def subscribe(self, receive: Callable[[Any], None]) -> None:
+        self._subscribers.append(receive)
+
+    def emit(self, event: Any) -> int:
+        """Sends an event; returns how many got it."""
+        alive = []
+        for receive in self._subscribers:
+            try:
+                receive(event)
+                alive.append(receive)
+            except Exception:  # noqa: BLE001  a dead subscriber must not stop the others
+                continue
+        self._subscribers = alive
+        return len(alive)
+
+    def finish(self, job_id: str, result: str) -> str:
+        """Emits a job's terminal event, once, with the state that its result maps to."""
+        state = {"ok": "completed", "cancelled": "cancelled"}.get(result, "failed")
+        self.emit({"kind": "finished", "job_id": job_id, "state": state})
+        return state
+
+
+def cancel(spark: SparkSession, job_id: str) -> None:
+    """Cancels the Spark jobs that were started under this job's group."""
+    spark.sparkContext.cancelJobGroup(job_id)

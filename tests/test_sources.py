@@ -125,3 +125,24 @@ def test_refusal_raises(spark):
     df = spark.createDataFrame([(True, True)], "missing boolean, wanted boolean")
     with pytest.raises(Exception, match="restoration"):
         df.select(refuse(F.col("missing"), F.col("wanted"), "restoration")).collect()
+
+
+def test_a_dead_subscriber_is_dropped():
+    bus, seen = J.Bus(), []
+
+    def dead(event):
+        raise OSError
+
+    bus.subscribe(dead)
+    bus.subscribe(seen.append)
+    assert bus.emit(1) == 1 and bus.finish("j", "boom") == "failed"
+    assert seen == [1, {"kind": "finished", "job_id": "j", "state": "failed"}]
+
+
+def test_a_missing_chunk_is_an_error(spark):
+    from framewright.plans import segments as G
+
+    planned = spark.createDataFrame([(1, 0), (1, 1)], "stream_id long, chunk long")
+    files = spark.createDataFrame([(1, 0, "a")], "stream_id long, chunk long, path string")
+    with pytest.raises(Exception, match="chunk 1 of stream 1 is missing"):
+        G.require_chunks(planned, files).collect()
