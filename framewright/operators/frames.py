@@ -209,17 +209,17 @@ def build_shots(cuts: DataFrame, totals: DataFrame) -> DataFrame:
     marks = marks.unionByName(totals.select("stream_id", F.lit(0).cast("long").alias("start_frame"), F.lit("start").alias("kind"), F.lit(None).cast("double").alias("cut_score")))
     w = Window.partitionBy("stream_id").orderBy("start_frame")
     ends = F.coalesce(F.lead("start_frame").over(w), F.greatest(F.col("total"), F.col("start_frame") + 1))
-    return marks.join(totals, "stream_id").select("stream_id", (F.row_number().over(w) - 1).alias("shot"), "start_frame", ends.alias("end_frame"), "kind", "cut_score")
+    return marks.join(totals, "stream_id").select("stream_id", (F.row_number().over(w) - 1).cast("long").alias("shot"), "start_frame", ends.alias("end_frame"), "kind", "cut_score")
 
 
 def shot_of(frames: DataFrame, shots: DataFrame) -> DataFrame:
     """As-of lookup: each (stream_id, frame_idx) with the last shot that starts at or before it. A union and
     a running last, so nothing is compared with every shot."""
-    both = frames.select("stream_id", "frame_idx", F.lit(1).alias("is_frame"), F.lit(None).cast("int").alias("s")).unionByName(
+    both = frames.select("stream_id", "frame_idx", F.lit(1).alias("is_frame"), F.lit(None).cast("long").alias("s")).unionByName(
         shots.select("stream_id", F.col("start_frame").alias("frame_idx"), F.lit(0).alias("is_frame"), F.col("shot").alias("s"))
     )
     w = Window.partitionBy("stream_id").orderBy("frame_idx", "is_frame").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("shot", F.coalesce(F.last("s", ignorenulls=True).over(w), F.lit(0))).filter("is_frame = 1").select("stream_id", "frame_idx", "shot")
+    return both.withColumn("shot", F.coalesce(F.last("s", ignorenulls=True).over(w), F.lit(0).cast("long"))).filter("is_frame = 1").select("stream_id", "frame_idx", "shot")
 
 
 def shot_statistics(shots: DataFrame, fps: float) -> DataFrame:

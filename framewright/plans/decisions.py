@@ -201,7 +201,7 @@ def device_order(devices: DataFrame, key: str = "host") -> DataFrame:
     """Devices with ``place``: discrete, then others, then integrated; larger first, then as listed."""
     rank = F.when(F.col("device_type") == "discrete", 0).when(F.col("device_type") == "integrated", 2).otherwise(1)
     w = Window.partitionBy(key).orderBy(rank, F.desc_nulls_last("total_mib"), "idx")
-    return devices.withColumn("place", F.row_number().over(w) - 1)
+    return devices.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
 
 
 def largest_heap(heaps: DataFrame, keys: list[str]) -> DataFrame:
@@ -216,7 +216,7 @@ def encoder_chain(encoders: DataFrame, available: DataFrame, vendor: Column, cod
     """Available encoders in order: matching hardware, preferred codec, table order."""
     t = encoders.join(available, ["host", "name"], "left_semi") if "host" in encoders.columns else encoders.join(available, "name", "left_semi")
     w = Window.partitionBy("host").orderBy(F.when(F.col("hardware") == vendor, 0).when(F.col("hardware") == "software", 1).otherwise(2), F.when(F.col("codec") == codec, 0).otherwise(1), "idx")
-    return t.withColumn("place", F.row_number().over(w) - 1)
+    return t.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
 
 
 def first_supported(preferred: Column, supported: Column) -> Column:

@@ -89,8 +89,8 @@ def chunks(segs: DataFrame, target: int = 1000) -> DataFrame:
                 out.append(begin)
             yield pdf.assign(begin=out)
 
-    schema = "stream_id long, shot int, seq long, kind string, first long, last long, emits long, begin long"
-    rows = segs.select("stream_id", F.col("shot").cast("int").alias("shot"), "seq", "kind", "first", "last", emitted().alias("emits"))
+    schema = "stream_id long, shot long, seq long, kind string, first long, last long, emits long, begin long"
+    rows = segs.select("stream_id", "shot", "seq", "kind", "first", "last", emitted().alias("emits"))
     packed = rows.repartition("stream_id", "shot").sortWithinPartitions("stream_id", "shot", "seq").mapInPandas(pack, schema)
     t = packed.groupBy("stream_id", "shot", "begin").agg(
         F.min("seq").alias("first_segment"), F.max("seq").alias("last_segment"), F.min("first").alias("first_input"), F.max("last").alias("last_input"), F.sum("emits").alias("outputs"),

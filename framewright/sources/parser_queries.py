@@ -122,7 +122,7 @@ t AS (SELECT *, coalesce(abs(fr - ex) > greatest(ex // 100, 2), false) AS vfr FR
 SELECT path, CASE WHEN main THEN 'mpeg2video' WHEN art THEN 'mjpeg' END AS codec, CASE WHEN w IS NOT NULL THEN greatest(sw, 2) END AS square_w, h AS square_h, fn AS fps_num, fd AS fps_den, ex AS expected, fr AS frames, vfr, k * 1000000 + 500000 AS us, content::DOUBLE AS content, hdr,
   main AND s % 2 = 0 AS interlaced, CASE WHEN s % 2 = 1 THEN 'aac' ELSE 'ac3' END AS audio, CASE WHEN s % 2 = 1 THEN 2 ELSE 6 END::BIGINT AS audio_channels, s % 2 = 0 AS carries_drc,
   concat_ws('; ', CASE WHEN NOT main AND NOT art THEN 'no video stream' END, CASE WHEN art AND NOT main THEN 'unknown frame rate' END, CASE WHEN hdr THEN 'hdr source' END, CASE WHEN content <= 0 THEN 'no duration' END, CASE WHEN vfr THEN 'variable frame rate' END) AS problems FROM t"""
-ORACLES["inventories"] = f"""WITH {_DOCS} SELECT path, main::INT + art::INT AS video, 2::BIGINT AS audio, 1::BIGINT AS subtitles, 1::BIGINT AS attachments, 'font' || s || '.ttf' AS names,
+ORACLES["inventories"] = f"""WITH {_DOCS} SELECT path, (main::INT + art::INT)::BIGINT AS video, 2::BIGINT AS audio, 1::BIGINT AS subtitles, 1::BIGINT AS attachments, 'font' || s || '.ttf' AS names,
   concat_ws('; ', CASE WHEN art THEN 'mjpeg 600x600' END, CASE WHEN main THEN 'mpeg2video ' || (s * 16) || 'x' || (s * 9) || ' "' || p_name || '"' END, 'ac3 [eng]', 'aac', 'subrip', '?') AS described, art::INT::BIGINT AS covers FROM p"""
 ORACLES["summaries"] = f"""WITH m AS ({ORACLES["manifests"]}), u AS (SELECT path, 'codec' AS key, codec AS value FROM m UNION ALL SELECT path, 'square_w', square_w::VARCHAR FROM m UNION ALL SELECT path, 'fps_num', fps_num::VARCHAR FROM m UNION ALL SELECT path, 'audio', audio FROM m)
 SELECT * FROM u WHERE value IS NOT NULL"""
