@@ -59,6 +59,8 @@ CLOSES = {
 }
 _FORMATTING = frozenset("a b i em strong u s small big span font code tt abbr cite q sub sup mark ins del kbd samp var time".split())
 LEAST = 3
+#: Wrappers of up to so many bytes are broadcast to their pages.
+MAX_BROADCAST = 8 << 20
 
 
 @dataclass
@@ -404,6 +406,9 @@ def extract(pages: DataFrame) -> DataFrame:
     is read as far as it goes. Repeated rows stay rows, extra columns are not read.
     """
     wrappers = checkpointed(infer_wrappers(pages).select("host", "rank", "constants"))
+    size = wrappers.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join(F.coalesce("constants", F.array().cast("array<string>")), "/")) + 64)).first()[0] or 0
+    if size <= MAX_BROADCAST:  # else a join by host, where a hot host's pages can be split, as it has one wrapper row
+        wrappers = F.broadcast(wrappers)
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host")).join(wrappers, "host", "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
