@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import checkpointed
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,6 +59,8 @@ CLOSES = {
 }
 _FORMATTING = frozenset("a b i em strong u s small big span font code tt abbr cite q sub sup mark ins del kbd samp var time".split())
 LEAST = 3
+#: Elements nested deeper than this keep their text but are not levels of a path.
+MAX_DEPTH = 200
 #: Wrappers of up to so many bytes are broadcast to their pages.
 MAX_BROADCAST = 8 << 20
 
@@ -97,10 +99,13 @@ class Page:
 def parse(source: str) -> Page:
     """Reads a page leniently: implied ends are closed, unknown ends ignored, comments and raw text dropped."""
     page, stack, block, at = Page(), [], 0, 0
+    deeper: list[str] = []
     size = len(source)
 
     def close(k: int) -> None:
         nonlocal block
+        if k < len(stack):
+            deeper.clear()
         for label in reversed(stack[k:]):
             if label.split(".")[0].rstrip("!") in BLOCK:
                 block += 1
@@ -123,6 +128,11 @@ def parse(source: str) -> Page:
         if m[2] is None:
             continue
         name = m[2].lower()
+        if m[1] and name in deeper:
+            while deeper.pop() != name:
+                pass
+            block += name in BLOCK
+            continue
         if m[1]:
             found = next((k for k in range(len(stack) - 1, -1, -1) if tag(stack[k]) == name), None)
             if found is not None and not (name in _FORMATTING and any(tag(x) in BLOCK for x in stack[found + 1 :])):
@@ -155,6 +165,9 @@ def parse(source: str) -> Page:
             at = stop.end() if stop else size
             page.stream.append(label)
             continue
+        if len(stack) >= MAX_DEPTH:
+            deeper.append(name)
+            continue
         stack.append(label)
         page.stream.append(label)
     close(0)

@@ -108,6 +108,13 @@ def test_extraction_of_a_full_page(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_broken_and_deep_markup():
+    deep = "<article>" + "<div><p>a" * 3000 + "</div>" * 3000 + "<p>end</article><footer>x</footer>"
+    assert wrappers.main_text(deep).endswith("a\nend") and len(str(wrappers.folded(wrappers.parse(deep).stream))) > 0
+    assert wrappers.main_text("<body><p class='it's'>one</p><p title=\"a>b\">two</p><p x=\"y>three</p> a < b <b>c") == "one\ntwo\nthree\na < b c"
+    assert wrappers.main_text("<p " + 'a="b" ' * 20000) == "" and wrappers.main_text("&" * 1000) == "&" * 1000
+
+
 def test_wrappers_align_into_groups():
     def page(body):
         return wrappers.folded(wrappers.parse(f"<body>{body}</body>").stream)
