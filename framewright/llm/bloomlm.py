@@ -9,15 +9,18 @@ and p(w) alone after a word that isn't known.
 
 Counts are exact and cover all training texts. Tasks count runs of texts and deal their sorted
 hashes as blobs by the hash's top bits; the task that owns a part sums it, gives its words' counts
-and fills its own segment of the filter, so segments need no merging. The filter has at
-most ``MAX_BITS`` bits, and only it and the ``MAX_TOP`` most frequent words' counts are broadcast;
-for the base score, the remaining words' counts are joined.
+and fills its own segment of the filter, so segments need no merging. A segment has ``LEAST_BITS``
+to twice as many bits for each level inserted, whatever the corpus's size. A filter of at most
+``MAX_BITS`` bits is broadcast. A larger one stays in its segments: texts are dealt to runs, a run
+asks each part for the levels of its distinct n-grams, and the answers go back to the run.
+The ``MAX_TOP`` most frequent words' counts are broadcast; for the base score, the remaining
+words' counts are joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,14 @@ from framewright.llm.common import checkpointed
 from framewright.llm.textkernel import SPACE, Tokens, mix64, text_slices, tokenize
 
 LAMBDA, PROBES = 0.2, 3
+#: Bits of the filter for each inserted level, at least; twice as many at most.
+LEAST_BITS = 8
 #: Bounds of what is broadcast: 64 MB of filter, 1 M words of 16 bytes.
 MAX_BITS, MAX_TOP = 1 << 29, 1 << 20
 #: Parts that counts are dealt in: about PART_BYTES of text each.
 PART_BYTES, MAX_PARTS = 8 << 20, 1 << 18
+#: Low bytes of a key that name it within its part.
+KEY_BYTES = 5
 END = np.uint64(0x454E44454E44454E)
 _RUN = 1 << 20
 
@@ -57,7 +64,7 @@ def pairs(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _positions(keys: np.ndarray, level: int, probe: int, shift: int, segment_bits: int) -> np.ndarray:
     """Bit positions in the whole filter: the segment by the key's top bits, the bit by a mix."""
-    inside = mix64(keys + np.uint64((level * 0x9E3779B97F4A7C15 + probe * 0xC2B2AE3D27D4EB4F + 1) % (1 << 64))) & np.uint64(segment_bits - 1)
+    inside = mix64((keys & np.uint64((1 << 8 * KEY_BYTES) - 1)) + np.uint64((level * 0x9E3779B97F4A7C15 + probe * 0xC2B2AE3D27D4EB4F + 1) % (1 << 64))) & np.uint64(segment_bits - 1)
     return (keys >> np.uint64(shift) if shift < 64 else keys * np.uint64(0)) * np.uint64(segment_bits) + inside
 
 
@@ -97,6 +104,17 @@ class Filter:
         return out
 
 
+@dataclass
+class Answers:
+    """Levels of a run's sorted n-grams, as the parts gave them."""
+
+    keys: np.ndarray
+    found: np.ndarray
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.keys, keys)].astype(np.int64)
+
+
 def expected(levels: np.ndarray, least: int) -> np.ndarray:
     """The middle count of a level (0 below the first); ``least``: the level of count 1."""
     return np.where(levels > 0, np.where(levels == least, float(least), 1.5 * 2.0 ** (levels - least) - (0.5 if least else 0.0)), 0.0)
@@ -104,7 +122,7 @@ def expected(levels: np.ndarray, least: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    filter: Filter
+    filter: Filter | Answers | None
     total: int
     distinct: int
     top: np.ndarray
@@ -120,28 +138,30 @@ def learnt(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 != 1, F.lit(True))
 
 
-def _plan(docs: DataFrame) -> tuple[int, int]:
-    """(parts, segment bits) for these texts, both powers of two."""
+def _plan(docs: DataFrame) -> int:
+    """The number of parts for these texts, a power of two."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")) + 16)).first()[0] or 1
-    parts = min(MAX_PARTS, 1 << max(0, (size // PART_BYTES).bit_length()))
-    bits = min(MAX_BITS, max(1 << 13, 1 << (size // 4).bit_length()))
-    return parts, max(64, bits // parts)
+    return min(MAX_PARTS, 1 << max(0, (size // PART_BYTES).bit_length()))
+
 
+def _owned(values: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, begin, end) of the runs of sorted keys that belong to one part."""
+    owner = (values >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int64) if parts > 1 else np.zeros(len(values), np.int64)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(values)]])
+    return ((int(owner[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:]))
 
-def count_ngrams(docs: DataFrame, parts: int, segment_bits: int) -> DataFrame:
+
+def count_ngrams(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (word, n) of every training word's exact count, and rows (part, segment) of the filter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
         size = 0
-        shift = np.uint64(64 - (parts.bit_length() - 1))
 
         def flush() -> Iterator[pa.RecordBatch]:
             for kind, arrays in enumerate(held):
                 values, n = np.unique(np.concatenate(arrays), return_counts=True)
-                owner = (values >> shift).astype(np.int64) if parts > 1 else np.zeros(len(values), np.int64)
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(values)]])
-                blobs = [(int(owner[a]), kind, values[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+                blobs = [(part, kind, values[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for part, a, b in _owned(values, parts)]
                 for at in range(0, len(blobs), 4096):
                     cols = zip(*blobs[at : at + 4096])
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "kind", "keys", "counts"])
@@ -159,8 +179,9 @@ def count_ngrams(docs: DataFrame, parts: int, segment_bits: int) -> DataFrame:
             yield from flush()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, bits, kind = None, None, None
+        part, kind = None, None
         blobs: list[tuple[bytes, bytes]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def close() -> Iterator[pa.RecordBatch]:
             keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in blobs])
@@ -170,13 +191,18 @@ def count_ngrams(docs: DataFrame, parts: int, segment_bits: int) -> DataFrame:
             keys, n = keys[order], n[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             keys, n = keys[first], np.add.reduceat(n, first)
-            bits.insert(keys, np.floor(np.log2(n)).astype(np.int64) + (1 if kind == 0 else 0), part)
+            held.append((keys, np.floor(np.log2(n)).astype(np.int64) + (1 if kind == 0 else 0)))
             if kind == 0:
                 for at in range(0, len(keys), 100_000):
                     k = keys[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n[at : at + 100_000]), pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.binary())], names=["word", "n", "part", "segment"])
 
         def segment() -> pa.RecordBatch:
+            segment_bits = max(64, 1 << (LEAST_BITS * sum(int(q.sum()) for _, q in held) - 1).bit_length())
+            bits = Filter(np.zeros(segment_bits // 8, np.uint8), parts, segment_bits)
+            for k, q in held:
+                bits.insert(k, q, part)
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([part], pa.int32()), pa.array([bits.words.tobytes()], pa.binary())], names=["word", "n", "part", "segment"])
 
         for batch in batches:
@@ -186,7 +212,7 @@ def count_ngrams(docs: DataFrame, parts: int, segment_bits: int) -> DataFrame:
                 if p != part:
                     if part is not None:
                         yield segment()
-                    part, bits = p, Filter(np.zeros(segment_bits // 8, np.uint8), parts, segment_bits)
+                    part = p
                 kind = k
                 blobs.append((keys, counts))
         if blobs:
@@ -199,10 +225,11 @@ def count_ngrams(docs: DataFrame, parts: int, segment_bits: int) -> DataFrame:
     return dealt.mapInArrow(add, "word long, n long, part int, segment binary")
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the table (word, n) of the words that are not among its most frequent ones."""
-    parts, segment_bits = _plan(docs)
-    counts = checkpointed(count_ngrams(docs, parts, segment_bits))
+def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame, int]:
+    """The model, the table (word, n) of the words that are not among its most frequent ones, the
+    table (part, segment) of its filter, and the number of parts. Above ``MAX_BITS`` the model has no filter."""
+    parts = _plan(docs)
+    counts = checkpointed(count_ngrams(docs, parts))
     words = counts.filter("word IS NOT NULL").select("word", "n")
     total, distinct = words.agg(F.sum("n"), F.count("*")).first()
     sizes = sorted(((r[0], r[1]) for r in words.groupBy(F.floor(F.log2("n") * 8).alias("level")).agg(F.count("*")).collect()), reverse=True)
@@ -215,12 +242,53 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     top = words.filter(is_top).toArrow()
     keys = top.column("word").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    bits = np.zeros(parts * segment_bits // 8, np.uint8)
-    for r in counts.filter("part IS NOT NULL").select("part", "segment").toLocalIterator():
-        at = r["part"] * segment_bits // 8
-        bits[at : at + segment_bits // 8] = np.frombuffer(r["segment"], np.uint8)
-    model = Model(Filter(bits, parts, segment_bits), total or 0, distinct or 0, keys[order], top.column("n").to_numpy().astype(np.int64)[order])
-    return model, words.filter(~is_top)
+    segments = counts.filter("part IS NOT NULL").select("part", "segment")
+    size = segments.agg(F.max(F.octet_length("segment"))).first()[0] or 8
+    bits = None
+    if parts * size * 8 <= MAX_BITS:
+        words_of = np.zeros((parts, size), np.uint8)
+        for r in segments.toLocalIterator():
+            own = np.frombuffer(r["segment"], np.uint8)
+            words_of[r["part"]] = np.tile(own, size // len(own))  # sizes are powers of two, so a repeated segment answers as the segment
+        bits = Filter(words_of.reshape(-1), parts, size * 8)
+    model = Model(bits, total or 0, distinct or 0, keys[order], top.column("n").to_numpy().astype(np.int64)[order])
+    return model, words.filter(~is_top), segments, parts
+
+
+def run_keys(column: pa.ChunkedArray) -> np.ndarray:
+    """The sorted distinct words and pairs of these texts."""
+    found = []
+    for _, _, data, offsets in text_slices(column):
+        h, off = with_ends(tokenize(data, offsets, SPACE))
+        found.append(np.unique(np.concatenate([h, pairs(h, off)])))
+    return np.unique(np.concatenate(found))
+
+
+def answered(rows: DataFrame, segments: DataFrame, parts: int) -> DataFrame:
+    """(run, part, levels) of each run's n-grams, one byte each in the order of their keys."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        keys = run_keys(table.column("text"))
+        blobs = [(part, keys[a:b].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()) for part, a, b in _owned(keys, parts)]
+        run = table.column("run")[0].as_py()
+        return pa.table({"run": pa.array([run] * len(blobs), pa.int64()), "part": pa.array([b[0] for b in blobs], pa.int32()), "keys": pa.array([b[1] for b in blobs], pa.binary())})
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        levels = []
+        if asked.num_rows and held.num_rows:
+            own = np.frombuffer(held.column("segment")[0].as_py(), np.uint8)
+            bits = Filter(own, 1, len(own) * 8)
+        for blob in asked.column("keys").to_pylist():
+            keys = np.zeros((len(blob) // KEY_BYTES, 8), np.uint8)
+            if held.num_rows:
+                keys[:, :KEY_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, KEY_BYTES)
+                levels.append(bits.levels(keys.view(np.uint64)[:, 0]).astype(np.uint8).tobytes())
+            else:
+                levels.append(bytes(len(keys)))
+        return pa.table({"run": asked.column("run"), "part": asked.column("part"), "levels": pa.array(levels, pa.binary())})
+
+    asked = rows.groupBy("run").applyInArrow(ask, "run long, part int, keys binary")
+    return asked.groupBy("part").cogroup(segments.groupBy("part")).applyInArrow(answer, "run long, part int, levels binary")
 
 
 def score_texts(model: Model, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -251,24 +319,37 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Null and empty texts are one end. Words outside the training texts have count 0. Null ids are
     learnt from; repeated rows stay rows; extra columns are not read. An empty table gives none.
     """
-    model, rare = fit(docs)
+    model, rare, segments, parts = fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def score(batch: pa.RecordBatch, m: Model) -> Iterator[pa.RecordBatch]:
+        for i, j, data, offsets in text_slices(batch.column(2)):
+            h, off = with_ends(tokenize(data, offsets, SPACE))
+            score, base, known, left = score_texts(m, h, off)
+            cuts = np.concatenate([[0], np.cumsum(np.add.reduceat(left.astype(np.int64), off[:-1]))])
+            rest = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(h[left].view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(np.diff(off)), pa.array(known), pa.array(base), pa.array(score), rest], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rest"]
+            )
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            for i, j, data, offsets in text_slices(batch.column(2)):
-                h, off = with_ends(tokenize(data, offsets, SPACE))
-                score, base, known, left = score_texts(m, h, off)
-                cuts = np.concatenate([[0], np.cumsum(np.add.reduceat(left.astype(np.int64), off[:-1]))])
-                rest = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(h[left].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(np.diff(off)), pa.array(known), pa.array(base), pa.array(score), rest], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rest"]
-                )
-
-    rows = docs.select("doc_id", (~learnt()).alias("held_out"), F.col("text").cast("string"))
+            yield from score(batch, shared.value)
+
+    def score_run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        found = b"".join(x for _, x in sorted(zip(answers.column("part").to_pylist(), answers.column("levels").to_pylist())))
+        m = replace(shared.value, filter=Answers(run_keys(texts.column("text")), np.frombuffer(found, np.uint8)))
+        (batch,) = texts.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches()
+        return pa.Table.from_batches(score(batch, m))
+
+    rows = docs.select("doc_id", (~learnt()).alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    part = rows.mapInArrow(stream, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>")
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>"
+    if model.filter is None:
+        rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).repartition(parts, "run")
+        part = rows.groupBy("run").cogroup(answered(rows, segments, parts).groupBy("run")).applyInArrow(score_run, schema)
+    else:
+        part = rows.mapInArrow(stream, schema)
     part = checkpointed(part.withColumn("row", F.monotonically_increasing_id()))
     rest = part.select("row", F.explode("rest").alias("word")).join(rare, "word").groupBy("row").agg(F.count("*").alias("rest_known"), F.sum(F.log10(F.col("n") + 0.5)).alias("rest_base"))
     joined = part.withColumn("n_rest", F.size("rest")).drop("rest").join(rest, "row", "left")

@@ -206,6 +206,31 @@ def test_bloom_levels_have_no_false_negatives():
     assert (other == 0).mean() > 0.9
 
 
+@pytest.mark.parametrize("bound", [1 << 29, 0])
+def test_filter_grows_with_its_levels(spark, monkeypatch, bound):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 400) % 50000)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in bloomlm.score_documents(docs).collect()}
+    monkeypatch.setattr(bloomlm, "MAX_BITS", bound)
+    monkeypatch.setattr(bloomlm, "PART_BYTES", 1 << 16)
+    model, _, segments, parts = bloomlm.fit(docs)
+    assert parts >= 8 and (model.filter is None) == (bound == 0)
+    for r in segments.collect():
+        assert np.unpackbits(np.frombuffer(r.segment, np.uint8)).mean() < 0.35
+    got = {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in bloomlm.score_documents(docs).collect()}
+    assert {i: x[:2] for i, x in got.items()} == {i: x[:2] for i, x in want.items()}
+    assert max(abs(got[i][2] - want[i][2]) for i in want) < 0.02 * max(abs(x[2]) for x in want.values())
+
+
+def test_dealt_answers_equal_the_broadcast_filter(docs, none, monkeypatch):
+    monkeypatch.setattr(bloomlm, "PART_BYTES", 1 << 14)
+    want = sorted(map(repr, bloomlm.score_documents(docs).collect()))
+    monkeypatch.setattr(bloomlm, "MAX_BITS", 0)
+    assert sorted(map(repr, bloomlm.score_documents(docs).collect())) == want
+    assert bloomlm.score_documents(none).count() == 0
+
+
 # 7
 
 
