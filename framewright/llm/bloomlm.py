@@ -2,8 +2,7 @@
 
 A bigram model's quantised counts live in one Bloom filter: an n-gram of level q is inserted
 with each of 1..q, and its level is read back by membership probes 1, 2, .. until one fails.
-Words have level 1 + floor(log2 c), word pairs floor(log2 c), so a pair seen once is left to the
-smoothing. A text's probability comes from interpolated estimates
+Words and word pairs have level 1 + floor(log2 c). A text's probability comes from interpolated estimates
 (1 - LAMBDA) p(w) + LAMBDA min(c(v, w), c(v)) / c(v), with p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
 and p(w) alone after a word that isn't known.
 
@@ -115,9 +114,9 @@ class Answers:
         return self.found[np.searchsorted(self.keys, keys)].astype(np.int64)
 
 
-def expected(levels: np.ndarray, least: int) -> np.ndarray:
-    """The middle count of a level (0 below the first); ``least``: the level of count 1."""
-    return np.where(levels > 0, np.where(levels == least, float(least), 1.5 * 2.0 ** (levels - least) - (0.5 if least else 0.0)), 0.0)
+def expected(levels: np.ndarray) -> np.ndarray:
+    """The middle count of a level (0 below the first)."""
+    return np.where(levels > 0, 1.5 * 2.0 ** (levels - 1) - 0.5, 0.0)
 
 
 @dataclass
@@ -191,7 +190,7 @@ def count_ngrams(docs: DataFrame, parts: int) -> DataFrame:
             keys, n = keys[order], n[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             keys, n = keys[first], np.add.reduceat(n, first)
-            held.append((keys, np.floor(np.log2(n)).astype(np.int64) + (1 if kind == 0 else 0)))
+            held.append((keys, np.floor(np.log2(n)).astype(np.int64) + 1))
             if kind == 0:
                 for at in range(0, len(keys), 100_000):
                     k = keys[at : at + 100_000]
@@ -299,14 +298,14 @@ def score_texts(model: Model, h: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     if len(model.top):
         at = np.minimum(np.searchsorted(model.top, unique), len(model.top) - 1)
         top = np.where(model.top[at] == unique, model.top_counts[at], 0)
-    one = expected(model.filter.levels(unique), 1)
+    one = expected(model.filter.levels(unique))
     base = np.where(top > 0, np.log10(top + 0.5), 0.0)[inverse]
     known = (top > 0)[inverse]
     word = one[inverse]
     before = np.empty_like(word)
     before[1:] = word[:-1]
     before[offsets[:-1]] = one[np.searchsorted(unique, END)]
-    pair = expected(model.filter.levels(pairs(h, offsets)), 0)
+    pair = expected(model.filter.levels(pairs(h, offsets)))
     alone = np.minimum((word + 0.5) / model.denominator, 1.0)
     p = np.where(before > 0, (1 - LAMBDA) * alone + LAMBDA * np.minimum(pair, before) / np.maximum(before, 1.0), alone)
     begin = offsets[:-1]

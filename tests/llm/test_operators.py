@@ -231,6 +231,17 @@ def test_dealt_answers_equal_the_broadcast_filter(docs, none, monkeypatch):
     assert bloomlm.score_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("bound", [1 << 29, 0])
+def test_a_pair_seen_once_scores_above_an_unseen_one(spark, monkeypatch, bound):
+    monkeypatch.setattr(bloomlm, "MAX_BITS", bound)
+    ids = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = [(i, " ".join(f"v{i}x{k}" for k in range(20))) for i in ids] + [(held, f"v{ids[0]}x3 v{ids[0]}x4"), (held, f"v{ids[0]}x3 v{ids[1]}x9")]
+    got = bloomlm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).filter(F.col("doc_id") == held).collect()
+    seen, unseen = sorted((r.score for r in got), reverse=True)
+    assert seen > unseen + 1
+
+
 # 7
 
 
