@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of each whole text. A template's distinct tokens are ordered by how many
+Blocks are the lines of each whole text and, for each template, all windows of as many words as it
+has, over line breaks, so that a wrapped notice is met too. A template's distinct tokens are ordered by how many
 documents of the whole corpus hold them, rarest first; a block that holds at least ``threshold``
 of a template's tokens must hold one of its first ``len - need + 1`` (prefix filter), must be long
 enough (length filter), and must keep enough tokens from the first shared one on (positional
@@ -46,6 +47,7 @@ THRESHOLD = 0.8
 class _Template:
     label: str
     tokens: list[int]
+    words: int
     need: int
     prefix: list[int]
 
@@ -56,7 +58,7 @@ def ordered_templates(templates: dict[str, str], threshold: float, frequency: di
     for label, text in templates.items():
         tokens = sorted({int(h) for h in hash_words(text.split())}, key=lambda t: (frequency.get(t, 0), t))
         need = math.ceil(threshold * len(tokens) - 1e-9)
-        out.append(_Template(label, tokens, need, tokens[: len(tokens) - need + 1]))
+        out.append(_Template(label, tokens, len(text.split()), need, tokens[: len(tokens) - need + 1]))
     return out
 
 
@@ -91,6 +93,9 @@ class Scanner:
                 self.index[token].append((i, position))
         self.prefix = np.array(sorted(self.index), np.uint64)
         self.sets = [set(t.tokens) for t in templates]
+        self.wanted = np.array(sorted(set().union(*self.sets)), np.uint64)
+        self.member = [np.append(np.isin(self.wanted, np.array(t.tokens, np.uint64)), False) for t in templates]
+        self.rare = [np.append(np.isin(self.wanted, np.array(t.prefix, np.uint64)), False) for t in templates]
         self.phrases = [(hash_words(p.split()), label) for p, label in BASE.items()]
 
     def block(self, tokens: list[int]) -> dict[int, int]:
@@ -109,6 +114,22 @@ class Scanner:
                     out[i] = shared
         return out
 
+    def windows(self, h: np.ndarray, off: np.ndarray, lines: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, template, shared tokens) of windows over line breaks that meet a template."""
+        at = np.minimum(np.searchsorted(self.wanted, h), len(self.wanted) - 1)
+        at = np.where(self.wanted[at] == h, at, len(self.wanted))
+        ends = np.repeat(off[1:], np.diff(off))
+        for i, t in enumerate(self.templates):
+            end = np.minimum(np.arange(len(h)) + t.words, ends)
+            held = np.concatenate([[0], np.cumsum(self.member[i][at])])
+            rare = np.concatenate([[0], np.cumsum(self.rare[i][at])])
+            starts = np.flatnonzero((held[end] - held[:-1] >= t.need) & (rare[end] > rare[:-1]) & (lines[end - 1] > lines))
+            docs = np.searchsorted(off, starts, "right") - 1
+            for a, d in zip(starts.tolist(), docs.tolist()):
+                shared = len(self.sets[i].intersection(h[a : end[a]].tolist()))
+                if shared >= t.need:
+                    yield d, i, shared
+
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, list, dict]]:
         """(document, words, [(label, first word, words)], {template: containment}) for each document."""
         tokens = tokenize(data, offsets, PUNCT)
@@ -129,7 +150,8 @@ class Scanner:
             hits = np.flatnonzero(self.prefix[at] == h)
             if len(hits):
                 breaks = np.flatnonzero(data == 0x0A)
-                lines = np.searchsorted(breaks, tokens.starts[hits])
+                every = np.searchsorted(breaks, tokens.starts)
+                lines = every[hits]
                 docs = np.searchsorted(off, hits, "right") - 1
                 for line, doc in sorted({(int(a), int(b)) for a, b in zip(lines, docs)}):
                     begin = max(int(breaks[line - 1]) if line else 0, int(offsets[doc]))
@@ -137,6 +159,8 @@ class Scanner:
                     a, b = np.searchsorted(tokens.starts, [begin, end])
                     for i, shared in self.block(h[a:b].tolist()).items():
                         met[doc][i] = max(met[doc].get(i, 0.0), shared / len(self.templates[i].tokens))
+                for doc, i, shared in self.windows(h, off, every):
+                    met[doc][i] = max(met[doc].get(i, 0.0), shared / len(self.templates[i].tokens))
         for d in range(len(off) - 1):
             yield d, int(off[d + 1] - off[d]), sorted(found.get(d, ()), key=lambda x: x[1]), met.get(d, {})
 

@@ -174,6 +174,23 @@ def test_license_filters_lose_nothing():
         assert met == pytest.approx(want)
 
 
+def test_wrapped_notices_are_met():
+    scanner = licenses.Scanner(licenses.ordered_templates(licenses.TEMPLATES, 0.8, {}))
+    texts, want = [], []
+    for i, t in enumerate(licenses.TEMPLATES.values()):
+        words = t.split()
+        for width in (3, 7):
+            texts.append("before it\n" + "\n * ".join(" ".join(words[k : k + width]) for k in range(0, len(words), width)) + "\nafter it")
+            want.append(i)
+    for width in (2, 4):
+        notice = licenses.TEMPLATES["bsd"].split()
+        texts += ["\n\n".join(notice[:width]), "\n".join(" ".join(notice[k : k + 2]) + "\nother words" for k in range(0, len(notice), 2))]
+        want += [None, None]
+    _, _, data, off = next(text_slices(pa.array(texts)))
+    for d, _, _, met in scanner.scan(data, off):
+        assert met == {} if want[d] is None else met[want[d]] == 1.0
+
+
 def test_license_edge_cases(docs, none):
     rows = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     assert rows[10].base_labels == "cc-by-nc,mit" and rows[10].n_base == 3 and rows[10].first_word == 1 and rows[10].score == 1.0
