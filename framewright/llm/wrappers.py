@@ -11,9 +11,10 @@ with a third of all pages sends one row per task and stream. Whether a text slot
 constant of the template comes from a distributed aggregate over (host, path).
 
 The wrapper names the host's content element; its text slots outside chrome (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, comments) are the main text. A text that is
-the same in all of at least ``LEAST`` pages of a host that hold its path, and not all copies of
-one page, is a constant of the template and dropped.
+footers, sidebars, notices, adverts, forms, scripts, comments) are the main text. A path whose text
+is the same wherever the host has it is a constant of the template, and dropped, if at least
+``LEAST`` distinct articles and the ``SHARE`` of all the host's distinct articles hold it; copies
+of an article count once. Headings inside the content element are never constants.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp svg math".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
@@ -58,7 +60,7 @@ CLOSES = {
     "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option"]), "head": frozenset(["body"]),
 }
 _FORMATTING = frozenset("a b i em strong u s small big span font code tt abbr cite q sub sup mark ins del kbd samp var time".split())
-LEAST = 3
+LEAST, SHARE = 3, 0.9
 #: Elements nested deeper than this keep their text but are not levels of a path.
 MAX_DEPTH = 200
 #: Wrappers of up to so many bytes are broadcast to their pages.
@@ -320,6 +322,17 @@ def wrapper_rank(wrapper: Group) -> int:
     return content_rank(labels)
 
 
+def article_text(page: Page) -> str:
+    """The text of the page's own content element, by the first rule that gives one."""
+    return next((t for r in range(len(_RANKS) + 1) if (t := _blocks(page, r, frozenset()))), "")
+
+
+def _own_heading(path: tuple[str, ...]) -> bool:
+    """Whether the path is a heading inside a content element."""
+    root = next((k for k, x in enumerate(path) if any(_starts(x, r) for r in range(len(_RANKS)))), len(path))
+    return any(x.split(".")[0].rstrip("!") in HEADINGS for x in path[root + 1 :])
+
+
 def main_text(source: str | None, rank: int | None = None, constants: frozenset[str] = frozenset()) -> str:
     """The main text of a page under a host's wrapper (its content rank and constant paths)."""
     if not source:
@@ -367,27 +380,41 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         for batch in batches:
             streams: dict[tuple[str, str], int] = {}
             paths: dict[tuple[str, str], list[int]] = {}
+            articles: dict[tuple[str, str], set[int]] = {}
+            headings: dict[tuple, bool] = {}
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = parse(source or "")
                 own = str(folded(page.stream))
                 streams[host, own] = streams.get((host, own), 0) + 1
                 texts: dict[str, list[str]] = {}
                 for node in page.nodes:
-                    texts.setdefault("/".join(node.path), []).append(" ".join(node.text.split()))
-                body = hash_text(source or "")
+                    if node.path not in headings:
+                        headings[node.path] = _own_heading(node.path)
+                    if not headings[node.path]:
+                        texts.setdefault("/".join(node.path), []).append(" ".join(node.text.split()))
+                if (article := hash_text(article_text(page))) is None:
+                    continue
+                articles.setdefault((host, ""), set()).add(article)
                 for path, parts in texts.items():
                     if (h := hash_text("\n".join(p for p in parts if p))) is not None:
-                        seen = paths.setdefault((host, path), [0, h, h, body, body])
-                        paths[host, path] = [seen[0] + 1, min(seen[1], h), max(seen[2], h), min(seen[3], body), max(seen[4], body)]
-            rows = [(h, s, None, n, 0, 0, 0, 0) for (h, s), n in streams.items()] + [(h, None, p, *v) for (h, p), v in paths.items()]
+                        lo, hi = paths.get((host, path), (h, h))
+                        paths[host, path] = (min(lo, h), max(hi, h))
+                        articles.setdefault((host, path), set()).add(article)
+            rows = [(h, s, None, None, n, 0, 0) for (h, s), n in streams.items()] + [(h, None, p, None, 0, *v) for (h, p), v in paths.items()]
+            same = ((h, p) for h, p in articles if not p or paths[h, p][0] == paths[h, p][1])  # a path whose text differs is no constant
+            rows += [(h, None, p, a, 0, 0, 0) for h, p in same for a in articles[h, p]]
             if rows:
-                kinds = [pa.string()] * 3 + [pa.int64()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["host", "stream", "path", "n", "lo", "hi", "page_lo", "page_hi"])
+                kinds = [pa.string()] * 3 + [pa.int64()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["host", "stream", "path", "article", "n", "lo", "hi"])
 
-    schema = "host string, stream string, path string, n long, lo long, hi long, page_lo long, page_hi long"
+    schema = "host string, stream string, path string, article long, n long, lo long, hi long"
     seen = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(read, schema)
-    seen = checkpointed(seen.groupBy("host", "stream", "path").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("page_lo").alias("page_lo"), F.max("page_hi").alias("page_hi")))
-    constant = seen.filter(f"path IS NOT NULL AND n >= {LEAST} AND lo = hi AND page_lo < page_hi").groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("constants"))
+    seen = checkpointed(seen.groupBy("host", "stream", "path", "article").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    held = seen.filter("article IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("articles"))
+    every = held.filter("path = ''").select("host", F.col("articles").alias("every"))
+    equal = seen.filter("path IS NOT NULL AND article IS NULL AND lo = hi").select("host", "path")
+    constant = held.filter(f"articles >= {LEAST}").join(equal, ["host", "path"]).join(every, "host").filter(f"articles >= {SHARE} * every")
+    constant = constant.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("constants"))
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, wrapper, done = None, None, []

@@ -130,6 +130,16 @@ def test_constants_of_a_host_are_dropped(spark):
     assert all(r.text == f"Story {r.page_id} text" for r in got)
 
 
+def test_copies_and_own_headings_keep_their_text(spark):
+    copies = [(i, f"http://h/{i}", f"<div class=promo{i}>Offer {i}</div><article><p>Copied</p><ul><li>one</li><li>two</li></ul></article>") for i in range(4)]
+    others = [(10 + i, f"http://h/{10 + i}", f"<article><p>Story {i}</p>{'<h2>Summary</h2><blockquote>Said</blockquote>' if i < 4 else ''}</article>") for i in range(12)]
+    headed = [(30 + i, f"http://g/{i}", f"<article><h2>Summary</h2><p>Story {i}</p><div>Read more</div></article>") for i in range(5)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(copies + others + headed, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(4)} == {"Copied\none\ntwo"}
+    assert all(got[10 + i] == f"Story {i}" + ("\nSummary\nSaid" if i < 4 else "") for i in range(12))
+    assert all(got[30 + i] == f"Summary\nStory {i}" for i in range(5))
+
+
 # 4
 
 
