@@ -27,7 +27,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"), short=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ threshold (counted by prefix sums, so nothing that could reach it is left out).
 128 bits are looked up among the items of that length by multi-index Hamming blocks: two
 fingerprints within ``RADIUS`` agree to within ``RADIUS // BLOCKS`` bits in one of the blocks, so
 no item within the radius is missed. Candidates are verified by exact weighted-shingle similarity (sum
-of minima over sum of maxima of shingle counts). Items are taken in blocks of a bounded number
+of minima over sum of maxima of shingle counts). A document shorter than an item is one window
+(``short``; without it such a document leaks nothing of that item). Items are taken in blocks of a bounded number
 of bytes, each block against all documents.
 """
 
@@ -59,8 +60,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 class Index:
     """Fingerprints and shingles of a block of items, by item length in words."""
 
-    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD):
-        self.threshold = threshold
+    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD, short: bool = False):
+        self.threshold, self.short = threshold, short
         self.ids = [i for i, _ in items]
         by_length: dict[int, list] = defaultdict(list)
         known: dict[int, list] = defaultdict(list)
@@ -117,10 +118,11 @@ class Index:
         hit = np.cumsum(hit)
         signs: dict[int, np.ndarray] = {}
         for n, (rows, sets, _) in self.lengths.items():
-            m = n - width + 1
-            if min(WORDS, n) != width or m > len(g):
+            full = n - width + 1
+            if min(WORDS, n) != width or full > len(g) and not (self.short and len(g) >= full * self.threshold - 1e-9):
                 continue
-            need = math.ceil(2 * m * self.threshold / (1 + self.threshold) - 1e-9)
+            m = min(full, len(g))
+            need = math.ceil((full + m) * self.threshold / (1 + self.threshold) - 1e-9)
             starts = np.flatnonzero(hit[m:] - hit[:-m] >= need) if m < len(hit) else np.zeros(0, int)
             for part in np.array_split(starts, -(-len(starts) // 4096)) if len(starts) else ():
                 for run in np.split(part, np.flatnonzero(np.diff(part) > 4 * m) + 1):
@@ -131,7 +133,7 @@ class Index:
                         start = int(run[w1])
                         s = similarity(np.sort(g[start : start + m]), sets[i1])
                         if s >= self.threshold - 1e-12:
-                            key, value = (d, rows[i1]), (-s, start, n, d1)
+                            key, value = (d, rows[i1]), (-s, start, m + width - 1, d1)
                             best[key] = min(best.get(key, value), value)
 
 
@@ -147,7 +149,7 @@ def item_blocks(items: DataFrame, item_bytes: int = ITEM_BYTES) -> Iterator[list
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long, distance int"
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, short: bool = False) -> DataFrame:
     """One row per document row and item that it leaks: the best window's similarity (ties: the
     first), its first word and words, and the fingerprints' distance.
 
@@ -158,7 +160,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
     found = None
     for block in item_blocks(items):
-        index = Index(block, threshold)
+        index = Index(block, threshold, short)
 
         def stream(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -174,11 +176,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     return found
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def find_all_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``find_leaks`` with documents shorter than an item as windows of their own."""
+    return find_leaks(docs, items, short=True)
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, short: bool = False) -> DataFrame:
     """The documents that leak no item, with their columns as they are."""
     column = docs.columns.index("text")
     for block in item_blocks(items):
-        index = Index(block, threshold)
+        index = Index(block, threshold, short)
 
         def stream(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

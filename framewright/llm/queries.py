@@ -17,7 +17,7 @@ _OPERATORS = {
     "op4_quality": ("quality", "classify", ("documents", "labels")),
     "op5_licenses": ("licenses", "scan_licenses", ("documents",)),
     "op6_bloomlm": ("bloomlm", "score_documents", ("documents",)),
-    "op7_decontaminate": ("decontaminate", "find_leaks", ("documents", "benchmark")),
+    "op7_decontaminate": ("decontaminate", "find_all_leaks", ("documents", "benchmark")),
     "op8_neardup": ("neardup", "components", ("documents",)),
     "op9_chat": ("chat", "format_all", ("conversations",)),
     "op10_kdshard": ("kdshard", "shard_documents", ("documents",)),

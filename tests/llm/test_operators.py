@@ -313,6 +313,23 @@ def test_leaks_against_brute_force(spark, small):
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_documents_shorter_than_an_item_leak_it(spark, small):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()] + [(900, "one two three"), (901, "a b c d e f")]
+    clean = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", low(t))
+    texts = [" ".join(t.split()[a:b]) for _, t in items[:40] for a, b in ((0, -1), (0, -2), (1, None), (0, -9), (3, -3))] + ["one two", "a b c d e", "b c d e"]
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in items:
+            own, target = Counter(grams(clean(text))), Counter(grams(clean(item)))
+            if len(clean(text)) < len(clean(item)) and (s := sum((own & target).values()) / sum((own | target).values())) >= 0.8 - 1e-12:
+                want[d, i] = (round(s, 6), 0, len(clean(text)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 6), r.start_word, r.n_words) for r in decontaminate.find_all_leaks(docs, bench).collect()}
+    assert len(want) > 100 and got == want
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench, short=True).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 # 8
 
 
