@@ -3,10 +3,11 @@
 For every item length, windows of as many words slide over each whole text. A window is
 fingerprinted if enough of its five-word shingles occur in any item at all to reach the
 threshold (counted by prefix sums, so nothing that could reach it is left out). Fingerprints of
-128 bits are looked up among the items of that length by multi-index Hamming blocks: two
-fingerprints within ``RADIUS`` agree to within ``RADIUS // BLOCKS`` bits in one of the blocks, so
-no item within the radius is missed. Candidates are verified by exact weighted-shingle similarity (sum
-of minima over sum of maxima of shingle counts). A document shorter than an item is one window
+256 bits are looked up among the items of that length in a multi-index: each of ``BLOCKS`` blocks
+has a table from its 16 bits to items, and a window probes every value that differs from its own in
+at most ``RADIUS // BLOCKS`` bits. Two fingerprints within ``RADIUS`` are that near in one of the
+blocks, so no item within the radius is missed. Candidates are checked by their whole distance, then
+verified by exact weighted-shingle similarity (sum of minima over sum of maxima of shingle counts). A document shorter than an item is one window
 (``short``; without it such a document leaks nothing of that item). Items are taken in blocks of a bounded number
 of bytes, each block against all documents.
 """
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 from framewright.llm.textkernel import PUNCT, Tokens, mix64, text_slices, tokenize
 
-WORDS, THRESHOLD, BITS, BLOCKS, RADIUS = 5, 0.8, 128, 16, 44
+WORDS, THRESHOLD, BITS, BLOCKS, RADIUS = 5, 0.8, 256, 16, 63
+#: A block is 16 bits; the changes to a block that a probe tries.
+_BLOCK_BITS = BITS // BLOCKS
+_NEAR = np.array([m for m in range(1 << _BLOCK_BITS) if m.bit_count() <= RADIUS // BLOCKS], np.uint32)
 #: Bytes of items in one block; a block's index is a small multiple of it.
 ITEM_BYTES = 8 << 20
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -40,8 +43,8 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def _signs(shingles: np.ndarray) -> np.ndarray:
     """BITS values of +1 or -1 for each shingle."""
-    halves = np.stack([mix64(shingles ^ np.uint64(salt)) for salt in (0x51A5, 0xC3D2)], 1)
-    return np.unpackbits(halves.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1).astype(np.int32) * 2 - 1
+    words = np.stack([mix64(shingles ^ np.uint64(0x51A5 * (k + 1))) for k in range(BITS // 64)], 1)
+    return np.unpackbits(words.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1).astype(np.int32) * 2 - 1
 
 
 def _fingerprints(sums: np.ndarray) -> np.ndarray:
@@ -57,6 +60,46 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / max(1, np.maximum(x, y).sum()))
 
 
+class MultiIndex:
+    """Tables from each block's value to the fingerprints that have it."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = np.ascontiguousarray(prints).view(np.uint64)
+        keys = self._keys(prints).reshape(-1)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rows = keys[order], (order // BLOCKS).astype(np.int32)
+        present = np.zeros(BLOCKS << _BLOCK_BITS, bool)
+        present[self.keys] = True
+        self.present = np.packbits(present, bitorder="little")
+
+    @staticmethod
+    def _keys(prints: np.ndarray) -> np.ndarray:
+        """(fingerprint, block): the block's number and value."""
+        values = np.ascontiguousarray(prints).view(np.uint16).astype(np.uint32)
+        return values | (np.arange(BLOCKS, dtype=np.uint32) << np.uint32(_BLOCK_BITS))
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (window, row) that are near in one of the blocks at least."""
+        own, found = self._keys(prints), []
+        for at in range(0, len(own), 64):
+            probes = own[at : at + 64, :, None] ^ _NEAR
+            w, b, m = np.nonzero(self.present[probes >> np.uint32(3)] >> (probes & np.uint32(7)).astype(np.uint8) & 1)
+            keys = probes[w, b, m]
+            left, right = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
+            n = right - left
+            places = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else left
+            found.append(np.unique(np.repeat(w + at, n) * len(self.prints) + self.rows[places]))
+        pairs = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return pairs // len(self.prints), pairs % len(self.prints)
+
+    def lookup(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, row, distance) of all pairs within RADIUS."""
+        w, i = self.candidates(prints)
+        d = np.bitwise_count(np.ascontiguousarray(prints).view(np.uint64)[w] ^ self.prints[i]).sum(1, dtype=np.int32)
+        near = d <= RADIUS
+        return w[near], i[near], d[near]
+
+
 class Index:
     """Fingerprints and shingles of a block of items, by item length in words."""
 
@@ -72,26 +115,13 @@ class Index:
                     g = grams(h, min(WORDS, len(h)))
                     by_length[len(h)].append((k, np.sort(g), _fingerprints(_signs(g).sum(0, keepdims=True))[0]))
                     known[min(WORDS, len(h))].append(g)
-        self.lengths = {n: ([k for k, _, _ in rows], [s for _, s, _ in rows], np.stack([f for _, _, f in rows])) for n, rows in sorted(by_length.items())}
+        self.lengths = {n: ([k for k, _, _ in rows], [s for _, s, _ in rows], MultiIndex(np.stack([f for _, _, f in rows]))) for n, rows in sorted(by_length.items())}
         self.known = {n: np.unique(np.concatenate(g)) for n, g in known.items()}
         self.table = {}
         for n, g in self.known.items():
             self.table[n] = np.zeros(1 << 20, bool)
             self.table[n][g & np.uint64((1 << 20) - 1)] = True
 
-    def lookup(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item row, distance) of all pairs within RADIUS among items of n words."""
-        own = self.lengths[n][2]
-        step = max(1, (1 << 20) // max(1, len(own) * BLOCKS))
-        found = []
-        for at in range(0, len(prints), step):
-            apart = _POP[prints[at : at + step, None, :] ^ own[None, :, :]]
-            w, i = np.nonzero((apart <= RADIUS // BLOCKS).any(2))
-            d = apart[w, i].sum(1, dtype=np.int32)
-            near = d <= RADIUS
-            found.append((w[near] + at, i[near], d[near]))
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
-
     def search(self, tokens: Tokens) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(document, item, similarity, start word, words, distance): each document's best window per item."""
         h, off = tokens.hashes, tokens.offsets
@@ -116,8 +146,7 @@ class Index:
         hit = np.zeros(len(g) + 1, np.int64)
         hit[hits + 1] = 1
         hit = np.cumsum(hit)
-        signs: dict[int, np.ndarray] = {}
-        for n, (rows, sets, _) in self.lengths.items():
+        for n, (rows, sets, prints) in self.lengths.items():
             full = n - width + 1
             if min(WORDS, n) != width or full > len(g) and not (self.short and len(g) >= full * self.threshold - 1e-9):
                 continue
@@ -128,7 +157,7 @@ class Index:
                 for run in np.split(part, np.flatnonzero(np.diff(part) > 4 * m) + 1):
                     a, b = int(run[0]), int(run[-1]) + m
                     sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_signs(g[a:b]), 0, dtype=np.int32)])
-                    w, i, apart = self.lookup(n, _fingerprints(sums[run - a + m] - sums[run - a]))
+                    w, i, apart = prints.lookup(_fingerprints(sums[run - a + m] - sums[run - a]))
                     for w1, i1, d1 in zip(w.tolist(), i.tolist(), apart.tolist()):
                         start = int(run[w1])
                         s = similarity(np.sort(g[start : start + m]), sets[i1])
@@ -154,7 +183,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     first), its first word and words, and the fingerprints' distance.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Null and empty
-    texts leak nothing, items without words are found nowhere; repeated items are items of their own.
+    texts leak nothing, items without words are found nowhere; repeated items are items of their own
+    and repeated documents rows of their own; null ids are carried. Very long texts are worked through
+    window by window; extra columns are not read; an empty table on either side gives no rows.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
@@ -182,7 +213,11 @@ def find_all_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, short: bool = False) -> DataFrame:
-    """The documents that leak no item, with their columns as they are."""
+    """The documents that leak no item, with their columns as they are, whatever their names.
+
+    Null and empty texts leak nothing and stay, as do null ids; repeated rows stay or go together; a long
+    text goes if any window leaks. Without items all rows stay; an empty table gives none.
+    """
     column = docs.columns.index("text")
     for block in item_blocks(items):
         index = Index(block, threshold, short)

@@ -289,6 +289,21 @@ def leak(text, item):
     return best
 
 
+def test_multi_index_finds_all_within_the_radius_from_fewer_candidates():
+    rng = np.random.default_rng(7)
+    own = rng.integers(0, 256, (1500, 32), dtype=np.uint8)
+    bits = np.unpackbits(own[:400], axis=1)
+    for row in bits:
+        row[rng.permutation(256)[: int(rng.integers(0, 90))]] ^= 1
+    asked = np.packbits(bits, axis=1)
+    index = decontaminate.MultiIndex(own)
+    apart = np.bitwise_count(asked.view(np.uint64)[:, None, :] ^ own.view(np.uint64)[None]).sum(2)
+    want = {(w, i): apart[w, i] for w, i in zip(*map(np.ndarray.tolist, np.nonzero(apart <= decontaminate.RADIUS)))}
+    w, i, d = index.lookup(asked)
+    assert dict(zip(zip(w.tolist(), i.tolist()), d.tolist())) == want and len(want) > 200
+    assert len(want) < len(index.candidates(asked)[0]) < apart.size / 4
+
+
 def test_leaks_against_brute_force(spark, small):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()] + [(900, "one two three"), (901, None), (902, ""), (903, "one two three")]
     rng = np.random.default_rng(2)
