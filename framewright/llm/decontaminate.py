@@ -4,9 +4,10 @@ For every item length, windows of as many words slide over each whole text. A wi
 fingerprinted if enough of its five-word shingles occur in any item at all to reach the
 threshold (counted by prefix sums, so nothing that could reach it is left out). Fingerprints of
 256 bits are looked up among the items of that length in a multi-index: each of ``BLOCKS`` blocks
-has a table from its 16 bits to items, and a window probes every value that differs from its own in
-at most ``RADIUS // BLOCKS`` bits. Two fingerprints within ``RADIUS`` are that near in one of the
-blocks, so no item within the radius is missed. Candidates are checked by their whole distance, then
+has a table from 16-bit values to items, where an item stands under its own value and all that differ
+from it in one bit; a window probes its own value and all that differ from it in one or two. Two
+fingerprints within ``RADIUS`` differ in at most three bits of one of the blocks, so no item within the
+radius is missed. Candidates are checked by their whole distance, then
 verified by exact weighted-shingle similarity (sum of minima over sum of maxima of shingle counts). A document shorter than an item is one window
 (``short``; without it such a document leaks nothing of that item). Items are taken in blocks of a bounded number
 of bytes, each block against all documents.
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 from framewright.llm.textkernel import PUNCT, Tokens, mix64, text_slices, tokenize
 
 WORDS, THRESHOLD, BITS, BLOCKS, RADIUS = 5, 0.8, 256, 16, 63
-#: A block is 16 bits; the changes to a block that a probe tries.
-_BLOCK_BITS = BITS // BLOCKS
-_NEAR = np.array([m for m in range(1 << _BLOCK_BITS) if m.bit_count() <= RADIUS // BLOCKS], np.uint32)
-#: Bytes of items in one block; a block's index is a small multiple of it.
+#: A block is 16 bits. Changes to a block that an item is stored under and that a window probes: together
+#: all of up to RADIUS // BLOCKS bits.
+_BLOCK_BITS, _STORED_BITS = BITS // BLOCKS, 1
+_STORED, _PROBED = (np.array([m for m in range(1 << _BLOCK_BITS) if m.bit_count() <= k], np.uint32) for k in (_STORED_BITS, RADIUS // BLOCKS - _STORED_BITS))
+#: Bytes of items in one block; a task's tables of it take about ten times as much.
 ITEM_BYTES = 8 << 20
 
 
@@ -61,16 +63,22 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class MultiIndex:
-    """Tables from each block's value to the fingerprints that have it."""
+    """Tables from each block's values to fingerprints. Only the fingerprints are shipped; a task
+    builds the tables when it first asks."""
 
     def __init__(self, prints: np.ndarray):
-        self.prints = np.ascontiguousarray(prints).view(np.uint64)
-        keys = self._keys(prints).reshape(-1)
+        self.prints = np.ascontiguousarray(prints)
+        self.present = None
+
+    def __getstate__(self) -> dict:
+        return {"prints": self.prints, "present": None}
+
+    def _build(self) -> None:
+        keys = (self._keys(self.prints)[:, :, None] ^ _STORED).reshape(-1)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rows = keys[order], (order // BLOCKS).astype(np.int32)
-        present = np.zeros(BLOCKS << _BLOCK_BITS, bool)
-        present[self.keys] = True
-        self.present = np.packbits(present, bitorder="little")
+        self.keys, self.rows = keys[order], (order // (BLOCKS * len(_STORED))).astype(np.int32)
+        self.present = np.zeros(BLOCKS << _BLOCK_BITS, bool)
+        self.present[self.keys] = True
 
     @staticmethod
     def _keys(prints: np.ndarray) -> np.ndarray:
@@ -80,11 +88,14 @@ class MultiIndex:
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (window, row) that are near in one of the blocks at least."""
+        if self.present is None:
+            self._build()
         own, found = self._keys(prints), []
+        each = BLOCKS * len(_PROBED)
         for at in range(0, len(own), 64):
-            probes = own[at : at + 64, :, None] ^ _NEAR
-            w, b, m = np.nonzero(self.present[probes >> np.uint32(3)] >> (probes & np.uint32(7)).astype(np.uint8) & 1)
-            keys = probes[w, b, m]
+            probes = (own[at : at + 64, :, None] ^ _PROBED).reshape(-1)
+            hits = np.flatnonzero(self.present[probes])
+            w, keys = hits // each, probes[hits]
             left, right = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
             n = right - left
             places = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else left
@@ -95,7 +106,7 @@ class MultiIndex:
     def lookup(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, row, distance) of all pairs within RADIUS."""
         w, i = self.candidates(prints)
-        d = np.bitwise_count(np.ascontiguousarray(prints).view(np.uint64)[w] ^ self.prints[i]).sum(1, dtype=np.int32)
+        d = np.bitwise_count(np.ascontiguousarray(prints).view(np.uint64)[w] ^ self.prints.view(np.uint64)[i]).sum(1, dtype=np.int32)
         near = d <= RADIUS
         return w[near], i[near], d[near]
 
