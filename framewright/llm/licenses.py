@@ -1,11 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of each whole text and, for each template, all windows of as many words as it
-has, over line breaks, so that a wrapped notice is met too. A template's distinct tokens are ordered by how many
-documents of the whole corpus hold them, rarest first; a block that holds at least ``threshold``
-of a template's tokens must hold one of its first ``len - need + 1`` (prefix filter), must be long
-enough (length filter), and must keep enough tokens from the first shared one on (positional
-filter). Survivors are counted exactly. The three base phrases are found at every place.
+Blocks are the lines of each whole text, for whole notices (``NOTICES``) its paragraphs as well (runs of
+lines between blank ones), and for each template all windows of as many words as it has, over line
+breaks, so that a wrapped notice is met too. Tokens have one global order: those of no template first,
+then by how many documents of the whole corpus hold them, rarest first. A block that holds at least
+``need`` of a template's tokens must hold one of its first ``len - need + 1`` (prefix filter) and have
+``need`` tokens at least (length filter). Where the tokens of both are read in the order, each shared one
+bounds the overlap still possible by what is left on either side, and a pair that falls short is left
+(positional filter). Survivors are counted exactly. The three base phrases are found at every place.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.textkernel import PUNCT, hash_words, text_slices, tokenize
+from framewright.llm.textkernel import PUNCT, SPACE, Tokens, hash_words, text_slices, tokenize
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -40,6 +42,19 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
     "all-rights-reserved": "copyright all rights reserved no part of this publication may be reproduced",
 }
+#: Whole notices, met by paragraphs as well as by lines and windows.
+NOTICES = {
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+    "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
+    "furnished to do so subject to the following conditions",
+    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must "
+    "retain the above copyright notice this list of conditions and the following disclaimer",
+    "apache-2-text": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+    "gpl-text": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+    "see the gnu general public license for more details",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+    "notice appear in all copies",
+}
 THRESHOLD = 0.8
 
 
@@ -50,15 +65,16 @@ class _Template:
     words: int
     need: int
     prefix: list[int]
+    notice: bool
 
 
-def ordered_templates(templates: dict[str, str], threshold: float, frequency: dict[int, int]) -> list[_Template]:
-    """Templates with their tokens rarest first; ties by hash."""
+def ordered_templates(templates: dict[str, str], threshold: float, frequency: dict[int, int], notices: dict[str, str] | None = None) -> list[_Template]:
+    """Templates and whole notices with their tokens rarest first; ties by hash."""
     out = []
-    for label, text in templates.items():
+    for label, text in [*templates.items(), *(notices or {}).items()]:
         tokens = sorted({int(h) for h in hash_words(text.split())}, key=lambda t: (frequency.get(t, 0), t))
         need = math.ceil(threshold * len(tokens) - 1e-9)
-        out.append(_Template(label, tokens, len(text.split()), need, tokens[: len(tokens) - need + 1]))
+        out.append(_Template(label, tokens, len(text.split()), need, tokens[: len(tokens) - need + 1], label in (notices or {})))
     return out
 
 
@@ -83,33 +99,46 @@ def token_frequency(docs: DataFrame, templates: dict[str, str]) -> dict[int, int
 
 
 class Scanner:
-    """Finds template matches in blocks of tokens, and base phrases in documents."""
+    """Finds template matches in blocks of tokens, and base phrases in documents.
+
+    ``filters`` names those in use; without one of them there are more candidates and the same matches.
+    ``candidates`` counts the pairs of a block and a template whose tokens were compared to the end."""
 
-    def __init__(self, templates: list[_Template]):
-        self.templates = templates
-        self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    def __init__(self, templates: list[_Template], frequency: dict[int, int] | None = None, filters: tuple[str, ...] = ("prefix", "length", "position")):
+        self.templates, self.filters, self.candidates = templates, filters, 0
+        every = sorted({t for x in templates for t in x.tokens}, key=lambda t: ((frequency or {}).get(t, 0), t))
+        self.rank = {t: k for k, t in enumerate(every)}
+        self.places = [{t: k for k, t in enumerate(x.tokens)} for x in templates]
+        self.index: dict[int, list[int]] = defaultdict(list)
         for i, t in enumerate(templates):
-            for position, token in enumerate(t.prefix):
-                self.index[token].append((i, position))
+            for token in t.prefix if "prefix" in filters else t.tokens:
+                self.index[token].append(i)
         self.prefix = np.array(sorted(self.index), np.uint64)
+        self.notice = np.array([any(templates[i].notice for i in self.index[int(token)]) for token in self.prefix], bool)
         self.sets = [set(t.tokens) for t in templates]
         self.wanted = np.array(sorted(set().union(*self.sets)), np.uint64)
         self.member = [np.append(np.isin(self.wanted, np.array(t.tokens, np.uint64)), False) for t in templates]
         self.rare = [np.append(np.isin(self.wanted, np.array(t.prefix, np.uint64)), False) for t in templates]
         self.phrases = [(hash_words(p.split()), label) for p, label in BASE.items()]
 
-    def block(self, tokens: list[int]) -> dict[int, int]:
-        """Template index and shared tokens of every template that the block meets."""
+    def block(self, tokens: list[int], notices: bool = False) -> dict[int, int]:
+        """Template index and shared tokens of every template that the block meets; only whole notices
+        with ``notices``."""
         block = set(tokens)
-        best: dict[int, int] = {}
-        for token in block & self.index.keys():
-            for i, position in self.index[token]:
-                best[i] = min(position, best.get(i, position))
+        ordered = sorted(block & self.rank.keys(), key=self.rank.__getitem__)  # tokens of no template stand before these
         out = {}
-        for i, position in best.items():
+        for i in {i for token in block & self.index.keys() for i in self.index[token] if self.templates[i].notice or not notices}:
             t = self.templates[i]
-            if len(block) >= t.need and len(t.tokens) - position >= t.need:
-                shared = len(self.sets[i] & block)
+            if "length" in self.filters and len(block) < t.need:
+                continue
+            shared, place = 0, self.places[i]
+            for at, token in enumerate(ordered):
+                if (k := place.get(token)) is not None:
+                    if "position" in self.filters and shared + min(len(t.tokens) - k, len(ordered) - at) < t.need:
+                        break
+                    shared += 1
+            else:
+                self.candidates += 1
                 if shared >= t.need:
                     out[i] = shared
         return out
@@ -130,6 +159,19 @@ class Scanner:
                 if shared >= t.need:
                     yield d, i, shared
 
+    def paragraphs(self, data: np.ndarray, tokens: Tokens, hits: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, first token, end token) of the paragraphs that hold a token of a whole notice's prefix."""
+        hits = hits[self.notice[np.searchsorted(self.prefix, tokens.hashes[hits])]]
+        if not len(hits):
+            return
+        breaks = np.flatnonzero(data == 0x0A)
+        solid = np.concatenate([[0], np.cumsum(~SPACE[data])])  # bytes other than white space before each place
+        blank = breaks[1:][solid[breaks[1:]] == solid[breaks[:-1] + 1]]  # line breaks that end a blank line
+        ends = np.unique(np.concatenate([np.searchsorted(tokens.starts, blank), tokens.offsets]))
+        for k in np.unique(np.searchsorted(ends, hits, "right")).tolist():
+            a, b = int(ends[k - 1]), int(ends[k])
+            yield int(np.searchsorted(tokens.offsets, a, "right")) - 1, a, b
+
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, list, dict]]:
         """(document, words, [(label, first word, words)], {template: containment}) for each document."""
         tokens = tokenize(data, offsets, PUNCT)
@@ -159,6 +201,9 @@ class Scanner:
                     a, b = np.searchsorted(tokens.starts, [begin, end])
                     for i, shared in self.block(h[a:b].tolist()).items():
                         met[doc][i] = max(met[doc].get(i, 0.0), shared / len(self.templates[i].tokens))
+                for doc, a, b in self.paragraphs(data, tokens, hits):
+                    for i, shared in self.block(h[a:b].tolist(), notices=True).items():
+                        met[doc][i] = max(met[doc].get(i, 0.0), shared / len(self.templates[i].tokens))
                 for doc, i, shared in self.windows(h, off, every):
                     met[doc][i] = max(met[doc].get(i, 0.0), shared / len(self.templates[i].tokens))
         for d in range(len(off) - 1):
@@ -168,14 +213,18 @@ class Scanner:
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, notices: dict[str, str] | None = None) -> DataFrame:
     """One row per document: base phrases with their places, labels of met templates, best score.
 
     ``spans`` lists base places as label@word. Score is 1 where a base phrase stands, else the
-    best containment met, else 0. Null and empty texts have no words. Repeated rows stay rows.
+    best containment met, else 0. Null and empty texts have no words and no labels; null ids are
+    carried, repeated rows stay rows, extra columns are not read, a very long text is read whole
+    (its paragraphs at once, as sets of words), and an empty table gives none.
     """
     templates = TEMPLATES if templates is None else templates
-    scanner = Scanner(ordered_templates(templates, threshold, token_frequency(docs, templates)))
+    notices = NOTICES if notices is None else notices
+    frequency = token_frequency(docs, {**templates, **notices})
+    scanner = Scanner(ordered_templates(templates, threshold, frequency, notices), frequency)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.string()]
 

@@ -50,24 +50,26 @@ FROM e GROUP BY conv_id
 
 
 def _licenses() -> str:
-    from framewright.llm.licenses import BASE, TEMPLATES, THRESHOLD
+    from framewright.llm.licenses import BASE, NOTICES, TEMPLATES, THRESHOLD
 
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in BASE.items())
-    templates = ", ".join(f"({sorted(set(t.split()))!r}, '{label}')" for label, t in TEMPLATES.items())
+    templates = ", ".join(f"({sorted(set(t.split()))!r}, '{label}', {notice})" for table, notice in ((TEMPLATES, "false"), (NOTICES, "true")) for label, t in table.items())
+    blank = r"\n[\x20\x09\x0B-\x0D]*\n"
     return rf"""
 WITH d AS (SELECT doc_id, {low} AS t, regexp_extract_all({low}, '{word}') AS w FROM documents),
 p(p, label) AS (VALUES {phrases}),
-m(tokens, label) AS (VALUES {templates}),
+m(tokens, label, notice) AS (VALUES {templates}),
 b AS (
   SELECT doc_id, label, i - 1 AS pos FROM (SELECT doc_id, w, label, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM d, p WHERE list_has_all(w, p))
   WHERE w[i : i + len(p) - 1] = p),
 g AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, string_agg(label || '@' || pos, ',' ORDER BY pos) AS spans FROM b GROUP BY doc_id),
-l AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS ws FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+l AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS ws, false AS paragraph FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+  UNION ALL SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(line, '{word}')), true FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '{blank}')) AS line FROM d)),
 c AS (SELECT doc_id, label, max(len(list_intersect(ws, tokens)) / len(tokens)) AS c FROM l, m
-  WHERE len(ws) >= {THRESHOLD} * len(tokens) GROUP BY ALL),
+  WHERE len(ws) >= {THRESHOLD} * len(tokens) AND (notice OR NOT paragraph) GROUP BY ALL),
 k AS (SELECT doc_id, list(label) AS labels, max(c) AS c FROM c WHERE c >= {THRESHOLD} - 1e-9 GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels,

@@ -184,6 +184,31 @@ def test_license_filters_lose_nothing():
         assert met == pytest.approx(want)
 
 
+def test_license_filters_only_spare_comparisons():
+    rng = np.random.default_rng(55)
+    tables = {**licenses.TEMPLATES, **licenses.NOTICES}
+    words = sorted({w for t in tables.values() for w in t.split()})
+    frequency = {int(h): int(n) for h, n in zip(licenses.hash_words(words), rng.integers(0, 50, len(words)))}
+    templates = licenses.ordered_templates(licenses.TEMPLATES, 0.8, frequency, licenses.NOTICES)
+    blocks = [[int(h) for h in licenses.hash_words([w for w in t.split() if rng.random() < 0.8] + list(rng.choice(words, 12)) + ["other"] * 3)] for t in list(tables.values()) * 6]
+    every, scanners = ("prefix", "length", "position"), {}
+    for filters in [every, *(tuple(f for f in every if f != left) for left in every), ()]:
+        scanners[filters] = licenses.Scanner(templates, frequency, filters)
+        got = [scanners[filters].block(b) for b in blocks]
+        want = [{i: n for i, t in enumerate(templates) if (n := len(set(b) & set(t.tokens))) >= t.need} for b in blocks]
+        assert got == want
+    counts = {f: s.candidates for f, s in scanners.items()}
+    assert counts[every] < counts["prefix", "length"] < counts[()] and counts[every] <= min(counts["length", "position"], counts["prefix", "position"])
+
+
+def test_whole_notices_are_met_in_paragraphs(spark):
+    notice = licenses.NOTICES["isc-text"].split()
+    wrapped = "\n".join(" ".join([*notice[k : k + 6], "inserted"]) for k in range(0, len(notice), 6))
+    texts = [(1, f"Before it\n\n{wrapped}\n \t\nafter"), (2, wrapped.replace("inserted\n", "inserted\n\n")), (3, "use copy modify"), (4, wrapped + "\n"), (5, "\n" + wrapped)]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: "isc-text", 2: "", 3: "", 4: "isc-text", 5: "isc-text"}
+
+
 def test_wrapped_notices_are_met():
     scanner = licenses.Scanner(licenses.ordered_templates(licenses.TEMPLATES, 0.8, {}))
     texts, want = [], []
