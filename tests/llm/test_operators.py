@@ -203,7 +203,7 @@ def test_license_filters_only_spare_comparisons():
 
 def test_whole_notices_are_met_in_paragraphs(spark):
     notice = licenses.NOTICES["isc-text"].split()
-    wrapped = "\n".join(" ".join([*notice[k : k + 6], "inserted"]) for k in range(0, len(notice), 6))
+    wrapped = "\n".join(" ".join([*notice[k : k + 6], "four", "more", "words", "inserted"]) for k in range(0, len(notice), 6))
     texts = [(1, f"Before it\n\n{wrapped}\n \t\nafter"), (2, wrapped.replace("inserted\n", "inserted\n\n")), (3, "use copy modify"), (4, wrapped + "\n"), (5, "\n" + wrapped)]
     got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {1: "isc-text", 2: "", 3: "", 4: "isc-text", 5: "isc-text"}
