@@ -110,20 +110,62 @@ def test_extraction_of_a_full_page(spark):
 
 def test_broken_and_deep_markup():
     deep = "<article>" + "<div><p>a" * 3000 + "</div>" * 3000 + "<p>end</article><footer>x</footer>"
-    assert wrappers.main_text(deep).endswith("a\nend") and len(str(wrappers.folded(wrappers.parse(deep).stream))) > 0
+    assert wrappers.main_text(deep).endswith("a\nend") and len(str(wrappers.folded(wrappers.parse(deep)))) > 0
     assert wrappers.main_text("<body><p class='it's'>one</p><p title=\"a>b\">two</p><p x=\"y>three</p> a < b <b>c") == "one\ntwo\nthree\na < b c"
     assert wrappers.main_text("<p " + 'a="b" ' * 20000) == "" and wrappers.main_text("&" * 1000) == "&" * 1000
 
 
 def test_wrappers_align_into_groups():
     def page(body):
-        return wrappers.folded(wrappers.parse(f"<body>{body}</body>").stream)
+        return wrappers.folded(wrappers.parse(f"<body>{body}</body>"))
 
     w = wrappers.merge(page("<h1>a</h1><p>b</p>"), page("<h1>a</h1><p>b</p><p>c</p><div>d</div>"))
     assert str(w) == "<page><body><h1>#text</h1>(<p>#text</p>)+(<div>#text</div>)?</body></page>"
     assert wrappers.read_wrapper(str(w)) == w
 
 
+def test_wrappers_match_all_their_pages():
+    rng = np.random.default_rng(3)
+
+    def body(depth):
+        return "".join(
+            "text " if rng.random() < 0.2 else f"<{tag}{' class=' + str(rng.choice(list('xyz'))) if rng.random() < 0.3 else ''}>{body(depth - 1) if depth else 'leaf'}</{tag}>"
+            for tag in rng.choice(["div", "section", "h2", "ul", "table", "b"], int(rng.integers(0, 7)))
+        )
+
+    for _ in range(60):
+        pages = [wrappers.parse(f"<body>{body(2)}</body>") for _ in range(8)]
+        wrapper = wrappers.folded(pages[0])
+        for p in pages[1:]:
+            wrapper = wrappers.merge(wrapper, wrappers.folded(p))
+        assert wrappers.read_wrapper(str(wrapper)) is wrapper or str(wrappers.read_wrapper(str(wrapper))) == str(wrapper)
+        assert all(wrappers.accepts(str(wrapper), p) for p in pages)
+    assert not wrappers.accepts("<page><body><h1>#text</h1>(<p>#text</p>)+</body></page>", wrappers.parse("<body><p>x</p><h1>y</h1></body>"))
+    rows = [[f"<p class=c{'abcdefgh'[int(k)]}>x</p>" for k in rng.integers(0, 8, 400)] for _ in range(3)]
+    pages = [wrappers.parse("".join(r)) for r in rows]
+    wrapper = wrappers.merge(wrappers.merge(*map(wrappers.folded, pages[:2])), wrappers.folded(pages[2]))
+    assert all(wrappers.accepts(str(wrapper), p) for p in pages)
+
+
+def test_chrome_is_told_at_any_depth_and_not_by_an_articles_own_names(spark):
+    own = (
+        '<article><h1>Title</h1><h2 id="search-algorithms">Search</h2><p>x</p><h2 id="related-work">Related</h2><p class="side-note">kept?</p><p id="reply">r</p>'
+        '<p class="ad">Buy</p><div class="share-buttons social">Share</div><div id="comments"><p>First</p></div><p>y <span class="advert">Now</span>z</p></article>'
+    )
+    assert wrappers.main_text(own) == "Title\nSearch\nx\nRelated\nkept?\nr\ny z"
+    assert wrappers.main_text("<div>" * 230 + "<nav>menu</nav><p>text</p>" + "<div>" * 3000 + "deep" + "<aside>side</aside>") == "text\ndeep"
+    assert wrappers.main_text("<div class='with-sidebar'><article><p>a</p></article><div class=sidebar>b</div></div>") == "a"
+    siblings = "".join(f"<p class=c{'abcdefg'[i * i % 7]}>p{i}</p>" for i in range(500))
+    assert wrappers.main_text(f"<article>{siblings}</article>") == "\n".join(f"p{i}" for i in range(500))
+
+
+def test_constants_go_by_slots_not_by_paths(spark):
+    pages = [(i, f"http://h/{i}", f"<body><div>Top line</div><div><p>Story {i}</p></div><div>Story {i} ends</div><b>Bottom</b></body>") for i in range(5)]
+    pages += [(10 + i, f"http://g/{i}", f"<article><p>Same opening</p><h2>One</h2><p>Story {i}</p></article>") for i in range(5)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i].startswith("Top line\nStory") or got[i].startswith("Story") for i in range(5)) and all(got[10 + i] == f"Same opening\nOne\nStory {i}" for i in range(5))
+
+
 def test_constants_of_a_host_are_dropped(spark):
     pages = [(i, f"http://h/{i}", f"<article><p>Story {i} text</p><div>Read more stories</div></article>") for i in range(4)]
     got = wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
