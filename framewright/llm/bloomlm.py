@@ -3,8 +3,15 @@
 A bigram model's quantised counts live in one Bloom filter: an n-gram of level q is inserted
 with each of 1..q, and its level is read back by membership probes 1, 2, .. until one fails.
 Words and word pairs have level 1 + floor(log2 c). A text's probability comes from interpolated estimates
-(1 - LAMBDA) p(w) + LAMBDA min(c(v, w), c(v)) / c(v), with p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
-and p(w) alone after a word that isn't known.
+(1 - l) p(w) + l c(v, w) / c(v), with p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), and p(w) alone after a word
+that isn't known. A pair's count is its level's smallest, a word's in the numerator too, and a history's its
+level's largest (frequent words have exact counts), so that the estimates of the words that were seen after
+one never sum above one; false positives, at most 3 % of unseen pairs, add to that. Where words are
+frequent, a score is at most log10 2 a token below the one by exact counts, and above it only by these.
+
+The weight l depends on the history's level. Each is fitted to all training texts, every token being
+left out of its own counts: tasks sum a histogram of the two estimates' ratio, which is all that the
+likelihood depends on.
 
 Counts are exact and cover all training texts. Tasks count runs of texts and deal their sorted
 hashes as blobs by the hash's top bits; the task that owns a part sums it, gives its words' counts
@@ -23,13 +30,19 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import checkpointed
 from framewright.llm.textkernel import SPACE, Tokens, mix64, text_slices, tokenize
 
-LAMBDA, PROBES = 0.2, 3
+PROBES = 3
+#: Bins of the histogram that weights are fitted to: so many an octave of the ratio, octaves on either side.
+RATIO_BINS, RATIO_OCTAVES = 4, 60
+#: Tokens of all levels' histogram that are added to each level's own.
+PRIOR = 1000
 #: Bits of the filter for each inserted level, at least; twice as many at most.
 LEAST_BITS = 8
 #: Bounds of what is broadcast: 64 MB of filter, 1 M words of 16 bytes.
@@ -114,9 +127,14 @@ class Answers:
         return self.found[np.searchsorted(self.keys, keys)].astype(np.int64)
 
 
-def expected(levels: np.ndarray) -> np.ndarray:
-    """The middle count of a level (0 below the first)."""
-    return np.where(levels > 0, 1.5 * 2.0 ** (levels - 1) - 0.5, 0.0)
+def smallest(levels: np.ndarray) -> np.ndarray:
+    """The smallest count of a level (0 below the first)."""
+    return np.where(levels > 0, 2.0 ** (levels - 1), 0.0)
+
+
+def largest(levels: np.ndarray) -> np.ndarray:
+    """The largest count of a level (0 below the first)."""
+    return np.where(levels > 0, 2.0**levels - 1, 0.0)
 
 
 @dataclass
@@ -126,6 +144,7 @@ class Model:
     distinct: int
     top: np.ndarray
     top_counts: np.ndarray
+    weights: np.ndarray | None = None
 
     @property
     def denominator(self) -> float:
@@ -290,36 +309,132 @@ def answered(rows: DataFrame, segments: DataFrame, parts: int) -> DataFrame:
     return asked.groupBy("part").cogroup(segments.groupBy("part")).applyInArrow(answer, "run long, part int, levels binary")
 
 
-def score_texts(model: Model, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per document: log10 probability, base part over known frequent words, their number, and a
-    mask over tokens of the words left to join."""
+@dataclass
+class Counted:
+    """Counts of consecutive texts' tokens: the word's, its history's and the pair's, and exact ones of frequent words."""
+
+    word: np.ndarray
+    history: np.ndarray
+    pair: np.ndarray
+    exact: np.ndarray
+
+
+def count_tokens(model: Model, h: np.ndarray, offsets: np.ndarray) -> Counted:
     unique, inverse = np.unique(h, return_inverse=True)
-    top = np.zeros(len(unique), np.int64)
+    exact = np.zeros(len(unique), np.int64)
     if len(model.top):
         at = np.minimum(np.searchsorted(model.top, unique), len(model.top) - 1)
-        top = np.where(model.top[at] == unique, model.top_counts[at], 0)
-    one = expected(model.filter.levels(unique))
-    base = np.where(top > 0, np.log10(top + 0.5), 0.0)[inverse]
-    known = (top > 0)[inverse]
-    word = one[inverse]
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[offsets[:-1]] = one[np.searchsorted(unique, END)]
-    pair = expected(model.filter.levels(pairs(h, offsets)))
-    alone = np.minimum((word + 0.5) / model.denominator, 1.0)
-    p = np.where(before > 0, (1 - LAMBDA) * alone + LAMBDA * np.minimum(pair, before) / np.maximum(before, 1.0), alone)
+        exact = np.where(model.top[at] == unique, model.top_counts[at], 0)
+    levels = model.filter.levels(unique)
+    low, high = (np.where(exact > 0, exact, edge(levels)) for edge in (smallest, largest))
+    high_of = high[inverse]
+    history = np.empty_like(high_of)
+    history[1:] = high_of[:-1]
+    history[offsets[:-1]] = high[np.searchsorted(unique, END)]
+    pair = np.minimum(smallest(model.filter.levels(pairs(h, offsets))), history)
+    return Counted(low[inverse], history, pair, exact[inverse])
+
+
+def level_of(counts: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
+
+
+def ratio_histogram(model: Model, h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Tokens by (history's level, bin of the estimates' ratio), each left out of its counts; bin 0: a ratio of 0."""
+    c = count_tokens(model, h, offsets)
+    some = c.history >= 2  # a history seen once tells nothing when it is left out
+    alone = (np.maximum(c.word[some] - 1, 0) + 0.5) / model.denominator
+    ratio = np.maximum(c.pair[some] - 1, 0) / (c.history[some] - 1) / alone
+    place = np.clip(np.floor(np.log2(np.maximum(ratio, 1e-30)) * RATIO_BINS), -RATIO_OCTAVES * RATIO_BINS, RATIO_OCTAVES * RATIO_BINS - 1)
+    place = np.where(ratio > 0, place + RATIO_OCTAVES * RATIO_BINS + 1, 0).astype(np.int64)
+    width = 2 * RATIO_OCTAVES * RATIO_BINS + 1
+    return np.bincount(level_of(c.history[some]) * width + place, minlength=64 * width).reshape(64, width)
+
+
+def fitted_weights(histogram: np.ndarray) -> np.ndarray:
+    """The likeliest weight of each history level; a level without tokens has the next one's (the last: the one before's)."""
+    bins = histogram.shape[1] - 1
+    ratio = np.concatenate([[0.0], 2.0 ** ((np.arange(bins) - bins // 2 + 0.5) / RATIO_BINS)]) - 1
+    every = histogram.sum(0)
+    every = every * (PRIOR / every.sum()) if every.sum() else np.zeros(bins + 1)
+    out = np.full(len(histogram), 0.5)
+    for level, own in enumerate(histogram + every):
+        lo, hi = 0.001, 0.999
+        for _ in range(40):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (own * ratio / (1 + mid * ratio)).sum() > 0 else (lo, mid)
+        out[level] = lo
+    seen = np.flatnonzero(histogram.sum(1))
+    return out[seen[np.minimum(np.searchsorted(seen, np.arange(len(out))), len(seen) - 1)]] if len(seen) else out
+
+
+def score_texts(model: Model, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per document: log10 probability, base part over known frequent words, their number, and a
+    mask over tokens of the words left to join."""
+    c = count_tokens(model, h, offsets)
+    base = np.where(c.exact > 0, np.log10(c.exact + 0.5), 0.0)
+    known = c.exact > 0
+    alone = (c.word + 0.5) / model.denominator
+    weight = np.where(c.history > 0, model.weights[level_of(c.history)], 0.0)
+    p = (1 - weight) * alone + weight * c.pair / np.maximum(c.history, 1.0)
     begin = offsets[:-1]
     return np.add.reduceat(np.log10(p), begin), np.add.reduceat(base, begin), np.add.reduceat(known.astype(np.int64), begin), ~known
 
 
+def answered_model(model: Model, texts: pa.Table, found: pa.Table) -> Model:
+    """The model with the answers to one run's n-grams."""
+    levels = b"".join(x for _, x in sorted(zip(found.column("part").to_pylist(), found.column("levels").to_pylist())))
+    return replace(model, filter=Answers(run_keys(texts.column("text")), np.frombuffer(levels, np.uint8)))
+
+
+def histogram_of(rows: DataFrame, shared: Broadcast, answers: DataFrame | None) -> np.ndarray:
+    """``ratio_histogram`` summed over all training texts."""
+
+    def add(model: Model, text: pa.Array, total: np.ndarray) -> None:
+        for _, _, data, offsets in text_slices(text):
+            total += ratio_histogram(model, *with_ends(tokenize(data, offsets, SPACE)))
+
+    def table(total: np.ndarray) -> pa.RecordBatch:
+        level, place = np.nonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(level), pa.array(place), pa.array(total[level, place])], names=["level", "place", "n"])
+
+    empty = lambda: np.zeros((64, 2 * RATIO_OCTAVES * RATIO_BINS + 1), np.int64)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = empty()
+        for batch in batches:
+            add(shared.value, batch.column(0), total)
+        yield table(total)
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        total = empty()
+        add(answered_model(shared.value, texts, found), texts.filter(pc.invert(texts.column("held_out"))).column("text"), total)
+        return pa.Table.from_batches([table(total)])
+
+    schema = "level long, place long, n long"
+    sums = rows.filter("NOT held_out").select("text").mapInArrow(stream, schema) if answers is None else rows.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(run, schema)
+    out = empty()
+    for level, place, n in sums.groupBy("level", "place").agg(F.sum("n")).collect():  # 64 levels, a fixed number of bins
+        out[level, place] = n
+    return out
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Null and empty texts are one end. Words outside the training texts have count 0. Null ids are
-    learnt from; repeated rows stay rows; extra columns are not read. An empty table gives none.
+    learnt from; repeated rows are learnt from and stay rows; extra columns are not read; very long texts
+    are read whole. An empty table gives none.
     """
     model, rare, segments, parts = fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sc = docs.sparkSession.sparkContext
+    rows = docs.select("doc_id", (~learnt()).alias("held_out"), F.col("text").cast("string").alias("text"))
+    answers = None
+    if model.filter is None:
+        rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).repartition(parts, "run")
+        answers = checkpointed(answered(rows, segments, parts))
+    model.weights = fitted_weights(histogram_of(rows, sc.broadcast(model), answers))
+    shared = sc.broadcast(model)
 
     def score(batch: pa.RecordBatch, m: Model) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in text_slices(batch.column(2)):
@@ -335,20 +450,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield from score(batch, shared.value)
 
-    def score_run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        found = b"".join(x for _, x in sorted(zip(answers.column("part").to_pylist(), answers.column("levels").to_pylist())))
-        m = replace(shared.value, filter=Answers(run_keys(texts.column("text")), np.frombuffer(found, np.uint8)))
+    def score_run(texts: pa.Table, found: pa.Table) -> pa.Table:
         (batch,) = texts.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches()
-        return pa.Table.from_batches(score(batch, m))
+        return pa.Table.from_batches(score(batch, answered_model(shared.value, texts, found)))
 
-    rows = docs.select("doc_id", (~learnt()).alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>"
-    if model.filter is None:
-        rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).repartition(parts, "run")
-        part = rows.groupBy("run").cogroup(answered(rows, segments, parts).groupBy("run")).applyInArrow(score_run, schema)
-    else:
-        part = rows.mapInArrow(stream, schema)
+    part = rows.mapInArrow(stream, schema) if answers is None else rows.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(score_run, schema)
     part = checkpointed(part.withColumn("row", F.monotonically_increasing_id()))
     rest = part.select("row", F.explode("rest").alias("word")).join(rare, "word").groupBy("row").agg(F.count("*").alias("rest_known"), F.sum(F.log10(F.col("n") + 0.5)).alias("rest_base"))
     joined = part.withColumn("n_rest", F.size("rest")).drop("rest").join(rest, "row", "left")

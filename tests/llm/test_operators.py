@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.llm import bloomlm, chat, components, decontaminate, kdshard, licenses, mixing, mpegts, neardup, quality, queries, wrappers
-from framewright.llm.textkernel import SPACE, shingles, text_slices, tokenize
+from framewright.llm.textkernel import SPACE, hash_words, shingles, text_slices, tokenize
 from tests.compare import connect, same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -325,6 +325,58 @@ def test_dealt_answers_equal_the_broadcast_filter(docs, none, monkeypatch):
     assert bloomlm.score_documents(none).count() == 0
 
 
+def zipf_docs(spark, n=150):
+    rng = np.random.default_rng(16)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.4, 300) % 3000)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def exact_model(rows):
+    train = [[None, *WORD.findall(low(t)), None] for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    return Counter(w for ws in train for w in ws[1:]), Counter(p for ws in train for p in zip(ws, ws[1:]))
+
+
+@pytest.mark.parametrize("bound", [1 << 29, 0])
+def test_scores_against_exact_counts(spark, monkeypatch, bound):
+    monkeypatch.setattr(bloomlm, "MAX_BITS", bound)
+    fitted = []
+    monkeypatch.setattr(bloomlm, "fitted_weights", lambda h, fit=bloomlm.fitted_weights: fitted.append(fit(h)) or fitted[-1])
+    rows, docs = zipf_docs(spark)
+    ones, twos = exact_model(rows)
+    got = {r.doc_id: r for r in bloomlm.score_documents(docs).collect()}
+    denominator, (weights,) = sum(ones.values()) + 0.5 * (len(ones) + 1), fitted
+    for i, text in rows:
+        ws, exact = [None, *WORD.findall(low(text)), None], 0.0
+        for v, w in zip(ws, ws[1:]):
+            lam = weights[int(math.log2(ones[v]))] if ones[v] else 0.0
+            exact += math.log10((1 - lam) * (ones[w] + 0.5) / denominator + lam * twos[v, w] / max(1, ones[v]))
+        assert exact - math.log10(2) * got[i].n_tokens <= got[i].score <= exact + 0.05 * got[i].n_tokens, i
+
+
+def test_estimates_after_a_word_sum_to_at_most_one_and_weights_are_likeliest(spark):
+    rows, docs = zipf_docs(spark)
+    ones, twos = exact_model(rows)
+    model = bloomlm.fit(docs)[0]
+    histogram = bloomlm.histogram_of(docs.select("doc_id", (~bloomlm.learnt()).alias("held_out"), "text"), spark.sparkContext.broadcast(model), None)
+    assert histogram.sum() == sum(n for (v, _), n in twos.items() if ones[v] >= 2)
+    model.weights = bloomlm.fitted_weights(histogram)
+    vocabulary = [w for w in ones if w is not None]
+    for v in [vocabulary[0], vocabulary[50], vocabulary[-1]]:
+        h = np.concatenate([[x, y] for x, y in zip(np.repeat(hash_words([v]), len(vocabulary)), hash_words(vocabulary))]).astype(np.uint64)
+        c = bloomlm.count_tokens(model, h, np.arange(0, len(h) + 1, 2))
+        at = np.arange(1, len(h), 2)
+        lam = model.weights[bloomlm.level_of(c.history[at])]
+        seen = np.array([twos[v, w] > 0 for w in vocabulary])
+        alone, after = (1 - lam) * (c.word[at] + 0.5) / model.denominator, lam * c.pair[at] / c.history[at]
+        assert alone.sum() + after[seen].sum() <= 1 and (after[~seen] > 0).mean() < 0.05
+    width = histogram.shape[1]
+    ratio = np.concatenate([[0.0], 2.0 ** ((np.arange(width - 1) - (width - 1) // 2 + 0.5) / bloomlm.RATIO_BINS)])
+    level = int(histogram.sum(1).argmax())
+    likelihood = lambda w: (histogram[level] * np.log(1 - w + w * ratio)).sum()
+    best = max(likelihood(w) for w in np.linspace(0.01, 0.99, 99))
+    assert likelihood(model.weights[level]) >= best - 0.01 * abs(best)
+
+
 @pytest.mark.parametrize("bound", [1 << 29, 0])
 def test_a_pair_seen_once_scores_above_an_unseen_one(spark, monkeypatch, bound):
     monkeypatch.setattr(bloomlm, "MAX_BITS", bound)
