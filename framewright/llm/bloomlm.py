@@ -169,6 +169,17 @@ def _owned(values: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
     return ((int(owner[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:]))
 
 
+def short_keys(keys: np.ndarray) -> bytes:
+    """The low bytes of keys, which name them within their part."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def long_keys(blob: bytes) -> np.ndarray:
+    keys = np.zeros((len(blob) // KEY_BYTES, 8), np.uint8)
+    keys[:, :KEY_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, KEY_BYTES)
+    return keys.view(np.uint64)[:, 0]
+
+
 def count_ngrams(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (word, n) of every training word's exact count, and rows (part, segment) of the filter."""
 
@@ -179,7 +190,7 @@ def count_ngrams(docs: DataFrame, parts: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for kind, arrays in enumerate(held):
                 values, n = np.unique(np.concatenate(arrays), return_counts=True)
-                blobs = [(part, kind, values[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for part, a, b in _owned(values, parts)]
+                blobs = [(part, kind, (short_keys if kind else np.ndarray.tobytes)(values[a:b]), n[a:b].astype(np.uint32).tobytes()) for part, a, b in _owned(values, parts)]
                 for at in range(0, len(blobs), 4096):
                     cols = zip(*blobs[at : at + 4096])
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "kind", "keys", "counts"])
@@ -202,7 +213,7 @@ def count_ngrams(docs: DataFrame, parts: int) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def close() -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in blobs])
+            keys = np.concatenate([long_keys(k) | np.uint64(part << (64 - (parts.bit_length() - 1)) if parts > 1 else 0) if kind else np.frombuffer(k, np.uint64) for k, _ in blobs])
             n = np.concatenate([np.frombuffer(c, np.uint32) for _, c in blobs]).astype(np.int64)
             blobs.clear()
             order = np.argsort(keys)
@@ -287,7 +298,7 @@ def answered(rows: DataFrame, segments: DataFrame, parts: int) -> DataFrame:
 
     def ask(table: pa.Table) -> pa.Table:
         keys = run_keys(table.column("text"))
-        blobs = [(part, keys[a:b].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()) for part, a, b in _owned(keys, parts)]
+        blobs = [(part, short_keys(keys[a:b])) for part, a, b in _owned(keys, parts)]
         run = table.column("run")[0].as_py()
         return pa.table({"run": pa.array([run] * len(blobs), pa.int64()), "part": pa.array([b[0] for b in blobs], pa.int32()), "keys": pa.array([b[1] for b in blobs], pa.binary())})
 
@@ -297,12 +308,7 @@ def answered(rows: DataFrame, segments: DataFrame, parts: int) -> DataFrame:
             own = np.frombuffer(held.column("segment")[0].as_py(), np.uint8)
             bits = Filter(own, 1, len(own) * 8)
         for blob in asked.column("keys").to_pylist():
-            keys = np.zeros((len(blob) // KEY_BYTES, 8), np.uint8)
-            if held.num_rows:
-                keys[:, :KEY_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, KEY_BYTES)
-                levels.append(bits.levels(keys.view(np.uint64)[:, 0]).astype(np.uint8).tobytes())
-            else:
-                levels.append(bytes(len(keys)))
+            levels.append(bits.levels(long_keys(blob)).astype(np.uint8).tobytes() if held.num_rows else bytes(len(blob) // KEY_BYTES))
         return pa.table({"run": asked.column("run"), "part": asked.column("part"), "levels": pa.array(levels, pa.binary())})
 
     asked = rows.groupBy("run").applyInArrow(ask, "run long, part int, keys binary")
@@ -427,14 +433,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     are read whole. An empty table gives none.
     """
     model, rare, segments, parts = fit(docs)
-    sc = docs.sparkSession.sparkContext
     rows = docs.select("doc_id", (~learnt()).alias("held_out"), F.col("text").cast("string").alias("text"))
     answers = None
     if model.filter is None:
         rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).repartition(parts, "run")
         answers = checkpointed(answered(rows, segments, parts))
-    model.weights = fitted_weights(histogram_of(rows, sc.broadcast(model), answers))
-    shared = sc.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    weights = fitted_weights(histogram_of(rows, shared, answers))
 
     def score(batch: pa.RecordBatch, m: Model) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in text_slices(batch.column(2)):
@@ -448,11 +453,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from score(batch, shared.value)
+            yield from score(batch, replace(shared.value, weights=weights))
 
     def score_run(texts: pa.Table, found: pa.Table) -> pa.Table:
         (batch,) = texts.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches()
-        return pa.Table.from_batches(score(batch, answered_model(shared.value, texts, found)))
+        return pa.Table.from_batches(score(batch, replace(answered_model(shared.value, texts, found), weights=weights)))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>"
