@@ -1,19 +1,21 @@
 """Sharding by K-d tree partitioning, in DataFrame expressions only.
 
-A tree over metadata dimensions is grown level by level. Each open node that must yield k
-leaves is split at the weighted quantile floor(k/2)/k of its bytes along its widest dimension
-(extent relative to the whole table's). All nodes of a level share one aggregate job per
-refinement pass: rows are binned between the node's bounds, bytes are summed by (node, bin)
-before the shuffle, and only nodes x BINS sums come to the driver. A pass narrows the interval
-that straddles the target until its bytes are within ``tolerance`` of a leaf or its keys are all
-equal; ties of a dimension are then ordered by the text's checksum and by a hash of the id, so
-a hot key or a large group of copies is cut like any other. Trees hold 2 x leaves - 1 nodes.
+Rows of one group (equal texts) are one point of the tree, so they share a shard; a group of more than
+``WHOLE`` of a shard's bytes is cut by a hash of the id into many points, as no even shard could hold it.
+A tree over the points' metadata dimensions is grown level by level. Each open node that must yield k
+leaves is split at the weighted quantile floor(k/2)/k of its bytes along its widest dimension (extent
+relative to the whole table's); points equal in it are ordered by a hash, so that a hot value is cut
+like any other. All nodes of a level share one aggregate per refinement pass: points are binned between
+their node's bounds, bytes are summed by (node, bin), and a window picks each node's bin that
+straddles its target. One row for each node comes to the driver, and goes back as a broadcast table of
+at most 2 x leaves rows, with which the points move on to their child nodes. A pass narrows a node's
+bounds until the straddling bin's bytes are within ``tolerance`` of a leaf or belong to one point.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,170 +23,150 @@ from pyspark.sql import functions as F
 from framewright.llm.common import checkpointed
 
 BINS = 1024
+#: A group of up to this share of a shard's bytes stays whole; a larger one is cut into pieces of the other share.
+WHOLE, PIECE = 0.25, 1 / 64
+#: Bits of the hash that orders points equal in a dimension; dimensions are under 2^32.
+TIE_BITS = 31
+#: Levels after which the points' nodes are written, which cuts their lineage.
+LEVELS = 6
 
 
 @dataclass
 class _Node:
     leaves: int
     first: int
-    bounds: list = field(default_factory=list)
-    size: int = 0
-    dim: int | None = None
-    cut: tuple | None = None
-    kids: tuple = ()
+    dim: int = 0
+    left: float = 0.0
+    lo: int = 0
+    hi: int = 0
+    cut: int | None = None
 
 
-def _below(keys: list[str], cut: tuple) -> Column:
-    """Rows under a lexicographic cut over key columns: cut is a prefix of key values, last exclusive."""
-    *equal, last = cut
-    out = F.col(keys[len(equal)]) < F.lit(last)
-    for key, value in reversed(list(zip(keys, equal))):
-        out = (F.col(key) < F.lit(value)) | ((F.col(key) == F.lit(value)) & out)
-    return out
+def _key(dims: list[str]) -> Column:
+    """A point's place along its node's dimension: the value, then the hash."""
+    return F.element_at(F.array(*dims), F.col("kd_dim")) * F.lit(1 << TIE_BITS) + F.col("kd_tie")
 
 
-def _assign(node: _Node, chains: list[list[str]], leaf) -> Column:
-    if not node.kids:
-        return F.lit(leaf(node))
-    left, right = (_assign(kid, chains, leaf) for kid in node.kids)
-    return F.when(_below(chains[node.dim], node.cut), left).otherwise(right)
+def _table(points: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """One row for each node; never more than the tree has."""
+    return F.broadcast(points.sparkSession.createDataFrame(rows, schema))
 
 
-def build_tree(table: DataFrame, dims: list[str], size: str, ties: list[str], leaves: int, tolerance: float = 0.01):
-    """Grows the tree over ``table`` (dims and ties are non-null BIGINT columns).
-
-    Returns (root, chains); ``_assign(root, chains, lambda n: n.first)`` gives the shard column.
-    """
-    chains = [[d, *ties] for d in dims]
+def grow(points: DataFrame, dims: list[str], size: str, leaves: int, tolerance: float = 0.01) -> DataFrame:
+    """Adds ``shard`` to points: the leaf they fall into. dims are non-null BIGINT from -1 on, kd_tie is a hash."""
     stats = [f(c).alias(f"{n}_{i}") for i, c in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))]
-    whole = table.agg(F.sum(size).alias("size"), *stats).first()
-    root = _Node(leaves, 0, size=whole["size"] or 0)
-    if not root.size:
-        return root, chains
+    whole = points.agg(F.sum(size).alias("size"), *stats).first()
+    placed = points.withColumn("kd_node", F.lit(1).cast("long"))
+    if not whole["size"] or leaves == 1:
+        return placed.withColumn("shard", F.lit(0)).drop("kd_node")
     extent = [max(1, whole[f"hi_{i}"] - whole[f"lo_{i}"]) for i in range(len(dims))]
-    step = max(1.0, tolerance * root.size / leaves)
-    level = [root]
-    while level := [n for n in level if n.leaves > 1 and n.size]:
-        nodes: list[_Node] = []
-        node_id = _assign(root, chains, lambda n: _mark(n, level, nodes))
-        rows = {r["node"]: r for r in table.groupBy(node_id.alias("node")).agg(F.sum(size).alias("size"), *stats).collect()}
+    step = max(1.0, tolerance * whole["size"] / leaves)
+    nodes = {1: _Node(leaves, 0)}
+    for level in range(1, leaves.bit_length() + 1):
+        here = {n: node for n, node in nodes.items() if n.bit_length() == level and node.leaves > 1}
+        if not here:
+            break
+        open_ = _table(points, [(n,) for n in here], "kd_node long")
+        rows = placed.join(open_, "kd_node").groupBy("kd_node").agg(F.sum(size).alias("size"), *stats).collect()
         goals = {}
-        for i, node in enumerate(nodes):
-            if node is None or i not in rows:
-                continue
-            r = rows[i]
-            node.size = r["size"]
+        for r in rows:
+            node = goals[r["kd_node"]] = here[r["kd_node"]]
             node.dim = max(range(len(dims)), key=lambda d: ((r[f"hi_{d}"] - r[f"lo_{d}"]) / extent[d], -d))
-            goals[i] = _Goal(node, r["size"] * (node.leaves // 2) / node.leaves, [], r[f"lo_{node.dim}"], r[f"hi_{node.dim}"] + 1)
-        while open_goals := {i: g for i, g in goals.items() if g.node.cut is None}:
-            _refine(table, node_id, open_goals, chains, size, step)
-        for node in (n for n in nodes if n is not None and n.cut is not None):
+            node.left = r["size"] * (node.leaves // 2) / node.leaves
+            node.lo, node.hi = r[f"lo_{node.dim}"] << TIE_BITS, (r[f"hi_{node.dim}"] + 1) << TIE_BITS
+        while bounds := {n: node for n, node in goals.items() if node.cut is None}:
+            _refine(placed, bounds, dims, size, step)
+        cuts = _table(points, [(n, node.dim + 1, node.cut) for n, node in goals.items()], "kd_node long, kd_dim int, kd_cut long")
+        child = F.when(F.col("kd_cut").isNull(), F.col("kd_node")).otherwise(F.col("kd_node") * 2 + (_key(dims) >= F.col("kd_cut")).cast("long"))
+        placed = placed.join(cuts, "kd_node", "left").withColumn("kd_node", child).drop("kd_dim", "kd_cut")
+        if level % LEVELS == 0:
+            placed = checkpointed(placed)
+        for n, node in goals.items():
             half = node.leaves // 2
-            node.kids = (_Node(half, node.first, size=1), _Node(node.leaves - half, node.first + half, size=1))
-        level = [k for n in nodes if n is not None for k in n.kids]
-    return root, chains
-
-
-def _mark(node: _Node, level: list, nodes: list) -> int:
-    nodes.append(node if any(node is n for n in level) else None)
-    return len(nodes) - 1
-
-
-@dataclass
-class _Goal:
-    node: _Node
-    left: float
-    prefix: list
-    lo: int
-    hi: int
-
-
-def _refine(table: DataFrame, node_id: Column, goals: dict, chains: list, size: str, step: float) -> None:
-    """One pass for all open goals: sums bytes by bin, then narrows each goal's interval or fixes its cut."""
-    names = list(dict.fromkeys(k for chain in chains for k in chain))
-    depth = len(chains[0]) - 1
-    rows = []
-    for i, g in goals.items():
-        keys = [names.index(k) + 1 for k in chains[g.node.dim]]
-        width = max(1, math.ceil((g.hi - g.lo) / BINS))
-        past = [*g.prefix, *[None] * (depth - len(g.prefix))]
-        rows.append((i, keys[len(g.prefix)], g.lo, g.hi, width, *keys[:depth], *past))
-    columns = ["kd_key", "kd_lo", "kd_hi", "kd_width", *[f"kd_k{j}" for j in range(depth)], *[f"kd_v{j}" for j in range(depth)]]
-    spec = table.sparkSession.createDataFrame(rows, "kd_node int, " + ", ".join(f"{c} {'int' if c.startswith('kd_k') else 'long'}" for c in columns))
-    value = F.array(*names)
-    joined = table.withColumn("kd_node", node_id).join(F.broadcast(spec), "kd_node").withColumn("kd_at", F.element_at(value, F.col("kd_key")))
-    here = (F.col("kd_at") >= F.col("kd_lo")) & (F.col("kd_at") < F.col("kd_hi"))
-    for j in range(depth):
-        here = here & (F.col(f"kd_v{j}").isNull() | (F.element_at(value, F.col(f"kd_k{j}")) == F.col(f"kd_v{j}")))
-    bin_ = F.floor((F.col("kd_at") - F.col("kd_lo")) / F.col("kd_width")).cast("int")
-    sums = (
-        joined.filter(here).groupBy(F.col("kd_node").alias("node"), bin_.alias("bin"))
-        .agg(F.sum(size).alias("size"), F.min("kd_at").alias("lo"), F.max("kd_at").alias("hi"))
-        .collect()
-    )
-    for i, g in goals.items():
-        keys = chains[g.node.dim]
-        bins = sorted((r["bin"], r["size"], r["lo"], r["hi"]) for r in sums if r["node"] == i)
-        seen = 0
-        for _, total, lo, hi in bins:
-            if seen + total >= g.left:
-                break
-            seen += total
-        rest = g.left - seen
-        if total <= step or rest <= step / 2 or total - rest <= step / 2 or (lo == hi and len(g.prefix) + 1 == len(keys)):
-            g.node.cut = (*g.prefix, lo) if rest < total - rest else (*g.prefix, hi + 1)
-        elif lo == hi:
-            g.prefix, g.left, g.lo, g.hi = [*g.prefix, lo], rest, -(2**31), 2**32
+            nodes[2 * n], nodes[2 * n + 1] = _Node(half, node.first), _Node(node.leaves - half, node.first + half)
+    shards = _table(points, [(n, node.first) for n, node in nodes.items() if node.leaves == 1], "kd_node long, shard int")
+    return placed.join(shards, "kd_node").drop("kd_node")
+
+
+def _refine(placed: DataFrame, bounds: dict[int, _Node], dims: list[str], size: str, step: float) -> None:
+    """One pass for all open nodes: sums bytes by bin, then narrows each node's bounds or fixes its cut."""
+    rows = [(n, b.dim + 1, b.lo, b.hi, max(1, -(-(b.hi - b.lo) // BINS)), b.left) for n, b in bounds.items()]
+    spec = _table(placed, rows, "kd_node long, kd_dim int, kd_lo long, kd_hi long, kd_width long, kd_left double")
+    binned = placed.join(spec, "kd_node").withColumn("kd_key", _key(dims)).filter("kd_key >= kd_lo AND kd_key < kd_hi")
+    sums = binned.groupBy("kd_node", "kd_left", F.expr("(kd_key - kd_lo) div kd_width").alias("kd_bin")).agg(F.sum(size).alias("total"), F.min("kd_key").alias("lo"), F.max("kd_key").alias("hi"))
+    upto = Window.partitionBy("kd_node").orderBy("kd_bin").rowsBetween(Window.unboundedPreceding, 0)
+    straddling = sums.withColumn("upto", F.sum("total").over(upto)).filter("upto >= kd_left AND upto - total < kd_left")
+    for r in straddling.select("kd_node", "total", "upto", "lo", "hi").collect():
+        node, total = bounds[r["kd_node"]], r["total"]
+        rest = node.left - (r["upto"] - total)
+        if total <= step or rest <= step / 2 or total - rest <= step / 2 or r["lo"] == r["hi"]:
+            node.cut = r["lo"] if rest < total - rest else r["hi"] + 1
         else:
-            g.left, g.lo, g.hi = rest, lo, hi + 1
+            node.left, node.lo, node.hi = rest, r["lo"], r["hi"] + 1
 
 
-def shard(table: DataFrame, dims: list[str], size: str, ties: list[str], leaves: int | None = None, target_bytes: int | None = None, per_bucket: int = 50_000) -> DataFrame:
+def shard(
+    table: DataFrame, dims: list[str], size: str, group: list[str], leaves: int | None = None, target_bytes: int | None = None, split: str | None = None, per_bucket: int = 50_000, tolerance: float = 0.01
+) -> DataFrame:
     """Adds ``shard`` (int) and a gapless ``slot`` (long, from 0) to every row of ``table``.
 
-    ``leaves`` fixes the number of shards; else it follows from ``target_bytes``. Slots count
-    through hash buckets of the first tie column, sized to about ``per_bucket`` rows, so no task
-    has to number a whole shard. Empty tables give an empty result; rows equal in every key
-    stay together in one shard. Callers pass non-null BIGINT dims and ties within 32 bits.
+    ``leaves`` fixes the number of shards; else it follows from ``target_bytes``. Rows equal in the
+    ``group`` columns share a shard; a group of more than ``WHOLE`` of a shard's bytes is cut by a hash of
+    ``split``, if that is given. Slots count through hash buckets of the rows, sized to about
+    ``per_bucket`` rows, so no task has to number a whole shard. Empty tables give an empty result.
+    Callers pass non-null BIGINT dims from -1 to 2^32 and non-null group columns; columns that start with
+    ``kd_`` are this function's own.
     """
     totals = table.agg(F.count("*").alias("n"), F.sum(size).alias("size")).first()
     if leaves is None:
         leaves = max(1, math.ceil((totals["size"] or 0) / target_bytes))
-    root, chains = build_tree(table, dims, size, ties, leaves)
+    part, rest = F.lit(0), [c for c in dims if c not in group]
+    if split is not None:
+        share = max(1.0, (totals["size"] or 0) / leaves)
+        large = table.groupBy(*group).agg(F.sum(size).alias("kd_size"), F.count("*").alias("kd_n")).filter((F.col("kd_size") > WHOLE * share) & (F.col("kd_n") > 1))
+        # fewer than leaves / WHOLE groups
+        large = large.select(*group, F.ceil(F.col("kd_size") / (PIECE * share)).cast("int").alias("kd_pieces"))
+        table = table.join(F.broadcast(large), group, "left")
+        part = F.coalesce(F.pmod(F.xxhash64(split, F.lit(11)), F.col("kd_pieces")), F.lit(0))
+    table = table.withColumn("kd_part", part.cast("int"))
+    key = [*group, "kd_part"]
+    points = table.groupBy(*key).agg(F.sum(size).alias("kd_weight"), *[F.min(c).alias(f"kd_d{i}") for i, c in enumerate(rest)])
+    points = points.withColumn("kd_tie", F.pmod(F.xxhash64(*key), F.lit(1 << TIE_BITS)))
+    names = [c if c in group else f"kd_d{rest.index(c)}" for c in dims]
+    placed = grow(checkpointed(points), names, "kd_weight", leaves, tolerance).select(*key, "shard")
     buckets = max(1, math.ceil(totals["n"] / leaves / per_bucket))
-    placed = table.withColumn("shard", _assign(root, chains, lambda n: n.first).cast("int"))
-    placed = placed.withColumn("kd_bucket", F.pmod(F.xxhash64(*ties), F.lit(buckets)).cast("int"))
+    numbered = [F.col(c) for c in (*key, *([split] if split else []), *rest, size)]
+    placed = checkpointed(table.join(placed, key).withColumn("kd_bucket", F.pmod(F.xxhash64(*numbered), F.lit(buckets)).cast("int")))
     counts = placed.groupBy("shard", "kd_bucket").agg(F.count("*").alias("kd_n"))
     before = Window.partitionBy("shard").orderBy("kd_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "kd_bucket", F.coalesce(F.sum("kd_n").over(before), F.lit(0)).alias("kd_start"))
-    inside = Window.partitionBy("shard", "kd_bucket").orderBy(*[F.col(c) for c in (*ties, *dims, size)])
+    inside = Window.partitionBy("shard", "kd_bucket").orderBy(*numbered)
     return (
         placed.withColumn("kd_slot", F.row_number().over(inside))
-        .join(starts, ["shard", "kd_bucket"])
+        .join(F.broadcast(starts), ["shard", "kd_bucket"])  # one row for per_bucket rows, or for a shard
         .withColumn("slot", (F.col("kd_start") + F.col("kd_slot") - 1).cast("long"))
-        .drop("kd_bucket", "kd_start", "kd_slot")
+        .drop("kd_bucket", "kd_start", "kd_slot", "kd_part", "kd_pieces")
     )
 
 
 def shard_documents(docs: DataFrame, leaves: int = 40) -> DataFrame:
     """Shards ``documents`` by bytes: size is the text's UTF-8 bytes plus 16 (null text: 16).
 
-    Dimensions are size, language and source (names by checksum; null is one more name); equal
-    texts share their checksum, so ties keep them adjacent. Null ids count as one id; repeated
-    rows stay rows. Extra columns are not read. Returns doc_id, size, text_crc32, law, shard,
-    slot, grown_shard (null: the law is ``bytes``).
+    Dimensions are size, language and source (names by checksum; null is one more name; a group of equal
+    texts has its smallest). Equal texts share a shard, unless they are more than a quarter of a shard's
+    bytes together; null and empty texts are equal. Null ids count as one id; repeated rows stay rows and
+    share a shard; a long text is one document, whatever its size. Extra columns are not read; an empty
+    table gives none. Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is ``bytes``).
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     table = docs.select(
         F.col("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.coalesce(F.crc32(F.col("lang")), F.lit(-1)).alias("kd_lang"),
-        F.coalesce(F.crc32(F.col("source")), F.lit(-1)).alias("kd_source"),
+        F.xxhash64(text).alias("kd_text"),
+        F.coalesce(F.crc32(F.col("lang")), F.lit(-1).cast("long")).alias("kd_lang"),
+        F.coalesce(F.crc32(F.col("source")), F.lit(-1).cast("long")).alias("kd_source"),
         F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("kd_id"),
     )
-    table = checkpointed(table)
-    placed = shard(table, ["size", "kd_lang", "kd_source"], "size", ["text_crc32", "kd_id"], leaves=leaves)
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    placed = shard(checkpointed(table), ["size", "kd_lang", "kd_source"], "size", ["size", "text_crc32", "kd_text"], leaves=leaves, split="kd_id")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

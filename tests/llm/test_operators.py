@@ -581,6 +581,58 @@ def test_target_bytes_and_hot_keys(spark):
     assert len(out) == 10 and max(r.s for r in out) < 3100
 
 
+def brute_shards(points, leaves):
+    """The tree grown by sorting: {point: shard} of rows (tie, dims.., weight)."""
+    extent = [max(1, max(p[d] for p in points) - min(p[d] for p in points)) for d in (1, 2)]
+    out = {}
+
+    def split(own, k, first):
+        if k == 1 or not own:
+            out.update({p: first for p in own})
+            return
+        d = max((1, 2), key=lambda d: ((max(p[d] for p in own) - min(p[d] for p in own)) / extent[d - 1], -d))
+        goal, seen, left = sum(p[3] for p in own) * (k // 2) / k, 0, []
+        own = sorted(own, key=lambda p: (p[d], p[0]))
+        for p in own:
+            if seen + p[3] >= goal:
+                if goal - seen >= p[3] - (goal - seen):
+                    left.append(p)
+                break
+            seen += p[3]
+            left.append(p)
+        split(left, k // 2, first)
+        split(own[len(left) :], k - k // 2, first + k // 2)
+
+    split(list(points), leaves, 0)
+    return out
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 7, 40])
+def test_tree_against_sorting(spark, monkeypatch, leaves):
+    monkeypatch.setattr(kdshard, "BINS", 16)
+    monkeypatch.setattr(kdshard, "LEVELS", 2)
+    rng = np.random.default_rng(10)
+    points = [(int(t), int(a), int(b), int(w)) for t, a, b, w in zip(rng.permutation(1 << 20)[:700], rng.integers(-1, 50, 700), rng.integers(0, 1 << 32, 700) // 7 % 9 * 400_000_000, rng.integers(4, 90, 700))]
+    df = spark.createDataFrame(points, "kd_tie long, a long, b long, w long")
+    got = {(r.kd_tie, r.a, r.b, r.w): r.shard for r in kdshard.grow(df, ["a", "b"], "w", leaves, tolerance=0.0).collect()}
+    assert got == brute_shards(points, leaves)
+
+
+def test_equal_texts_share_a_shard(spark):
+    rng = np.random.default_rng(11)
+    texts = [f"text {i} " + "x" * int(rng.integers(0, 300)) for i in range(900)]
+    texts += [t for t in texts[:60] for _ in range(int(rng.integers(1, 5)))] + ["hot " * 40] * 1500 + ["", None] * 5
+    rows = [(int(i), t, str(rng.choice(["en", "de"])), None if i % 9 == 0 else f"s{i % 5}", 1) for i, t in zip(rng.permutation(len(texts)), texts)]
+    got = kdshard.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard int"), leaves=8).collect()
+    text, shards, sums = {r[0]: r[1] or "" for r in rows}, {}, Counter()
+    for r in got:
+        shards.setdefault(text[r.doc_id], set()).add(r.shard)
+        sums[r.shard] += r["size"]
+    assert len(got) == len(rows) and all(len(s) == 1 for t, s in shards.items() if not t.startswith("hot")) and len(shards["hot " * 40]) >= 4
+    mean = sum(sums.values()) / 8
+    assert len(sums) == 8 and all(abs(s - mean) < 0.1 * mean for s in sums.values())
+
+
 # kernel
 
 
