@@ -14,6 +14,7 @@ bounds until the straddling bin's bytes are within ``tolerance`` of a leaf or be
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -48,15 +49,18 @@ def _key(dims: list[str]) -> Column:
 
 
 def _table(points: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """One row for each node; never more than the tree has."""
-    return F.broadcast(points.sparkSession.createDataFrame(rows, schema))
+    """One row for each node, never more than the tree has; read from a literal, as local rows would start Python workers."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    kind = "array<struct<" + ",".join(x.replace(" ", ":") for x in schema.split(", ")) + ">>"
+    return F.broadcast(points.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), kind))))
 
 
 def grow(points: DataFrame, dims: list[str], size: str, leaves: int, tolerance: float = 0.01) -> DataFrame:
     """Adds ``shard`` to points: the leaf they fall into. dims are non-null BIGINT from -1 on, kd_tie is a hash."""
     stats = [f(c).alias(f"{n}_{i}") for i, c in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))]
-    whole = points.agg(F.sum(size).alias("size"), *stats).first()
-    placed = points.withColumn("kd_node", F.lit(1).cast("long"))
+    placed = checkpointed(points.withColumn("kd_node", F.lit(1).cast("long")))
+    whole = placed.agg(F.sum(size).alias("size"), *stats).first()
     if not whole["size"] or leaves == 1:
         return placed.withColumn("shard", F.lit(0)).drop("kd_node")
     extent = [max(1, whole[f"hi_{i}"] - whole[f"lo_{i}"]) for i in range(len(dims))]
@@ -133,7 +137,7 @@ def shard(
     points = table.groupBy(*key).agg(F.sum(size).alias("kd_weight"), *[F.min(c).alias(f"kd_d{i}") for i, c in enumerate(rest)])
     points = points.withColumn("kd_tie", F.pmod(F.xxhash64(*key), F.lit(1 << TIE_BITS)))
     names = [c if c in group else f"kd_d{rest.index(c)}" for c in dims]
-    placed = grow(checkpointed(points), names, "kd_weight", leaves, tolerance).select(*key, "shard")
+    placed = grow(points, names, "kd_weight", leaves, tolerance).select(*key, "shard")
     buckets = max(1, math.ceil(totals["n"] / leaves / per_bucket))
     numbered = [F.col(c) for c in (*key, *([split] if split else []), *rest, size)]
     placed = checkpointed(table.join(placed, key).withColumn("kd_bucket", F.pmod(F.xxhash64(*numbered), F.lit(buckets)).cast("int")))
