@@ -77,18 +77,47 @@ def test_mix_meets_targets(docs, none):
     rows = mixing.mix_documents(docs).collect()
     assert len(rows) == docs.count() and mixing.mix_documents(none).count() == 0
     assert rows and sorted(map(str, rows)) == sorted(map(str, mixing.mix_documents(docs.repartition(5)).collect()))
-    sums = Counter()
+    assert all(0 <= r.taken <= 2 * r["size"] for r in rows)
+    key = lambda r: (r.source_size, r.target)
+    source = {r.doc_id: r.source for r in docs.collect()}
+    taken, sizes, targets = Counter(), Counter(), {}
     for r in rows:
-        assert 0 <= r.taken <= 2 * r["size"]
-        sums[r.target] += r.taken
-    for target, taken in sums.items():
-        assert abs(taken - target * len({r.target for r in rows if r.target == target})) <= 1 or taken >= 0
+        taken[source[r.doc_id]] += r.taken
+        sizes[source[r.doc_id]] += r["size"]
+        targets.setdefault(source[r.doc_id], set()).add(key(r))
+    for name, n in taken.items():
+        ((size, target),) = targets[name]
+        assert size == sizes[name] and abs(n - target) <= 0.5 and target <= 2 * size
+    assert math.isclose(sum(t for ((_, t),) in targets.values()), 1.5 * sum(sizes.values()), abs_tol=1e-3)
+
+
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_any_number_of_sources_is_mixed(spark, monkeypatch, bound):
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", bound)
+    rng = np.random.default_rng(22)
+    names = [None, *[f"s{i}" for i in range(700)]]
+    rows = [(i, names[int(rng.integers(len(names)))], int(rng.integers(0, 40))) for i in range(3000)] + [(7, "s3", 11)] * 40 + [(None, None, 5)] * 30
+    df = spark.createDataFrame([(*r, "x", 1, 2.0) for r in rows], "doc_id long, source string, n long, mix_words string, mix_part int, mix_row double")
+    out = mixing.mix(df, F.col("n"), per_bucket=16)
+    got = out.select("mix_row.*", F.col("mix_taken").alias("taken"), F.col("mix_target").alias("target"), F.col("mix_words").alias("words")).collect()
+    assert len(got) == len(rows) and all(r.mix_part == 1 and 0 <= r.taken <= 2 * r.n for r in got)
+    sizes = Counter()
+    for _, name, n in rows:
+        sizes[name] += n
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    want = dict(zip(order, mixing.water_fill([sizes[s] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))], 1.5 * sum(sizes.values()), 2.0)))
+    taken = Counter()
+    for r in got:
+        assert math.isclose(r.target, want[r.source], abs_tol=2e-6)
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 0.5 + 1e-6 for s in want)
 
 
 def test_the_mix_has_the_taken_words(docs):
     want = sum(r.taken for r in mixing.mix_documents(docs).collect())
     mixed = mixing.repeated(docs)
-    assert mixed.columns == docs.columns
+    assert mixed.columns == docs.columns and {r["size"] for r in mixed.collect()} == {"big"}
+    assert mixing.repeated(docs.withColumn("target", F.lit(9)).withColumn("mix_row", F.lit(8))).count() == mixed.count()
     assert sum(len(WORD.findall(r.text or "")) for r in mixed.collect()) == want
 
 
