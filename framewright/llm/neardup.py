@@ -18,8 +18,12 @@ Pairs that could be linked by the bitmaps' bound (about four bits a shingle) joi
 groups; all links lie inside them. This takes two rounds over the buckets, each of which gives only
 pairs that connect something: first each set's first two shared keys, then every bucket that still
 holds several coarse groups. Then each set goes once, whole, to its coarse group, where a finer tree
-and exact counts find the links. Large buckets and groups are dealt in blocks and pairs of blocks, so
-none has to fit a task.
+and exact counts find the links. Large buckets are dealt in blocks and pairs of blocks, so none has to
+fit a task. A large group is dealt in blocks of so many bytes and sets, each with about ``LEADS`` of the
+group's sets as well, which connects nearly all of a group of near copies; then only what isn't in the
+group's largest component meets the rest, so sets are copied in proportion to their number.
+
+``keys=None`` gives every set its whole prefix, which needs no probability at a cost of more keys.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ WORDS, PERCENT, KEYS, ROUND_KEYS = 5, 80, 16, 2
 #: At most so many common shingles are broadcast (8 bytes each).
 MAX_COMMON = 1 << 20
 BLOCK, WIDE_BLOCK, EXACT_BLOCK, FANOUT = 512, 2048, 4096, 8
+#: Bytes of whole sets in one block of a coarse group, and how many of its sets meet all blocks.
+EXACT_BYTES, LEADS = 16 << 20, 64
 #: Up to so many ids (8 bytes each), a semi-join broadcasts them; beyond, it shuffles.
 MAX_BROADCAST_IDS = 1 << 20
 
@@ -88,10 +94,10 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def set_keys(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+def set_keys(s: np.ndarray, common: np.ndarray, keys: int | None = KEYS) -> np.ndarray:
     """The keys of one sorted set, see the module's text."""
     p = prefix_length(len(s))
-    first = s[: min(p, KEYS)]
+    first = s[: p if keys is None else min(p, keys)]
     if not len(common):
         return first
     is_common = common[np.minimum(np.searchsorted(common, first), len(common) - 1)] == first
@@ -101,7 +107,7 @@ def set_keys(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([first[~is_common], np.concatenate([s[~flags], s[flags]])[:p]]))
 
 
-def keyed_sets(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def keyed_sets(docs: DataFrame, common: np.ndarray, n_keys: int | None = KEYS) -> DataFrame:
     """(doc_id, n, fp1, fp2, keys, map) per row: two 64-bit digests of the set, its keys and its bitmap."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +117,7 @@ def keyed_sets(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 n.append(len(s))
                 f1.append(mix64(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64))
                 f2.append(mix64(s ^ np.uint64(0x5C5C)).sum(dtype=np.uint64))
-                keys.append(set_keys(s, common).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                keys.append(set_keys(s, common, n_keys).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 maps.append(bitmap(s, bits_for(len(s))).tobytes() if len(s) else None)
             if n:
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
@@ -217,9 +223,9 @@ class _Union:
         self.up[max(i, j)] = min(i, j)
 
 
-def exact_links(ids: list[int], sets: list[np.ndarray], block: list[int] | None = None) -> Iterator[tuple[int, int]]:
-    """Links that connect whatever is linked among these sets (with ``block``: across blocks only), by a
-    signature tree of 16 bits a shingle and exact counts; pairs already connected aren't counted."""
+def exact_links(ids: list[int], sets: list[np.ndarray], given: list[int] | None = None) -> Iterator[tuple[int, int]]:
+    """Links that connect whatever is linked among these sets, by a signature tree of 16 bits a shingle
+    and exact counts; pairs already connected, by links found or by components ``given``, aren't counted."""
     order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
     cuts = [0, *(k for k in range(1, len(order)) if 100 * len(sets[order[k - 1]]) < PERCENT * len(sets[order[k]])), len(order)]
     for begin, end in zip(cuts[:-1], cuts[1:]):  # runs of sizes that can be linked
@@ -229,14 +235,16 @@ def exact_links(ids: list[int], sets: list[np.ndarray], block: list[int] | None
         sizes = np.array([len(sets[k]) for k in band], np.int64)
         bits = bits_for(int(sizes[-1]), 16)
         tree = SignatureTree(sizes, np.stack([bitmap(sets[k], bits) for k in band]))
-        union = _Union(len(band))
+        label = np.unique([given[k] for k in band], return_inverse=True)[1] if given else np.arange(len(band))
         for i, j in tree.pairs():
-            for x, y in zip(i.tolist(), j.tolist()):
-                if (p := union.find(x)) == (q := union.find(y)) or (block is not None and block[band[x]] == block[band[y]]):
-                    continue
-                if linked(sets[band[x]], sets[band[y]]):
-                    union.join(p, q)
-                    yield ids[band[x]], ids[band[y]]
+            while len(i):
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                for x, y in zip(i[:512].tolist(), j[:512].tolist()):
+                    if label[x] != label[y] and linked(sets[band[x]], sets[band[y]]):
+                        label[label == label[y]] = label[x]
+                        yield ids[band[x]], ids[band[y]]
+                i, j = i[512:], j[512:]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -324,11 +332,11 @@ def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]
 
 
 def _exact_round(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
-    """Links of one pair of blocks of a coarse group (equal: within the block)."""
-    for (_, left, right), rows in _groups(batches, 3):
+    """Links inside a cell of a coarse group; rows have the component that is known."""
+    for _, rows in _groups(batches, 3):
         rows = list({(r[0], r[1]): r for r in rows}.values())
         if len(rows) > 1:
-            yield from exact_links([r[0] for r in rows], [np.frombuffer(r[1], np.uint64) for r in rows], None if left == right else [r[2] for r in rows])
+            yield from exact_links([r[0] for r in rows], [np.frombuffer(r[1], np.uint64) for r in rows], [r[2] for r in rows])
 
 
 def _in_cells(rows: DataFrame, key: str, held: str, size: int) -> DataFrame:
@@ -354,14 +362,49 @@ def _set_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(stream, "node long, set binary")
 
 
-def components(docs: DataFrame) -> DataFrame:
+def _linked_in(docs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Links found in cells (component, left, right, node, known)."""
+    dealt = cells.join(_set_bytes(docs, cells.select("node").distinct()), "node").select("component", "left", "right", "node", "set", "known")
+    dealt = dealt.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "node")
+    return dealt.mapInArrow(_pair_stream(_exact_round), "a long, b long")
+
+
+def exact_components(docs: DataFrame, coarse: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, component) of the linked sets among coarse groups (node, component); ``sizes`` has node and n."""
+    rows = coarse.join(sizes, "node").withColumn("bytes", 8 * F.col("n"))
+    held = rows.groupBy("component").agg(F.count("*").alias("held"), F.sum("bytes").alias("total"))
+    blocks = lambda total, n: F.greatest(F.ceil(F.col(total) / EXACT_BYTES), F.ceil(F.col(n) / EXACT_BLOCK)).cast("int")
+    rows = checkpointed(rows.join(held.select("component", "held", blocks("total", "held").alias("blocks")), "component").select("node", "component", "bytes", "held", "blocks"))
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
+    lead = F.pmod(F.xxhash64("node", F.lit(3)), F.col("held")) < LEADS
+    cells = rows.select("component", F.explode(F.when((F.col("blocks") > 1) & lead, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("left"), F.lit(-1).alias("right"), "node", F.col("node").alias("known"))
+    links = checkpointed(_linked_in(docs, cells))
+    comps = checkpointed(connected_components(links))
+    large = rows.filter("blocks > 1")
+    if not large.limit(1).count():
+        return comps
+    known = large.join(comps.withColumnRenamed("component", "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    parts = known.groupBy("component", "known").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    parts = parts.groupBy("component").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.max(F.struct("n", "known", "b")).alias("m"), F.sum("n").alias("n"), F.sum("b").alias("b"))
+    parts = parts.select("component", "main", (F.col("n") - F.col("m.n")).alias("n_rest"), (F.col("b") - F.col("m.b")).alias("b_rest"), F.col("m.n").alias("n_main"), F.col("m.b").alias("b_main"))
+    parts = parts.filter("n_rest > 0").select("component", "main", blocks("b_rest", "n_rest").alias("k_rest"), blocks("b_main", "n_main").alias("k_main"))
+    # blocks 0 to k_rest - 1 hold the rest and meet each other and all of the main component's, which don't meet each other
+    dealt = known.join(parts, "component").withColumn("is_main", F.col("known") == F.col("main"))
+    dealt = dealt.withColumn("block", (F.pmod(F.xxhash64("node", F.lit(4)), F.when(F.col("is_main"), F.col("k_main")).otherwise(F.col("k_rest"))) + F.when(F.col("is_main"), F.col("k_rest")).otherwise(F.lit(0))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("k_rest")).otherwise(F.col("k_rest") + F.col("k_main")) - 1)))
+    cells = dealt.select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "known")
+    return checkpointed(connected_components(links.unionByName(_linked_in(docs, cells))))
+
+
+def components(docs: DataFrame, keys: int | None = KEYS) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``.
 
-    Texts without words have an empty set and are their own component. Rows of one doc_id count as
-    one document that has all their sets; rows without an id are linked with nothing and have a null
-    component. Extra columns are not read; an empty table gives none.
+    Null and empty texts and texts without words have an empty set and are their own component. Rows of
+    one doc_id count as one document that has all their sets; rows without an id are linked with nothing
+    and have a null component. Very long texts are read whole. Extra columns are not read; an empty table
+    gives none. ``keys``: how many of its smallest shingles a set meets others by; None for its whole prefix.
     """
-    keyed = checkpointed(keyed_sets(docs, common_shingles(docs)))
+    keyed = checkpointed(keyed_sets(docs, common_shingles(docs), keys))
     filled = keyed.filter("n > 0 AND doc_id IS NOT NULL")
     reps = filled.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "keys", "map")).alias("rep"))
     reps = checkpointed(reps.select("fp1", "fp2", "n", F.col("rep.doc_id").alias("node"), "rep.keys", "rep.map"))
@@ -387,11 +430,7 @@ def components(docs: DataFrame) -> DataFrame:
     second = dealt.mapInArrow(_pair_stream(_second_round), "a long, b long").distinct()
     coarse = checkpointed(connected_components(first.unionByName(second)))
 
-    sizes = coarse.groupBy("component").agg(F.count("*").alias("held"))
-    cells = _in_cells(coarse.join(sizes, "component"), "component", "held", EXACT_BLOCK)
-    dealt = cells.join(_set_bytes(docs, coarse), "node").select("component", "left", "right", "node", "set", "block")
-    dealt = dealt.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "node")
-    comps = checkpointed(connected_components(dealt.mapInArrow(_pair_stream(_exact_round), "a long, b long")))
+    comps = exact_components(docs, coarse, reps.select("node", "n"))
 
     of_set = reps.select("fp1", "fp2", "n", "node").join(comps, "node", "left").select("fp1", "fp2", "n", F.coalesce("component", "node").alias("component"))
     found = filled.select("doc_id", "fp1", "fp2", "n").join(of_set, ["fp1", "fp2", "n"])
@@ -400,7 +439,9 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; rows without an id all stay."""
+    """One document of each component stays, the one with the smallest id; all columns are kept, whatever
+    their names. Rows without an id all stay, as do null and empty texts; of repeated rows of an id one
+    stays. An empty table gives none."""
     found = checkpointed(components(docs).filter("doc_id IS NOT NULL"))
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -516,9 +516,10 @@ def brute_components(texts):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("blocks", [(512, 2048, 4096, 1 << 20), (4, 3, 5, 2)])
+@pytest.mark.parametrize("blocks", [(512, 2048, 4096, 1 << 20, 16 << 20, 64, 16), (4, 3, 5, 2, 1 << 20, 2, 16), (4, 3, 500, 2, 600, 1, None)])
 def test_components_against_brute_force(spark, monkeypatch, blocks):
-    for name, value in zip(("BLOCK", "WIDE_BLOCK", "EXACT_BLOCK", "MAX_BROADCAST_IDS"), blocks):
+    *blocks, keys = blocks
+    for name, value in zip(("BLOCK", "WIDE_BLOCK", "EXACT_BLOCK", "MAX_BROADCAST_IDS", "EXACT_BYTES", "LEADS"), blocks):
         monkeypatch.setattr(neardup, name, value)
     rng = np.random.default_rng(8)
     vocabulary = [f"v{i}" for i in range(400)]
@@ -536,7 +537,7 @@ def test_components_against_brute_force(spark, monkeypatch, blocks):
     texts += ["", None, " \t", "One two", "one  TWO"]
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, component string, n int")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.components(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.components(df, keys).collect()}
     want = brute_components(rows)
     assert got == want
     kept = neardup.keep_one(df)
