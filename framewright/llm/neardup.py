@@ -46,8 +46,8 @@ MAX_COMMON = 1 << 20
 BLOCK, WIDE_BLOCK, EXACT_BLOCK, FANOUT = 512, 2048, 4096, 8
 #: Bytes of whole sets in one block of a coarse group, and how many of its sets meet all blocks.
 EXACT_BYTES, LEADS = 16 << 20, 64
-#: Up to so many ids (8 bytes each), a semi-join broadcasts them; beyond, it shuffles.
-MAX_BROADCAST_IDS = 1 << 20
+#: Up to so many rows of sets' cells (32 bytes each) are broadcast to the documents; beyond, the join shuffles.
+MAX_BROADCAST_IDS = 1 << 19
 
 
 def document_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -347,26 +347,22 @@ def _in_cells(rows: DataFrame, key: str, held: str, size: int) -> DataFrame:
     return rows.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("cells", "other", held)
 
 
-def _set_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, set) of the wanted documents: their shingles as bytes."""
+def _linked_in(docs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Links found in cells (component, left, right, node, known): the documents' texts meet their cells,
+    and their sets go there once."""
+    names = ["component", "left", "right", "node", "known", "set"]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [s.tobytes() for _, s in document_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "set"])
-
-    wanted = wanted.select("node")
-    if wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(wanted, "node", "left_semi")
-    return rows.mapInArrow(stream, "node long, set binary")
+            out = [s.tobytes() for _, s in document_sets(batch.column(5))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary())], names=names)
 
-
-def _linked_in(docs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Links found in cells (component, left, right, node, known)."""
-    dealt = cells.join(_set_bytes(docs, cells.select("node").distinct()), "node").select("component", "left", "right", "node", "set", "known")
+    if cells.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        cells = F.broadcast(cells)
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(cells, "node")
+    dealt = rows.select(*names[:5], "text").mapInArrow(stream, "component long, left int, right int, node long, known long, set binary")
     dealt = dealt.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "node")
-    return dealt.mapInArrow(_pair_stream(_exact_round), "a long, b long")
+    return dealt.select("component", "left", "right", "node", "set", "known").mapInArrow(_pair_stream(_exact_round), "a long, b long")
 
 
 def exact_components(docs: DataFrame, coarse: DataFrame, sizes: DataFrame) -> DataFrame:
