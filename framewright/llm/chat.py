@@ -195,7 +195,10 @@ PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[IN
 
 
 def format_all(conversations: DataFrame) -> DataFrame:
-    """Digests of all conversations and of conversation -1."""
-    probe = conversations.sparkSession.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(probe)
-    return digest(format_conversations(rows))
+    """Digests of all conversations and of conversation -1, the contract's own, which is a row of its own
+    beside a conversation of the table that has this id.
+
+    Null texts and roles are empty; null ids are one conversation; repeated rows are turns of their own;
+    a very long text is one turn; extra columns are not read; an empty table gives conversation -1 alone."""
+    probe = conversations.sparkSession.createDataFrame(PROBE, "conv_id long, turn long, role string, text string").coalesce(1)
+    return digest(format_conversations(conversations)).unionByName(digest(format_conversations(probe)))

@@ -124,12 +124,56 @@ class Stream:
     sync_errors: int = 0
 
 
-def _sections(payload: bytes) -> bytes | None:
-    """A section whose CRC holds, else None."""
-    start = 1 + payload[0] if payload else 0
-    size = 3 + (int.from_bytes(payload[start + 1 : start + 3], "big") & 0xFFF)
-    section = payload[start : start + size]
-    return section[:-4] if len(section) == size > 12 and crc32_mpeg(section) == 0 else None
+def _sections(payloads: list[bytes], starts: list[bool]) -> Iterator[bytes | None]:
+    """The sections of one PID's packets, over packet ends; None for one that is cut or whose CRC fails."""
+    held, begun = b"", False
+    for payload, start in zip(payloads, starts):
+        if start:
+            pointer = payload[0] + 1 if payload else 0
+            if begun:
+                held += payload[1:pointer]
+                found, held = _whole(held)
+                yield from found
+                if held.strip(b"\xff"):
+                    yield None
+            held, begun = payload[pointer:], True
+        elif begun:
+            held += payload
+        found, held = _whole(held)
+        yield from found
+        begun = begun and bool(held)
+    if held.strip(b"\xff"):
+        yield None
+
+
+def _whole(held: bytes) -> tuple[list[bytes | None], bytes]:
+    """The sections that are whole, without their CRC, and what follows; stuffing ends the packet."""
+    out: list[bytes | None] = []
+    while len(held) >= 3 and held[0] != 0xFF:
+        size = 3 + (int.from_bytes(held[1:3], "big") & 0xFFF)
+        if len(held) < size:
+            return out, held
+        section, held = held[:size], held[size:]
+        out.append(section[:-4] if size > 12 and crc32_mpeg(section) == 0 else None)
+    return out, b"" if held[:1] == b"\xff" else held
+
+
+def _unrepeated(b: np.ndarray, offset: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, int]:
+    """(packets that aren't a legal second copy of the one before; continuity errors of the others).
+
+    A packet may come twice, with the same counter and payload; a counter may jump where the adaptation
+    field says so; packets without payload don't count."""
+    keep = np.ones(len(b), bool)
+    at = np.flatnonzero(has)
+    if len(at) < 2:
+        return keep, 0
+    counter = (b[at, 3] & 15).astype(np.int16)
+    step = (counter[1:] - counter[:-1]) % 16
+    flagged = (b[at, 3] & 0x20 != 0) & (b[at, 4] > 0) & (b[at, 5] & 0x80 != 0)
+    same = (step == 0) & (offset[at[1:]] == offset[at[:-1]]) & ((b[at[1:]] == b[at[:-1]]) | (_COLS < offset[at[1:], None])).all(1)
+    second = same & ~np.concatenate([[False], same[:-1]])
+    keep[at[1:][second]] = False
+    return keep, int(((step != 1) & ~second & ~flagged[1:]).sum())
 
 
 def demultiplex(media: bytes) -> Stream:
@@ -145,31 +189,35 @@ def demultiplex(media: bytes) -> Stream:
     offset = np.where(control & 2, 5 + a[:, 4].astype(np.int32), 4)
     offset = np.where(control & 1, np.minimum(offset, PACKET), PACKET)
     streams: dict[int, int] = {}
-    for i in np.flatnonzero((pid == PAT_PID) & starts):
-        section = _sections(a[i, offset[i] :].tobytes())
-        if section is None:
-            out.table_errors += 1
-            continue
+
+    def tables(own: int) -> Iterator[bytes]:
+        at = np.flatnonzero((pid == own) & (offset < PACKET))
+        for section in _sections([a[i, offset[i] :].tobytes() for i in at], starts[at].tolist()):
+            if section is None:
+                out.table_errors += 1
+            else:
+                yield section
+
+    for section in tables(PAT_PID):
         for at in range(8, len(section) - 3, 4):
             program, pmt = int.from_bytes(section[at : at + 2], "big"), int.from_bytes(section[at + 2 : at + 4], "big") & 0x1FFF
             if program:
                 out.programs.setdefault(program, {})
                 streams[pmt] = program
-    for i in np.flatnonzero(np.isin(pid, list(streams)) & starts):
-        section = _sections(a[i, offset[i] :].tobytes())
-        if section is None:
-            out.table_errors += 1
-            continue
-        at = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
-        while at + 5 <= len(section):
-            out.programs[streams[int(pid[i])]][int.from_bytes(section[at + 1 : at + 3], "big") & 0x1FFF] = section[at]
-            at += 5 + (int.from_bytes(section[at + 3 : at + 5], "big") & 0xFFF)
+    for own in streams:
+        for section in tables(own):
+            at = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
+            while at + 5 <= len(section):
+                out.programs[streams[own]][int.from_bytes(section[at + 1 : at + 3], "big") & 0x1FFF] = section[at]
+                at += 5 + (int.from_bytes(section[at + 3 : at + 5], "big") & 0xFFF)
     pieces = []
     for es in sorted({p for program in out.programs.values() for p in program}):
         mine = pid == es
         b, off, first, has = a[mine], offset[mine], starts[mine], control[mine] & 1 != 0
-        cc = (b[:, 3] & 15).astype(np.int16)[has]
-        out.continuity_errors += int(((cc[1:] - cc[:-1]) % 16 != 1).sum())
+        keep, errors = _unrepeated(b, off, has)
+        out.continuity_errors += errors
+        if not keep.all():
+            b, off, first = b[keep], off[keep], first[keep]
         flagged = (b[:, 3] & 0x20 != 0) & (b[:, 4] > 0) & (b[:, 5] & 0x40 != 0)
         sizes = PACKET - off
         data = b[_COLS[None, :] >= off[:, None]]
@@ -219,12 +267,12 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(key, F.col(text).cast("string")).mapInArrow(lambda b: (x.rename_columns([key, "n_bytes", "media"]) for x in stream(b)), schema)
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>"
 
 
 def read_back(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Parses every stored stream: its payload's digest, and its tables, time stamps, random-access
-    points and faults as ``feature``."""
+    """Parses every stored stream: its payload's digest, its tables, counts and faults as ``feature``, the
+    time stamp of each access unit (``pts``) and which units are random-access points."""
 
     def row(stored: bytes) -> tuple:
         s = demultiplex(stored)
@@ -232,10 +280,10 @@ def read_back(media: DataFrame, key: str = "doc_id") -> DataFrame:
         last, rap = (s.pts[-1] if s.pts else -1), s.random_access
         marks = zlib.crc32(np.array(s.pts + rap, np.int64).tobytes())
         feature = f"programs={programs} packets={s.packets} units={len(s.pts)} last_pts={last} rap={len(rap)} marks={marks:08x} continuity={s.continuity_errors} tables={s.table_errors} sync={s.sync_errors}"
-        return len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+        return len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, s.pts, rap
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         names = [key, "n_bytes", *(x.split()[0] for x in FEATURES.split(", "))]
         for batch in batches:
             if batch.num_rows:
@@ -249,7 +297,8 @@ def read_back(media: DataFrame, key: str = "doc_id") -> DataFrame:
 def media_features(docs: DataFrame) -> DataFrame:
     """Every whole text stored as a transport stream and read back; one row per document.
 
-    Null and empty texts store one block of spaces. Equal texts give equal values; null ids,
-    repeated rows and extra columns are carried or ignored as they are.
+    Null and empty texts store one block of spaces. Equal texts give equal values; null ids are
+    carried, repeated rows stay rows, extra columns are not read; a very long text is one stream of many
+    access units; an empty table gives none.
     """
     return read_back(store(docs))

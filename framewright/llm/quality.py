@@ -171,21 +171,22 @@ def held_out(key: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from the labelled documents that are not held out (null ids are never learnt from).
 
-    Repeated labels of an id count as their mean. At most ``sample`` labelled ids go to the
-    learner, chosen by the md5 of the id, so the sample is a fixed one at any size.
+    Repeated labels of an id count as their mean, repeated documents of an id as the one with the smallest
+    features. At most ``sample`` labelled ids go to the learner, one row each, chosen by the md5 of the
+    id, so the sample is a fixed one at any size. Without labelled documents every score is one half.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("gam_label"))
     known = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("text", F.col("gam_label"))
+    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("text", "gam_label", F.col("doc_id").cast("string").alias("gam_id"))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1)
             for i, j, data, offsets in text_slices(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(features(data, offsets).tolist(), pa.list_(pa.float64())), label[i:j]], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(features(data, offsets).tolist(), pa.list_(pa.float64())), label[i:j], batch.column(2)[i:j]], names=["x", "y", "id"])
 
-    got = rows.mapInArrow(stream, "x array<double>, y int").toArrow()
+    got = rows.mapInArrow(stream, "x array<double>, y int, id string").groupBy("id", "y").agg(F.min("x").alias("x")).toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = got.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the order of arrival is not part of the model
@@ -200,7 +201,8 @@ def scores(column: pa.Array, model: Model) -> np.ndarray:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; null texts score as empty ones.
 
-    Extra columns are not read; a null id is scored and counts as not held out.
+    Extra columns are not read; a null id is scored and counts as not held out; repeated rows stay rows
+    with equal scores; very long texts are read whole; an empty table gives none.
     """
     model = fit(docs, labels)
 
@@ -216,7 +218,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject, with their columns as they are."""
+    """The documents that the classifier does not reject, with their columns as they are, whatever their
+    names. Null texts are judged as empty ones; null ids are judged like others; repeated rows stay or go
+    together; very long texts are read whole; an empty table gives none."""
     model, at = fit(docs, labels), docs.columns.index("text")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,11 +51,40 @@ def test_transport_stream_faults_are_counted():
     assert mpegts.demultiplex(b"").payload == b""
 
 
+def test_legal_repeats_jumps_and_long_tables():
+    media = mpegts.multiplex(bytes(range(192)) * 500)
+    packets = [media[k : k + 188] for k in range(0, len(media), 188)]
+    whole = mpegts.demultiplex(media)
+    for k in (2, 5, len(packets) - 1):  # a packet may come twice, but not three times
+        twice = mpegts.demultiplex(b"".join([*packets[: k + 1], *packets[k:]]))
+        assert (twice.payload, twice.pts, twice.continuity_errors) == (whole.payload, whole.pts, 0)
+        assert mpegts.demultiplex(b"".join([*packets[: k + 1], packets[k], *packets[k:]])).continuity_errors == 1
+    starts = [k for k, p in enumerate(packets) if k > 2 and p[1] & 0x40 and p[3] & 0x20]
+    jump = [bytearray(p) for p in packets]
+    for p in jump[starts[0] :]:
+        p[3] = p[3] & 0xF0 | (p[3] + 5) & 15
+    assert mpegts.demultiplex(b"".join(jump)).continuity_errors == 1
+    jump[starts[0]][5] |= 0x80
+    assert mpegts.demultiplex(b"".join(jump)).continuity_errors == 0
+    entries = b"".join((0x06).to_bytes(1, "big") + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\x00" for pid in [0x100, *range(0x200, 0x250)])
+    body = (0xE100).to_bytes(2, "big") + b"\xf0\x00" + entries
+    section = bytes([2]) + (0xB000 | (len(body) + 9)).to_bytes(2, "big") + b"\x00\x01\xc1\x00\x00" + body
+    section += mpegts.crc32_mpeg(section).to_bytes(4, "big")
+    table, rest = [], b"\x00" + section
+    for k in range(0, len(rest), 184):
+        table.append((bytes([0x47]) + ((0x5000 if k == 0 else 0x1000)).to_bytes(2, "big") + bytes([0x10 | k // 184 & 15]) + rest[k : k + 184]).ljust(188, b"\xff"))
+    long = mpegts.demultiplex(b"".join([packets[0], *table, *packets[2:]]))
+    assert len(table) > 1 and long.table_errors == 0 and len(long.programs[1]) == 81 and long.payload == whole.payload
+    assert mpegts.demultiplex(b"".join([packets[0], *table[:-1], *packets[2:]])).table_errors == 1
+
+
 def test_media_features(docs, none):
     for r in mpegts.media_features(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
         raw = (r.text or "").encode()
         payload = raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    for r in mpegts.media_features(docs).collect():
+        assert r.pts == [k * mpegts.TICKS for k in range(len(r.pts))] and r.random_access == list(range(0, len(r.pts), mpegts.RAP_EVERY)) and f"units={len(r.pts)} " in r.feature
     assert mpegts.media_features(docs).count() == docs.count() and mpegts.media_features(none).count() == 0
 
 
@@ -232,6 +261,16 @@ def test_quality_edge_cases(spark, docs, none):
     assert all(v == (zlib.crc32(str(k).encode()) % 5 == 0) for k, v in held.items() if k is not None)
 
 
+def test_repeated_rows_of_a_labelled_id_are_learnt_once(spark):
+    texts = {i: f"some text number {i} " * (i % 7 + 1) for i in range(40)}
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    rows = [(i, t) for i, t in texts.items()]
+    schema = "doc_id long, text string"
+    once, often = (spark.createDataFrame(r, schema) for r in (rows, rows + [rows[1]] * 300))
+    a, b = quality.fit(once, labels), quality.fit(often, labels)
+    assert a.intercept == b.intercept and all((x == y).all() for x, y in zip(a.tables, b.tables))
+
+
 # 5
 
 
@@ -588,6 +627,8 @@ def test_chat_round_trip_and_states(spark):
     assert {k: r.valid for k, r in got.items()} == {1: True, 2: False, 3: False, None: False, 4: False, -1: True}
     assert got[4].loss_chars == 2 and got[4].loss_sha256 == hashlib.sha256(b"yy").hexdigest() and got[1].n_turns == 2
     assert chat.format_all(df.limit(0)).count() == 1
+    own = spark.createDataFrame([(-1, 0, "user", "mine"), (-1, 1, "assistant", "too")], "conv_id long, turn long, role string, text string")
+    assert sorted(r.loss_chars for r in chat.format_all(own).collect()) == [3, 21]
 
 
 # 10

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline
 from framewright.llm import decontaminate, mixing, neardup, quality
 
@@ -24,3 +26,24 @@ def test_stages_keep_what_they_should(spark, small, tmp_path):
         ids[name] = out.count()
         docs = out
     assert corpus_pipeline.run(spark, small).count() == ids["sharding"]
+
+
+def test_stages_take_nulls_repeats_clashes_and_empty_tables(spark, docs, none, small):
+    base = ["doc_id", "text", "lang", "source", "n_chars"]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, small)
+        rows = out.collect()
+        assert stage(spark, none, small).count() == 0
+        if k < 4:
+            assert out.columns == docs.columns and {r["size"] for r in rows} <= {"big"} and {r["block"] for r in rows} <= {2}, name
+        if name == "near_duplicates":
+            assert Counter(r.doc_id for r in rows)[10] == 1 and {r.doc_id for r in rows} >= {None, 3, 4}
+        if name == "decontamination":
+            assert len(rows) == docs.count()
+        if name == "mixing":
+            known = {(r.doc_id, r.text) for r in docs.collect()}
+            assert sum((r.doc_id, r.text) not in known for r in rows) <= len({r.source for r in docs.collect()})
+        if name == "sharding":
+            assert len(rows) == docs.count() and len({r.shard for r in rows if r.doc_id == 10}) == 1
+    clean = docs.withColumnsRenamed({"node": "mix_row", "key": "target"}).select(*base, "mix_row", "target")
+    assert corpus_pipeline.mix(spark, clean, small).columns == clean.columns
