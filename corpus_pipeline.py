@@ -3,6 +3,9 @@
 Quality classifier (rejected documents go), near duplicates (one document of each component
 stays), benchmark decontamination (leaking documents go), mixing to target weights (documents
 repeat) and K-d tree sharding. All but the last return the columns of documents.
+
+Every stage takes nulls in any column, repeated rows, columns of any name and empty tables; what it
+does with them stands in its text.
 """
 
 from __future__ import annotations
@@ -16,27 +19,33 @@ from framewright.llm.common import read_table, shared_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject. Null texts are judged as empty ones, null ids and very
+    long texts like others; repeated rows stay or go together; without labels all rows stay."""
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
+    """One document of each near-duplicate component, the one with the smallest id; of an id's repeated rows
+    one stays. Null and empty texts are like no other text and stay, as do all rows without an id."""
     return neardup.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; null ids are judged like others;
+    repeated rows stay or go together; without items all rows stay."""
     return decontaminate.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"), short=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the document on a source's edge gives its first words."""
+    """Documents as often as the mix takes them; the document on a source's edge gives its first words. Null
+    sources are one source, null ids one id of the order; null and empty texts have no words and come only
+    with whole repetitions of their source; equal rows are rows of their own."""
     return mixing.repeated(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's shard and slot."""
+    """Every document's shard and slot. Null texts are empty ones; null languages, sources and ids are values
+    of their own; equal texts share a shard."""
     return kdshard.shard_documents(docs)
 
 
