@@ -1,22 +1,26 @@
 """Audio time-series analytics over (stream_id, frame_idx, ch, sample) rows.
 
 Everything on the 10 ms grid is windows and aggregates; linear recurrences (filters) and nonlinear
-folds (envelopes) run per (stream, channel) in order, in grouped Arrow functions.
+folds (envelopes) run per (stream, channel) in order, over sorted Arrow batches with carried state.
 Loudness that cannot be measured is NULL.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_CHUNKS, HOP_CHUNKS, SHORT_TERM_CHUNKS = 40, 10, 300
 ABSOLUTE_GATE, RELATIVE_GATE, OFFSET = -70.0, 10.0, -0.691
+#: Samples that a filter takes at once.
+FILTER_BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -29,15 +33,43 @@ class Biquad:
     a1: float
     a2: float
 
-    def run(self, x: np.ndarray) -> np.ndarray:
-        out, s1, s2 = np.empty(len(x)), 0.0, 0.0
-        b0, b1, b2, a1, a2 = self.b0, self.b1, self.b2, self.a1, self.a2
+    def run(self, x: np.ndarray, state: tuple[float, float] = (0.0, 0.0)) -> np.ndarray:
+        return self.carry(x, state)[0]
+
+    def carry(self, x: np.ndarray, state: tuple[float, float]) -> tuple[np.ndarray, tuple[float, float]]:
+        """(output, state after it), in blocks: what a block gives from rest and from its state are matrix
+        products, and only the state steps from block to block."""
+        n, whole = len(x), len(x) // FILTER_BLOCK
+        out, state = np.empty(n), np.array(state)
+        if whole:
+            rest, free, turn, push = _block(self)
+            blocks = x[: whole * FILTER_BLOCK].reshape(whole, FILTER_BLOCK)
+            states, pushes = np.empty((whole, 2)), blocks @ push.T
+            for k in range(whole):
+                states[k] = state
+                state = turn @ state + pushes[k]
+            out[: whole * FILTER_BLOCK] = (blocks @ rest.T + states @ free.T).reshape(-1)
+        out[whole * FILTER_BLOCK :], state = self._walk(x[whole * FILTER_BLOCK :], *state)
+        return out, tuple(state)
+
+    def _walk(self, x: np.ndarray, s1: float, s2: float) -> tuple[np.ndarray, tuple[float, float]]:
+        out = np.empty(len(x))
         for i, v in enumerate(x.tolist()):
-            y = b0 * v + s1
-            s1 = b1 * v - a1 * y + s2
-            s2 = b2 * v - a2 * y
+            y = self.b0 * v + s1
+            s1 = self.b1 * v - self.a1 * y + s2
+            s2 = self.b2 * v - self.a2 * y
             out[i] = y
-        return out
+        return out, (s1, s2)
+
+
+@lru_cache(64)
+def _block(f: Biquad) -> tuple[np.ndarray, ...]:
+    """A block's matrices: output from input, output from state, state from state, state from input."""
+    unit = np.eye(FILTER_BLOCK)
+    impulses = [f._walk(row, 0.0, 0.0) for row in unit]
+    free = [f._walk(np.zeros(FILTER_BLOCK), *s) for s in ((1.0, 0.0), (0.0, 1.0))]
+    columns = lambda pairs, k: np.stack([np.asarray(p[k]) for p in pairs], 1)
+    return columns(impulses, 0), columns(free, 0), columns(free, 1), columns(impulses, 1)
 
 
 def _rbj(rate: float, freq: float, q: float, sign: int) -> Biquad:
@@ -88,15 +120,43 @@ def three_bands(x: np.ndarray, rate: float, low: float, high: float) -> tuple[np
     )
 
 
+def in_order(rows: DataFrame, keys: list[str], order: str, columns: list[str], names: list[str], fold: Callable) -> DataFrame:
+    """Rows with the doubles ``names`` added by ``fold(arrays, state) -> (arrays, state)`` over the columns of each
+    key's rows in order. Sorted batches stream through with the state carried, so no key has to fit in memory."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", {n} double" for n in names)
+    at, places = [rows.columns.index(k) for k in keys], [rows.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = list(zip(*(batch.column(i).to_pylist() for i in at)))
+            cuts = [0, *(k for k in range(1, len(own)) if own[k] != own[k - 1]), len(own)]
+            arrays = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in places]
+            parts = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if own[a] != key:
+                    key, state = own[a], None
+                out, state = fold([x[a:b] for x in arrays], state)
+                parts.append(out)
+            added = [pa.array(np.concatenate(x), pa.float64()) for x in zip(*parts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
 def filtered(samples: DataFrame, *sections: Biquad) -> DataFrame:
     """Samples with ``filtered`` added: the sections run over each (stream, channel) in frame order."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        return pdf.assign(filtered=cascade(pdf["sample"].to_numpy(float), *sections))
+    def fold(arrays: list[np.ndarray], states: list | None) -> tuple[list[np.ndarray], list]:
+        x, after = arrays[0].astype(float), []
+        for section, state in zip(sections, states or [(0.0, 0.0)] * len(sections)):
+            x, state = section.carry(x, state)
+            after.append(state)
+        return [x], after
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in samples.schema) + ", filtered double"
-    return samples.groupBy("stream_id", "ch").applyInPandas(run, schema)
+    return in_order(samples, ["stream_id", "ch"], "frame_idx", ["sample"], ["filtered"], fold)
 
 
 def channel_weight(ch: Column, channels: Column, layout: Column) -> Column:
@@ -295,41 +355,70 @@ def gain_curve(masked: DataFrame, decisions: DataFrame) -> DataFrame:
     speech = F.col("mask") & F.col("apply")
     rows = rows.select("stream_id", "chunk_idx", F.when(speech, F.col("g")).otherwise(0.0).alias("g"), F.when(speech, F.col("d")).otherwise(0.0).alias("d"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_idx")
-        return pd.DataFrame({"stream_id": pdf["stream_id"], "chunk_idx": pdf["chunk_idx"], "gain_db": envelope(pdf["g"].to_numpy(), start=0.0), "duck_db": envelope(pdf["d"].to_numpy(), start=0.0)})
+    def fold(arrays: list[np.ndarray], state: tuple | None) -> tuple[list[np.ndarray], tuple]:
+        out = [envelope(x, start=v) for x, v in zip(arrays, state or (0.0, 0.0))]
+        return out, tuple(x[-1] for x in out)
 
-    return rows.groupBy("stream_id").applyInPandas(run, "stream_id long, chunk_idx long, gain_db double, duck_db double")
+    return in_order(rows, ["stream_id"], "chunk_idx", ["g", "d"], ["gain_db", "duck_db"], fold).select("stream_id", "chunk_idx", "gain_db", "duck_db")
 
 
-def apply_gain(samples: DataFrame, curve: DataFrame, chunk_frames: int, roles: DataFrame) -> DataFrame:
-    """Samples by role: dialogue takes the gain, front and surround the duck, LFE and unknown
-    nothing; chunks past the curve's end take 0 dB."""
-    t = samples.withColumn("chunk_idx", F.call_function("div", F.col("frame_idx"), F.lit(chunk_frames).cast("long")))
-    t = t.join(curve, ["stream_id", "chunk_idx"], "left").join(F.broadcast(roles), "ch", "left")
-    gain, duck = (to_linear(F.coalesce(F.col(c), F.lit(0.0))) for c in ("gain_db", "duck_db"))
-    out = F.when(F.col("role") == "dialogue", F.col("sample") * gain).when(F.col("role").isin("front", "surround"), F.col("sample") / duck).otherwise(F.col("sample"))
-    return t.select("stream_id", "frame_idx", "ch", "role", out.alias("out"))
+def channel_plan(channels: Column, layout: Column) -> Column:
+    """(strategy, roles) by channel count and layout name, in the usual order (FL FR FC LFE BL BR ..): ``mono``,
+    ``mid/side``, ``centre``, or ``untouched`` where no centre is known, whose channels are all unknown."""
+    name = F.lower(F.coalesce(layout, F.lit("")))
+    has = lambda *words: _any([name.contains(w) for w in words])
+    centre = (
+        ((channels == 3) & ~has("2.1")) | ((channels == 4) & has("3.1", "lfe")) | (channels == 5) | ((channels == 6) & (has("5.1", "lfe") | (name == "")))
+        | ((channels == 7) & has("6.1")) | ((channels == 8) & (has("7.1") | (name == "")))
+    )
+    strategy = F.when(channels == 1, "mono").when(channels == 2, "mid/side").when(centre, "centre").otherwise("untouched")
+    role = lambda i: (
+        F.when(strategy == "untouched", "unknown").when((strategy == "mono") | ((strategy == "centre") & (i == 2)), "dialogue").when(i < 2, "front")
+        .when((i == 3) & (channels != 5), "lfe").otherwise("surround")
+    )
+    roles = F.when(channels > 0, F.transform(F.sequence(F.lit(0), F.greatest(channels, F.lit(1)) - 1), role)).otherwise(F.array().cast("array<string>"))
+    return F.struct(strategy.alias("strategy"), roles.alias("roles"))
 
 
-def channel_roles(channels: int, layout: str | None) -> list[str]:
-    """Roles by channel in the usual order (FL FR FC LFE BL BR ..)."""
-    name = (layout or "").lower()
-    if channels == 1:
-        return ["dialogue"]
-    if channels == 2:
-        return ["mid_side", "mid_side"]
-    if channels == 3:
-        return ["front", "front", "lfe" if "2.1" in name else "dialogue"]
-    if "quad" in name or channels == 4:
-        return ["front", "front", "surround", "surround"] if "quad" in name else ["front", "front", "dialogue", "surround"]
-    if channels == 5:
-        return ["front", "front", "dialogue", "surround", "surround"]
-    return ["front", "front", "dialogue", "lfe", *["surround"] * (min(channels, 8) - 4), *["unknown"] * (channels - 8)]
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
+def apply_gain(samples: DataFrame, curve: DataFrame, chunk_frames: int, plans: DataFrame, rate: float, low: float = 300.0, high: float = 6000.0) -> DataFrame:
+    """(stream_id, frame_idx, ch, role, out) by each stream's ``plan`` (plans: stream_id, plan).
+
+    Dialogue takes the gain. Front and surround channels lose (1 - duck) of their band where the duck is
+    under 0.999; the band's filter runs over those samples only. In mid/side the gain goes to the mid and
+    the side loses its band; a frame without its other channel is left alone. LFE, unknown and untouched
+    channels stay. Chunks past the curve's end take 0 dB."""
+    t = samples.withColumn("chunk_idx", F.call_function("div", F.col("frame_idx"), F.lit(chunk_frames).cast("long")))
+    t = t.join(curve, ["stream_id", "chunk_idx"], "left").join(F.broadcast(plans), "stream_id")
+    gain, duck = to_linear(F.coalesce(F.col("gain_db"), F.lit(0.0))), to_linear(-F.coalesce(F.col("duck_db"), F.lit(0.0)))
+    role = F.coalesce(F.get(F.col("plan.roles"), F.col("ch").cast("int")), F.lit("unknown"))
+    t = t.select("stream_id", "frame_idx", "ch", "sample", gain.alias("gain"), duck.alias("duck"), role.alias("role"), (F.col("plan.strategy") == "mid/side").alias("paired"))
+    of = lambda ch: F.max(F.when(F.col("ch") == ch, F.col("sample")))
+    pairs = t.filter("paired").groupBy("stream_id", "frame_idx").agg(of(0).alias("left"), of(1).alias("right"), F.first("gain").alias("gain"), F.first("duck").alias("duck"))
+    pairs = pairs.withColumns({"mid": (F.col("left") + F.col("right")) / 2 * F.col("gain"), "side": (F.col("left") - F.col("right")) / 2})
+    ducked = t.filter("NOT paired AND role IN ('front', 'surround') AND duck < 0.999").select("stream_id", F.col("ch").cast("int").alias("ch"), "frame_idx", "sample")
+    sides = pairs.filter("side IS NOT NULL AND duck < 0.999").select("stream_id", F.lit(-1).alias("ch"), "frame_idx", F.col("side").alias("sample"))
+    band = filtered(ducked.unionByName(sides), high_pass(rate, low), high_pass(rate, low), low_pass(rate, high), low_pass(rate, high))
+    band = band.select("stream_id", "frame_idx", F.col("ch").alias("band_ch"), F.col("filtered").alias("band"))
+    t = t.withColumn("band_ch", F.when(F.col("paired"), -1).otherwise(F.col("ch").cast("int"))).join(band, ["stream_id", "frame_idx", "band_ch"], "left")
+    t = t.join(pairs.select("stream_id", "frame_idx", "mid", "side"), ["stream_id", "frame_idx"], "left")
+    lost = F.coalesce(F.col("band") * (1 - F.col("duck")), F.lit(0.0))
+    side = F.col("side") - lost
+    out = (
+        F.when(F.col("paired"), F.coalesce(F.when(F.col("ch") == 0, F.col("mid") + side).when(F.col("ch") == 1, F.col("mid") - side), F.col("sample")))
+        .when(F.col("role") == "dialogue", F.col("sample") * F.col("gain")).otherwise(F.col("sample") - lost)
+    )
+    return t.select("stream_id", "frame_idx", "ch", "role", out.alias("out"))
 
 
 def mid_side(left: np.ndarray, right: np.ndarray, rate: float, gain: float, duck: float, low: float = 300.0, high: float = 6000.0) -> tuple[np.ndarray, np.ndarray]:
-    """Mid times the gain; the side loses (1 - duck) of its speech band where duck is under 0.999."""
+    """Mid times the gain; the side loses (1 - duck) of its speech band where duck is under 0.999. For arrays; ``apply_gain`` does so for rows."""
     mid, side = (left + right) / 2 * gain, (left - right) / 2
     if duck < 0.999:
         side = side - three_bands(side, rate, low, high)[1] * (1 - duck)
