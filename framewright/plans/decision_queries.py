@@ -95,39 +95,44 @@ def heaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENCODERS = [
-    (0, "hevc_nvenc", "hevc", "nvidia"), (1, "hevc_amf", "hevc", "amd"), (2, "av1_nvenc", "av1", "nvidia"), (3, "libx265", "hevc", "software"),
-    (4, "h264_nvenc", "h264", "nvidia"), (5, "libx264", "h264", "software"), (6, "libsvtav1", "av1", "software"),
+    (0, "av1_nvenc", "av1", True, ["p010le", "nv12"]), (1, "hevc_nvenc", "hevc", True, ["p010le", "nv12"]), (2, "h264_nvenc", "h264", True, ["nv12"]),
+    (3, "libx265", "hevc", False, ["yuv420p10le", "yuv420p"]), (4, "libsvtav1", "av1", False, ["yuv420p10le", "yuv420p"]), (5, "libx264", "h264", False, ["yuv420p10le", "yuv420p"]),
+    (6, "libvpx-vp9", "vp9", False, ["yuv420p"]),
 ]
+AUDIO = ("flac", "alac", "tta", "libopus", "aac", "libvorbis", "mp2")
 
 
 def encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoder chains by host with pixel format and audio encoder."""
-    table = spark.createDataFrame(ENCODERS, "idx int, name string, codec string, hardware string")
-    hosts = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("host"), F.when(F.col("n_nationkey") % 2 == 0, "nvidia").otherwise("amd").alias("v"), F.when(F.col("n_nationkey") % 3 == 0, "av1").otherwise("hevc").alias("c"))
-    rows = hosts.join(F.broadcast(table))
-    have = rows.filter((F.col("host") + F.col("idx")) % 3 > 0).select("host", "name")
-    t = D.encoder_chain(rows, have, F.col("v"), F.col("c"))
-    preferred = F.array(F.lit("p010le"), F.lit("yuv420p10le"), F.lit("yuv420p"))
-    supported = F.when(F.col("idx") % 3 == 0, F.array().cast("array<string>")).when(F.col("idx") % 3 == 1, F.array(F.lit("nv12"), F.lit("yuv420p"))).otherwise(F.array(F.lit("yuv420p"), F.lit("p010le")))
-    audio = D.audio_encoder(F.when(F.col("host") % 4 == 0, F.array(F.lit("aac"), F.lit("alac"))).otherwise(F.array(F.lit("mp2"))), F.col("host") % 8 == 0)
-    return t.select("host", "place", "name", D.first_supported(preferred, supported).alias("pix_fmt"), audio.alias("audio"))
-
-
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
-    l = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("got"), F.sort_array(F.collect_set("l_returnflag")).alias("flags"), F.sort_array(F.collect_set("l_linestatus")).alias("states"))  # noqa: E741
-    return o.join(l, "o_orderkey", "left").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("source"), (F.col("o_totalprice") / 1000 + F.col("o_orderkey") % 13 / 10 - 0.55).alias("output"), F.col("got"), "flags", F.col("states"), F.col("o_orderstatus").alias("status"))
+    table = F.broadcast(spark.createDataFrame(ENCODERS, "idx int, name string, codec string, hardware boolean, formats array<string>"))
+    host = F.col("n_nationkey").cast("long")
+    order = F.when(host % 3 == 0, F.array(F.lit("av1"), F.lit("hevc"), F.lit("h264"))).when(host % 3 == 1, F.array(F.lit("hevc"), F.lit("h264"))).otherwise(F.array(F.lit("h264"), F.lit("av1")))
+    preference = read_table(spark, sf_dir, "nation").select(host.alias("host"), (host % 2 == 0).alias("prefer_hardware"), (host % 5 > 0).alias("allow_software"), order.alias("codecs"), (host % 4 < 2).alias("prefer_10bit"))
+    slot = F.explode(F.sequence(F.lit(0), F.lit(len(ENCODERS) - 1))).alias("idx")
+    have = preference.select("host", slot).filter((F.col("host") + F.col("idx")) % 3 > 0)
+    kind = (F.col("host") + F.col("idx")) % 4
+    supported = F.when(kind == 0, F.array().cast("array<string>")).when(kind == 1, F.array(F.lit("nv12"), F.lit("yuv420p"))).when(kind == 2, F.array(F.lit("yuv420p10le"), F.lit("p010le"))).otherwise(F.array(F.lit("rgb24")))
+    t = D.encoder_chain(have.withColumn("supported", supported).join(table, "idx"), preference)
+    names = F.array(*[F.lit(x) for x in AUDIO])
+    audio = D.audio_encoder(F.filter(names, lambda x, i: (F.col("host") + i) % 4 == 0), F.col("host") % 2 == 0)
+    return t.select("host", "place", "name", "pix_fmt", audio.alias("audio"))
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planned against actual, one row per named check."""
-    t = _orders(spark, sf_dir)
-    checks = {
-        "output exists": (F.col("got").isNotNull(), F.coalesce(F.col("status"), F.lit("?"))),
-        "duration drift": (D.duration_ok(F.col("source"), F.col("output")), F.format_string("%.3f", F.round(F.abs(F.col("output") - F.col("source")), 3))),
-        "codecs kept": (D.codecs_kept(F.col("states"), F.col("flags")), F.array_join("flags", "+")),
-    }
-    return D.quality_checks(t, ["o_orderkey"], checks)
+    """Every check of a conversion that applies, planned against actual."""
+    k = F.col("o_orderkey")
+    some = lambda names, n: F.filter(F.array(*[F.lit(x) for x in names]), lambda x, i: (k + i) % n == 0)
+    source = (k % 5000) * 0.25 + 1
+    t = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k % 17 > 0, F.concat(F.lit("video "), F.col("o_orderstatus"))).alias("video"), source.alias("source_s"), (source + (k % 13) / 8 - 0.75).alias("output_s"),
+        (k % 3 * 2 + 640).cast("int").alias("planned_w"), F.lit(480).alias("planned_h"), F.when(k % 17 > 0, (k % 6 * 2 + 640).cast("int")).alias("w"), F.when(k % 17 > 0, 480).alias("h"),
+        (k % 4 > 0).alias("audio_enabled"), (k % 3 > 0).alias("keep_original"), some(["ac3", "dts", "aac"], 2).alias("source_codecs"), some(["flac", "ac3", "aac", "dts"], 3).alias("output_codecs"),
+        *[(k % n).cast("int").alias(f"{side}_{what}") for side, add in (("source", 0), ("output", 1)) for what, n in (("subtitles", 3 + add), ("chapters", 5 + add), ("attachments", 7 - add))],
+        (k % 2 == 0).alias("interpolated"), ((k % 7 + 24) * 2).cast("double").alias("planned_fps"), F.when(k % 17 > 0, (k % 7 + 24) * 2 + (k % 5 - 2) * 0.25).alias("fps"),
+        F.when(k % 11 > 0, k % 16 / 4 - 3.5).alias("true_peak"), F.when(k % 10 > 0, k % 12 / 2 - 22).alias("loudness"), F.lit(-1.5).alias("peak_target"), F.lit(-19.0).alias("loudness_target"),
+        F.when(k % 9 == 0, F.concat(F.lit("exit "), (k % 4).cast("string"))).alias("measure_error"),
+    )
+    return D.quality_checks(t, ["o_orderkey"], D.conversion_checks())
 
 
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,15 +209,30 @@ SELECT p_partkey, tile, least, 67 + (CASE tile WHEN 0 THEN 512 ELSE tile END)::B
 ORACLES["heaps"] = """WITH h AS (SELECT l_suppkey AS device, l_linenumber AS heap, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY q % 20 DESC, heap) AS k FROM h WHERE heap <> 2)
 SELECT device, heap, q % 20 * 1024 AS total_mib, CASE WHEN q % 3 > 0 THEN q END AS budget_mib FROM r WHERE k = 1"""
-ORACLES["encoders"] = f"""WITH e(idx, name, codec, hardware) AS (VALUES {", ".join(map(str, ENCODERS))}),
-h AS (SELECT n_nationkey::BIGINT AS host, CASE WHEN n_nationkey % 2 = 0 THEN 'nvidia' ELSE 'amd' END AS v, CASE WHEN n_nationkey % 3 = 0 THEN 'av1' ELSE 'hevc' END AS c FROM nation)
-SELECT host, row_number() OVER (PARTITION BY host ORDER BY CASE WHEN hardware = v THEN 0 WHEN hardware = 'software' THEN 1 ELSE 2 END, CASE WHEN codec = c THEN 0 ELSE 1 END, idx) - 1 AS place, name,
-  CASE idx % 3 WHEN 1 THEN 'yuv420p' ELSE 'p010le' END AS pix_fmt, CASE WHEN host % 8 = 0 THEN 'alac' WHEN host % 4 = 0 THEN 'aac' ELSE 'pcm_s16le' END AS audio FROM h, e WHERE (host + idx) % 3 > 0"""
-_QUALITY = """l AS (SELECT l_orderkey AS o_orderkey, list_sort(list(DISTINCT l_returnflag)) AS flags, list(DISTINCT l_linestatus) AS states FROM lineitem GROUP BY 1),
-o AS (SELECT orders.o_orderkey, o_totalprice / 1000 AS s, o_totalprice / 1000 + orders.o_orderkey % 13 / 10 - 0.55::DOUBLE AS t, o_orderstatus, flags, states FROM orders LEFT JOIN l USING (o_orderkey)),
-q AS (SELECT o_orderkey, 'output exists' AS name, flags IS NOT NULL AS passed, coalesce(o_orderstatus, '?') AS detail FROM o
-  UNION ALL SELECT o_orderkey, 'duration drift', abs(t - s) <= greatest(greatest(0.05::DOUBLE, s * 0.001::DOUBLE), 0.5::DOUBLE), printf('%.3f', round(abs(t - s), 3)) FROM o
-  UNION ALL SELECT o_orderkey, 'codecs kept', coalesce(list_has_all(flags, states), false), array_to_string(flags, '+') FROM o)"""
+ORACLES["encoders"] = f"""WITH e(idx, name, codec, hardware, formats) AS (VALUES {", ".join(map(str, ENCODERS))}),
+h AS (SELECT n_nationkey::BIGINT AS host, CASE n_nationkey % 3 WHEN 0 THEN ['av1', 'hevc', 'h264'] WHEN 1 THEN ['hevc', 'h264'] ELSE ['h264', 'av1'] END AS codecs FROM nation),
+x AS (SELECT *, CASE (host + idx) % 4 WHEN 0 THEN NULL WHEN 1 THEN ['nv12', 'yuv420p'] WHEN 2 THEN ['yuv420p10le', 'p010le'] ELSE ['rgb24'] END AS supported FROM h, e WHERE (host + idx) % 3 > 0 AND (host % 5 > 0 OR hardware)),
+f AS (SELECT host, idx, name, codec, hardware, codecs, u.f AS f, u.i + CASE WHEN host % 4 >= 2 AND u.f LIKE '%10%' THEN 100 ELSE 0 END AS rank FROM x, LATERAL (SELECT unnest(formats) AS f, unnest(range(len(formats))) AS i) u WHERE supported IS NULL OR list_contains(supported, u.f)),
+p AS (SELECT host, idx, name, codec, hardware, codecs, min_by(f, rank) AS pix_fmt FROM f GROUP BY ALL)
+SELECT host, row_number() OVER (PARTITION BY host ORDER BY CASE WHEN hardware = (host % 2 = 0) THEN 0 ELSE 1 END, coalesce(list_position(codecs, codec), 100), idx) - 1 AS place, name, pix_fmt,
+  coalesce((SELECT min_by(n, CASE WHEN host % 2 = 0 THEN i ELSE (i + 3) % 6 END) FROM (VALUES (0, 'flac'), (1, 'alac'), (2, 'tta'), (3, 'libopus'), (4, 'aac'), (5, 'libvorbis')) a(i, n) WHERE (host + i) % 4 = 0), 'pcm_s16le') AS audio FROM p"""
+_QUALITY = """b AS (SELECT o_orderkey, o_orderkey AS k, o_orderstatus, o_orderkey % 17 > 0 AS video, (o_orderkey % 5000) * 0.25::DOUBLE + 1 AS s, (o_orderkey % 13) / 8 - 0.75::DOUBLE AS d,
+  list_filter(['ac3', 'dts', 'aac'], lambda x, i: (o_orderkey + i - 1) % 2 = 0) AS sc, list_filter(['flac', 'ac3', 'aac', 'dts'], lambda x, i: (o_orderkey + i - 1) % 3 = 0) AS oc,
+  CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 16 / 4 - 3.5 END::DOUBLE AS peak, CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey % 12 / 2 - 22 END::DOUBLE AS loud FROM orders),
+t AS (SELECT *, CASE WHEN k % 4 > 0 AND len(sc) > 0 THEN CASE WHEN k % 3 > 0 THEN len(sc) + 1 ELSE 1 END ELSE len(sc) END AS expected, k % 4 > 0 AND len(oc) > 0 AS measured,
+  (k % 7 + 24) * 2 AS pf, CASE WHEN video THEN (k % 7 + 24) * 2 + (k % 5 - 2) * 0.25::DOUBLE ELSE 0 END AS af FROM b),
+q AS (SELECT o_orderkey, 'output exists and probes' AS name, video AS passed, CASE WHEN video THEN 'video ' || o_orderstatus ELSE 'no video stream' END AS detail FROM t
+  UNION ALL SELECT o_orderkey, 'duration drift', abs(d) <= greatest(0.5, s * 0.001::DOUBLE), printf('source %.3fs, output %.3fs, drift %.3fs', s, s + d, abs(d)) FROM t
+  UNION ALL SELECT o_orderkey, 'resolution matches the plan', coalesce(video AND k % 6 = k % 3, false), 'planned ' || (k % 3 * 2 + 640) || 'x480, got ' || CASE WHEN video THEN (k % 6 * 2 + 640) || 'x480' ELSE '?' END FROM t
+  UNION ALL SELECT o_orderkey, 'audio tracks preserved', len(oc) >= expected, 'expected at least ' || expected || ', found ' || len(oc) FROM t
+  UNION ALL SELECT o_orderkey, 'original audio present', list_has_all(oc, sc), 'source codecs ' || array_to_string(sc, ', ') FROM t WHERE k % 3 > 0
+  UNION ALL SELECT o_orderkey, 'subtitles preserved', k % 4 >= k % 3, 'source ' || k % 3 || ', output ' || k % 4 FROM t
+  UNION ALL SELECT o_orderkey, 'chapters preserved', k % 6 >= k % 5, 'source ' || k % 5 || ', output ' || k % 6 FROM t
+  UNION ALL SELECT o_orderkey, 'attachments preserved', k % 6 >= k % 7, 'source ' || k % 7 || ', output ' || k % 6 FROM t
+  UNION ALL SELECT o_orderkey, 'frame rate matches the plan', abs(af - pf) <= greatest(pf * 0.01::DOUBLE, 0.05), printf('planned %.3f fps, got %.3f fps', pf::DOUBLE, af) FROM t WHERE k % 2 = 0
+  UNION ALL SELECT o_orderkey, 'true peak within target', coalesce(peak <= -1.5::DOUBLE + 0.2, true), CASE WHEN peak IS NULL THEN 'not measured' ELSE printf('%.2f dBTP', peak) END FROM t WHERE measured AND k % 9 <> 0
+  UNION ALL SELECT o_orderkey, 'integrated loudness within 1 LU of target', coalesce(abs(loud + 19) <= 1, true), CASE WHEN loud IS NULL THEN 'not measured' ELSE printf('%.1f LUFS', loud) END FROM t WHERE measured AND k % 9 <> 0
+  UNION ALL SELECT o_orderkey, 'loudness verification', true, 'not measured: exit ' || k % 4 FROM t WHERE measured AND k % 9 = 0)"""
 ORACLES["quality_checks"] = f"WITH {_QUALITY} SELECT * FROM q"
 ORACLES["quality_summary"] = f"WITH {_QUALITY} SELECT o_orderkey, count(*) AS checks, count(*) FILTER (WHERE NOT passed) AS failed, bool_and(passed) AS all_passed FROM q GROUP BY 1"
 ORACLES["job_progress"] = """WITH t AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_id * 1000 / 1e6 END::DOUBLE AS s, event_id % 500 AS f, user_id % 9 * 1.0::DOUBLE AS total, event_id % 4 / 2 AS speed FROM events)

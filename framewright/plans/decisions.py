@@ -212,23 +212,36 @@ def largest_heap(heaps: DataFrame, keys: list[str]) -> DataFrame:
     return t.select(*keys, (-F.col("b.neg")).alias("heap"), mib("b.size").alias("total_mib"), F.when(F.col("b.budget") > 0, mib("b.budget")).alias("budget_mib"))
 
 
-def encoder_chain(encoders: DataFrame, available: DataFrame, vendor: Column, codec: Column) -> DataFrame:
-    """Available encoders in order: matching hardware, preferred codec, table order."""
-    t = encoders.join(available, ["host", "name"], "left_semi") if "host" in encoders.columns else encoders.join(available, "name", "left_semi")
-    w = Window.partitionBy("host").orderBy(F.when(F.col("hardware") == vendor, 0).when(F.col("hardware") == "software", 1).otherwise(2), F.when(F.col("codec") == codec, 0).otherwise(1), "idx")
+def encoder_chain(encoders: DataFrame, preference: DataFrame) -> DataFrame:
+    """The encoders of each host that can be used, in order, with their pixel format.
+
+    encoders: host, idx, name, codec, hardware, formats, supported (its build's formats, empty: unknown);
+    preference: host, prefer_hardware, allow_software, codecs, prefer_10bit. An encoder without a usable
+    format leaves the chain; the rest go by hardware as preferred, place of the codec, table order."""
+    t = encoders.join(preference, "host").filter(F.col("allow_software") | F.col("hardware"))
+    t = t.withColumn("pix_fmt", first_supported(F.col("formats"), F.col("supported"), F.col("prefer_10bit"))).filter("pix_fmt IS NOT NULL")
+    place = F.array_position("codecs", F.col("codec"))
+    w = Window.partitionBy("host").orderBy((F.col("hardware") != F.col("prefer_hardware")).cast("int"), F.when(place > 0, place - 1).otherwise(99), "idx")
     return t.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
 
 
-def first_supported(preferred: Column, supported: Column) -> Column:
-    """The first preferred entry that is supported; no list of supported ones means the table is trusted."""
-    kept = F.when(F.size(supported) == 0, preferred).otherwise(F.filter(preferred, lambda x: F.array_contains(supported, x)))
+def first_supported(preferred: Column, supported: Column, prefer_10bit: Column) -> Column:
+    """The first preferred entry that is supported, 10-bit ones last where they aren't preferred; no list of supported ones means the table is trusted."""
+    ten = lambda x: x.contains("10")
+    order = F.when(prefer_10bit, preferred).otherwise(F.concat(F.filter(preferred, lambda x: ~ten(x)), F.filter(preferred, ten)))
+    kept = F.when(F.size(supported) == 0, order).otherwise(F.filter(order, lambda x: F.array_contains(supported, x)))
     return F.when(F.size(kept) > 0, F.element_at(kept, 1))
 
 
+#: Audio encoders by preference.
+LOSSLESS, LOSSY = ("flac", "alac", "tta"), ("libopus", "aac", "libvorbis")
+
+
 def audio_encoder(available: Column, lossless: Column) -> Column:
-    """The first available of the preference list, pcm_s16le if none is."""
-    order = F.when(lossless, F.array(F.lit("flac"), F.lit("alac"), F.lit("pcm_s24le"))).otherwise(F.array(F.lit("libopus"), F.lit("aac"), F.lit("ac3")))
-    return F.coalesce(F.element_at(F.concat(F.filter(order, lambda x: F.array_contains(available, x)), F.array(F.lit("pcm_s16le"))), 1), F.lit("pcm_s16le"))
+    """The first available of the wanted kind, else of the other; pcm_s16le if none is."""
+    both = lambda *lists: F.array(*[F.lit(x) for names in lists for x in names])
+    order = F.when(lossless, both(LOSSLESS, LOSSY)).otherwise(both(LOSSY, LOSSLESS))
+    return F.element_at(F.concat(F.filter(order, lambda x: F.array_contains(available, x)), F.array(F.lit("pcm_s16le"))), 1)
 
 
 def duration_ok(source: Column, output: Column) -> Column:
@@ -236,10 +249,41 @@ def duration_ok(source: Column, output: Column) -> Column:
     return F.abs(output - source) <= F.greatest(F.greatest(F.lit(0.05), source * 0.001), F.lit(0.5))
 
 
-def quality_checks(rows: DataFrame, keys: list[str], checks: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """(keys, name, passed, detail): one row per named check."""
-    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(p, F.lit(False)).alias("passed"), d.cast("string").alias("detail")) for n, (p, d) in checks.items()]))
-    return rows.select(*keys, stacked.alias("c")).select(*keys, "c.*")
+def quality_checks(rows: DataFrame, keys: list[str], checks: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """(keys, name, passed, detail): one row per named check (applies, passed, detail) that applies."""
+    made = [F.when(a, F.struct(F.lit(n).alias("name"), F.coalesce(p, F.lit(False)).alias("passed"), d.cast("string").alias("detail"))) for n, (a, p, d) in checks.items()]
+    return rows.select(*keys, F.explode(F.array_compact(F.array(*made))).alias("c")).select(*keys, "c.*")
+
+
+def conversion_checks() -> dict[str, tuple[Column, Column, Column]]:
+    """The checks of an output against its plan and source.
+
+    Columns: video, source_s, output_s, planned_w, planned_h, w, h (null without video), audio_enabled,
+    keep_original, source_codecs, output_codecs, and for subtitles, chapters and attachments their number in source_
+    and output_; interpolated, planned_fps, fps; true_peak, loudness (null: not measured), peak_target,
+    loudness_target, measure_error (null: measured)."""
+    c, always = F.col, F.lit(True)
+    tracks, out_tracks = F.size("source_codecs"), F.size("output_codecs")
+    expected = F.when(c("audio_enabled") & (tracks > 0), F.when(c("keep_original"), tracks + 1).otherwise(1)).otherwise(tracks)
+    measured = c("audio_enabled") & (out_tracks > 0)
+    kept = lambda what: (always, c(f"output_{what}") >= c(f"source_{what}"), F.format_string("source %d, output %d", c(f"source_{what}"), c(f"output_{what}")))
+    size = F.when(c("w").isNotNull() & c("h").isNotNull(), F.format_string("%dx%d", "w", "h")).otherwise("?")
+    found = lambda value, unit: F.when(c(value).isNull(), "not measured").otherwise(F.format_string(unit, c(value)))
+    fps = F.coalesce("fps", F.lit(0.0))
+    return {
+        "output exists and probes": (always, c("video").isNotNull(), F.coalesce("video", F.lit("no video stream"))),
+        "duration drift": (always, duration_ok(c("source_s"), c("output_s")), F.format_string("source %.3fs, output %.3fs, drift %.3fs", "source_s", "output_s", F.abs(c("output_s") - c("source_s")))),
+        "resolution matches the plan": (always, (c("w") == c("planned_w")) & (c("h") == c("planned_h")), F.concat(F.format_string("planned %dx%d, got ", "planned_w", "planned_h"), size)),
+        "audio tracks preserved": (always, out_tracks >= expected, F.format_string("expected at least %d, found %d", expected, out_tracks)),
+        "original audio present": (c("keep_original"), codecs_kept(c("source_codecs"), c("output_codecs")), F.concat(F.lit("source codecs "), F.array_join("source_codecs", ", "))),
+        "subtitles preserved": kept("subtitles"),
+        "chapters preserved": kept("chapters"),
+        "attachments preserved": kept("attachments"),
+        "frame rate matches the plan": (c("interpolated"), F.abs(fps - c("planned_fps")) <= F.greatest(c("planned_fps") * 0.01, F.lit(0.05)), F.format_string("planned %.3f fps, got %.3f fps", c("planned_fps"), fps)),
+        "true peak within target": (measured & c("measure_error").isNull(), F.coalesce(c("true_peak") <= c("peak_target") + 0.2, always), found("true_peak", "%.2f dBTP")),
+        "integrated loudness within 1 LU of target": (measured & c("measure_error").isNull(), F.coalesce(F.abs(c("loudness") - c("loudness_target")) <= 1.0, always), found("loudness", "%.1f LUFS")),
+        "loudness verification": (measured & c("measure_error").isNotNull(), always, F.concat(F.lit("not measured: "), c("measure_error"))),
+    }
 
 
 def check_summary(checks: DataFrame, keys: list[str]) -> DataFrame:

@@ -55,8 +55,12 @@ def resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written against planned frames by chunk."""
-    planned = chunks(spark, sf_dir).select("stream_id", "chunk", "outputs")
-    return G.verified(planned, planned.select("stream_id", "chunk", F.col("outputs").alias("written")))
+    t = chunks(spark, sf_dir)
+    planned = t.select("stream_id", "chunk", "outputs")
+    held = t.select("stream_id", "chunk", F.explode(F.sequence("first_segment", "last_segment")).alias("seq"))
+    slot = F.explode(F.sequence(F.col("first") * 2 + F.col("drop_first").cast("long"), F.col("last") * 2))
+    written = _plan(spark, sf_dir)[1].select("stream_id", "seq", slot.alias("slot")).join(held, ["stream_id", "seq"])
+    return G.verified(planned, written.groupBy("stream_id", "chunk").agg(F.countDistinct("slot").alias("written")))
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +72,10 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A short and gappy source padded by its last frame, extras counted, arrivals in order."""
     e = Q._marks(spark, sf_dir)[1]
-    planned = e.select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("total"), F.lit(500)) - 1)).alias("frame_idx"))
-    got = planned.filter("frame_idx % 11 < 7 AND frame_idx < 480").select("stream_id", "frame_idx", (F.col("frame_idx") * 2).alias("value"))
-    got = got.unionByName(e.select("stream_id", (F.col("stream_id") + 600).alias("frame_idx"), F.lit(1).cast("long").alias("value")))
+    planned = e.select("stream_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("frame_idx"))
+    got = planned.filter("frame_idx % 11 < 7 AND (frame_idx = 0 OR frame_idx < total - 20)").select("stream_id", "frame_idx", (F.col("frame_idx") * 2).alias("value"))
+    got = got.unionByName(e.select("stream_id", (F.col("total") + F.col("stream_id")).alias("frame_idx"), F.lit(1).cast("long").alias("value")))
+    planned = planned.drop("total")
     filled, extra = G.delivered(planned, got)
     return filled.join(extra, "stream_id")
 
@@ -78,7 +83,9 @@ def padding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def concat_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concatenation lists of each stream's chunks (K6)."""
     planned = chunks(spark, sf_dir)
-    return G.concat_list(G.require_chunks(planned, planned).withColumn("path", F.concat(F.lit("C:\\it's\\"), "path")))
+    files = planned.select("stream_id", "chunk", F.concat(F.lit("C:\\it's\\"), "path").alias("path"))
+    files = files.unionByName(files.select("stream_id", (F.col("chunk") + 100_000).alias("chunk"), F.lit("left over").alias("path")))
+    return G.concat_list(G.require_chunks(planned, files))
 
 
 def _segments_sql(m: int = 2, window: int = 2) -> str:
@@ -113,10 +120,12 @@ ORACLES = {
     "slots": f"""WITH {_segments_sql()}, sl AS (SELECT stream_id, kind, unnest(range("first" * 2 + drop_first::INT, "last" * 2 + 1)) AS slot FROM sx)
 SELECT stream_id, CASE WHEN slot % 2 = 0 THEN 'source' WHEN kind = 'synthesise' THEN 'model' ELSE 'repeat' END AS kind, slot % 2 / 2 AS step, count(*) AS n, min(slot) AS first_slot, max(slot // 2) AS last_source FROM sl GROUP BY ALL""",
     "resume": f"{_CHUNKS} SELECT stream_id, chunk, path, outputs FROM cx WHERE chunk % 3 <> 0 OR chunk = 3",
-    "verified_chunks": f"{_CHUNKS} SELECT stream_id, chunk, outputs, outputs AS written, true AS ok FROM cx",
+    "verified_chunks": f"""{_CHUNKS}, w AS (SELECT cx.stream_id, chunk, sum("last" * 2 + 1 - "first" * 2 - drop_first::INT)::BIGINT AS written FROM cx JOIN sx ON sx.stream_id = cx.stream_id AND seq BETWEEN first_segment AND last_segment GROUP BY ALL)
+SELECT stream_id, chunk, outputs, written, outputs = written AS ok FROM cx JOIN w USING (stream_id, chunk)""",
     "segment_progress": f"""WITH {_segments_sql()} SELECT stream_id, seq, least(("last" + 1) / n, 1) AS fraction, sum(outputs - drop_first::INT) OVER (PARTITION BY stream_id ORDER BY seq)::BIGINT AS done FROM sx JOIN ls USING (stream_id)""",
-    "padding": """WITH p AS (SELECT stream_id, unnest(range(least(total, 500))) AS frame_idx FROM (SELECT user_id % 7 AS stream_id, max(event_id // 3) + 1 AS total FROM events GROUP BY 1))
-SELECT stream_id, frame_idx, CASE WHEN frame_idx >= 480 THEN 958 WHEN frame_idx % 11 < 7 THEN frame_idx * 2 ELSE (frame_idx // 11 * 11 + 6) * 2 END AS value, NOT (frame_idx % 11 < 7 AND frame_idx < 480) AS padded, 1::BIGINT AS extra FROM p""",
+    "padding": """WITH t AS (SELECT user_id % 7 AS stream_id, max(event_id // 3) + 1 AS total FROM events GROUP BY 1),
+p AS (SELECT stream_id, total, unnest(range(total)) AS frame_idx FROM t), g AS (SELECT *, frame_idx % 11 < 7 AND (frame_idx = 0 OR frame_idx < total - 20) AS here FROM p)
+SELECT stream_id, frame_idx, max(CASE WHEN here THEN frame_idx * 2 END) OVER (PARTITION BY stream_id ORDER BY frame_idx) AS value, NOT here AS padded, 1::BIGINT AS extra FROM g""",
     "concat_lists": _CHUNKS + r""" SELECT stream_id, string_agg('file ''C:/it''\''''s/' || path || '''', chr(10) ORDER BY chunk) AS listing FROM cx GROUP BY stream_id""",
 }
 QUERIES = {
