@@ -70,12 +70,18 @@ def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grain per shot of ten frames and its strength."""
+    """Grain per shot of ten frames and its strength."""
     g = V.grain_sigma(rasters(spark, sf_dir)).withColumn("shot", F.call_function("div", F.col("frame_idx"), F.lit(10).cast("long")))
     g = V.shot_grain(g, ["stream_id", "shot"])
     return g.withColumns({"strength": V.strength(F.col("sigma"), F.col("confidence")), "forced": V.strength(F.col("sigma"), F.lit(1.0))})
 
 
+def grain_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three successive rasters as the planes of a frame."""
+    g = V.grain_sigma(rasters(spark, sf_dir)).withColumn("frame_idx", F.call_function("div", F.col("frame_idx"), F.lit(3).cast("long")))
+    return V.plane_grain(g)
+
+
 def sample_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames to measure per shot."""
     return V.sample_frames(shots(spark, sf_dir))
@@ -129,6 +135,7 @@ m AS (SELECT stream_id, frame_idx, median(v) AS m FROM l GROUP BY ALL),
 g AS (SELECT stream_id, frame_idx, median(abs(v - m)) * 1.4826::DOUBLE / sqrt(20) AS sigma, count(*) AS samples, least(count(*) / 4096, 1) AS confidence FROM l JOIN m USING (stream_id, frame_idx) GROUP BY ALL),
 s AS (SELECT stream_id, frame_idx // 10 AS shot, median(sigma) AS sigma, sum(samples)::BIGINT AS samples, min(confidence) AS confidence FROM g GROUP BY ALL)
 SELECT *, CASE WHEN sigma > 0.0008 AND confidence > 0.2 THEN least(greatest(sigma * 255 * 2.6::DOUBLE, 1), 30) ELSE 0 END AS strength, CASE WHEN sigma > 0.0008 THEN least(greatest(sigma * 255 * 2.6::DOUBLE, 1), 30) ELSE 0 END AS forced FROM s"""
+ORACLES["grain_planes"] = ORACLES["grain"][: ORACLES["grain"].index(",\ns AS")] + """ SELECT stream_id, frame_idx // 3 AS frame_idx, avg(sigma) AS sigma, sum(samples)::BIGINT AS samples, min(confidence) AS confidence FROM g GROUP BY ALL"""
 ORACLES["sample_plan"] = f"""WITH {_SHOTS}, k AS (SELECT *, end_frame - start_frame AS n, greatest(least(3, end_frame - start_frame), 1) AS k FROM sh)
 SELECT DISTINCT stream_id, shot, least(start_frame + 1 + floor((s + 0.5) / k * greatest(n - 2, 0))::BIGINT, end_frame - 1) AS frame_idx FROM (SELECT *, unnest(range(k)) AS s FROM k)"""
 _SINC = "CASE WHEN {x} = 0 THEN 1 ELSE sin(pi() * {x}) / (pi() * {x}) END"
@@ -152,5 +159,5 @@ SELECT c.stream_id, c.frame_idx, c.x, c.y, sum(k * q.value) AS value FROM c JOIN
 
 QUERIES = {
     "shots": shots, "shot_statistics": shot_statistics, "shot_lookup": shot_lookup, "frame_diffs": frame_diffs, "frame_cuts": cuts, "frame_times": frame_times,
-    "grain": grain, "sample_plan": sample_plan, "resampled": resampled, "warped": warped,
+    "grain": grain, "grain_planes": grain_planes, "sample_plan": sample_plan, "resampled": resampled, "warped": warped,
 }

@@ -7,10 +7,12 @@ array expressions; the cut detector is an ordered fold per stream.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,62 +188,30 @@ class CutDetector:
 
 
 def detect_cuts(frames: DataFrame, options: SceneOptions = SceneOptions()) -> DataFrame:
-    """(stream_id, cut_idx, score, dissolve): confirmed cuts per stream."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        detector = CutDetector(options)
-        pdf = pdf.sort_values("frame_idx")
-        for row in pdf.itertuples():
-            detector.push(_View.of(np.asarray(row.data, np.int32), row.w, row.h, options.edge_threshold))
-        cuts = detector.cuts
-        return pd.DataFrame({"stream_id": [pdf["stream_id"].iloc[0]] * len(cuts), "cut_idx": [c[0] for c in cuts], "score": [c[1] for c in cuts], "dissolve": [c[2] for c in cuts]})
-
-    return frames.select("stream_id", "frame_idx", "w", "h", "data").groupBy("stream_id").applyInPandas(run, "stream_id long, cut_idx long, score double, dissolve boolean")
-
-
-def build_shots(cuts: DataFrame, totals: DataFrame) -> DataFrame:
-    """Contiguous shots from cuts (stream_id, cut_idx, score, dissolve) and totals (stream_id, total).
-
-    Cuts at 0 or repeated are skipped; the last shot ends at the total, one frame at least.
-    """
-    real = cuts.filter("cut_idx > 0").groupBy("stream_id", "cut_idx").agg(F.min(F.struct("score", "dissolve")).alias("c"))
-    marks = real.select("stream_id", F.col("cut_idx").alias("start_frame"), F.when(F.col("c.dissolve"), "dissolve").otherwise("cut").alias("kind"), F.col("c.score").alias("cut_score"))
-    marks = marks.unionByName(totals.select("stream_id", F.lit(0).cast("long").alias("start_frame"), F.lit("start").alias("kind"), F.lit(None).cast("double").alias("cut_score")))
-    w = Window.partitionBy("stream_id").orderBy("start_frame")
-    ends = F.coalesce(F.lead("start_frame").over(w), F.greatest(F.col("total"), F.col("start_frame") + 1))
-    return marks.join(totals, "stream_id").select("stream_id", (F.row_number().over(w) - 1).cast("long").alias("shot"), "start_frame", ends.alias("end_frame"), "kind", "cut_score")
-
-
-def shot_of(frames: DataFrame, shots: DataFrame) -> DataFrame:
-    """As-of lookup: each (stream_id, frame_idx) with the last shot that starts at or before it. A union and
-    a running last, so nothing is compared with every shot."""
-    both = frames.select("stream_id", "frame_idx", F.lit(1).alias("is_frame"), F.lit(None).cast("long").alias("s")).unionByName(
-        shots.select("stream_id", F.col("start_frame").alias("frame_idx"), F.lit(0).alias("is_frame"), F.col("shot").alias("s"))
-    )
-    w = Window.partitionBy("stream_id").orderBy("frame_idx", "is_frame").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("shot", F.coalesce(F.last("s", ignorenulls=True).over(w), F.lit(0).cast("long"))).filter("is_frame = 1").select("stream_id", "frame_idx", "shot")
-
-
-def shot_statistics(shots: DataFrame, fps: float) -> DataFrame:
-    """Cuts and the upper median of shot seconds per stream."""
-    seconds = (F.col("end_frame") - F.col("start_frame")) / fps
-    t = shots.groupBy("stream_id").agg((F.count("*") - 1).alias("cuts"), F.sort_array(F.collect_list(seconds)).alias("s"))
-    return t.select("stream_id", "cuts", F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("median_seconds"))
-
-
-def frame_times(frames: DataFrame, pts: DataFrame, fps: float) -> DataFrame:
-    """A frame's real time where a stream has times for all its frames, else index / fps."""
-    n = frames.groupBy("stream_id").agg(F.count("*").alias("n"))
-    have = pts.groupBy("stream_id").agg(F.count("*").alias("m"))
-    full = n.join(have, "stream_id", "left").select("stream_id", (F.coalesce("m", F.lit(0)) >= F.col("n")).alias("full"))
-    t = frames.select("stream_id", "frame_idx").join(full, "stream_id").join(pts, ["stream_id", "frame_idx"], "left")
-    return t.select("stream_id", "frame_idx", F.when(F.col("full") & F.col("pts_time").isNotNull(), F.col("pts_time")).otherwise(F.col("frame_idx") / fps).alias("seconds"))
-
-
-def analysis_size(w: Column, h: Column, width: int = 160) -> tuple[Column, Column]:
-    """Analysis raster: fixed width, height by aspect, at least 2 and even."""
-    raw = F.greatest(F.round(F.lit(width) * h / F.greatest(w, F.lit(1))), F.lit(2.0)).cast("long")
-    return F.lit(width).cast("long"), raw + raw % 2
+    """(stream_id, cut_idx, score, dissolve): confirmed cuts per stream, by the place of their frame in it.
+
+    Frames stream through in order; a task holds one batch and the few rasters that comparisons go back to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, detector = None, CutDetector(options)
+        for batch in batches:
+            found: list[tuple] = []
+            streams, widths, heights = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            data, offsets = batch.column(4).flatten().to_numpy(zero_copy_only=False), batch.column(4).offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            for k, (own, w, h) in enumerate(zip(streams, widths, heights)):
+                if own != stream:
+                    stream, detector = own, CutDetector(options)
+                detector.push(_View.of(data[offsets[k] : offsets[k + 1]], w, h, options.edge_threshold))
+                found += [(own, *cut) for cut in detector.cuts]
+                detector.cuts.clear()
+            if found:
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=["stream_id", "cut_idx", "score", "dissolve"])
+
+    rows = frames.select(F.col("stream_id").cast("long"), "frame_idx", F.col("w").cast("int"), F.col("h").cast("int"), F.col("data").cast("array<int>"))
+    rows = rows.repartition("stream_id").sortWithinPartitions("stream_id", "frame_idx")
+    return rows.mapInArrow(run, "stream_id long, cut_idx long, score double, dissolve boolean")
 
 
 def laplacian(data: Column, w: Column, h: Column) -> Column:
@@ -267,6 +237,15 @@ def grain_sigma(frames: DataFrame) -> DataFrame:
     return t.select("stream_id", "frame_idx", F.when(enough, F.col("mad") * 1.4826 / F.sqrt(F.lit(20.0))).otherwise(0.0).alias("sigma"), "samples", F.when(enough, F.least(F.col("samples") / 4096, F.lit(1.0))).otherwise(0.0).alias("confidence"))
 
 
+def plane_grain(planes: DataFrame) -> DataFrame:
+    """Planes (stream_id, frame_idx, sigma, samples, confidence) as frames: the mean sigma, all samples, the least
+    confidence; zeros where no plane has samples."""
+    some = F.sum("samples") > 0
+    return planes.groupBy("stream_id", "frame_idx").agg(
+        F.when(some, F.avg("sigma")).otherwise(0.0).alias("sigma"), F.sum("samples").alias("samples"), F.when(some, F.least(F.min("confidence"), F.lit(1.0))).otherwise(0.0).alias("confidence")
+    )
+
+
 def shot_grain(grain: DataFrame, keys: list[str]) -> DataFrame:
     """Median sigma, all samples, least confidence per shot."""
     return grain.groupBy(*keys).agg(F.median("sigma").alias("sigma"), F.sum("samples").alias("samples"), F.least(F.min("confidence"), F.lit(1.0)).alias("confidence"))

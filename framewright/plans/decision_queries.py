@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.plans import decisions as D
 from framewright.session import read_table
+from framewright.sources.parsers import retryable
 
 
 def _div(a, n):
@@ -94,6 +95,17 @@ def heaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.largest_heap(h, ["device"])
 
 
+KINDS = ("ffmpeg", "plugin", "device_memory", "stage", "cancelled", "unsupported", "tool_missing", "probe", "no_encoder", "state")
+
+
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refused model tasks and decodes, and which failures are worth a retry."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("p_partkey") % len(KINDS) + 1).cast("int"))
+    return read_table(spark, sf_dir, "part").select(
+        "p_partkey", D.refusal(F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0, "restoration").alias("restoration"), D.decode_refusal(F.col("p_size") * 100).alias("decode"), kind.alias("kind"), retryable(kind).alias("retry")
+    )
+
+
 ENCODERS = [
     (0, "av1_nvenc", "av1", True, ["p010le", "nv12"]), (1, "hevc_nvenc", "hevc", True, ["p010le", "nv12"]), (2, "h264_nvenc", "h264", True, ["nv12"]),
     (3, "libx265", "hevc", False, ["yuv420p10le", "yuv420p"]), (4, "libsvtav1", "av1", False, ["yuv420p10le", "yuv420p"]), (5, "libx264", "h264", False, ["yuv420p10le", "yuv420p"]),
@@ -209,6 +221,8 @@ SELECT p_partkey, tile, least, 67 + (CASE tile WHEN 0 THEN 512 ELSE tile END)::B
 ORACLES["heaps"] = """WITH h AS (SELECT l_suppkey AS device, l_linenumber AS heap, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY q % 20 DESC, heap) AS k FROM h WHERE heap <> 2)
 SELECT device, heap, q % 20 * 1024 AS total_mib, CASE WHEN q % 3 > 0 THEN q END AS budget_mib FROM r WHERE k = 1"""
+ORACLES["refusals"] = f"""SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'restoration was asked for and no runtime can run it' END AS restoration,
+  CASE WHEN p_size > 36 THEN 'in-memory decode refused for streams longer than an hour' END AS decode, {list(KINDS)}[p_partkey % {len(KINDS)} + 1] AS kind, p_partkey % {len(KINDS)} < 4 AS retry FROM part"""
 ORACLES["encoders"] = f"""WITH e(idx, name, codec, hardware, formats) AS (VALUES {", ".join(map(str, ENCODERS))}),
 h AS (SELECT n_nationkey::BIGINT AS host, CASE n_nationkey % 3 WHEN 0 THEN ['av1', 'hevc', 'h264'] WHEN 1 THEN ['hevc', 'h264'] ELSE ['h264', 'av1'] END AS codecs FROM nation),
 x AS (SELECT *, CASE (host + idx) % 4 WHEN 0 THEN NULL WHEN 1 THEN ['nv12', 'yuv420p'] WHEN 2 THEN ['yuv420p10le', 'p010le'] ELSE ['rgb24'] END AS supported FROM h, e WHERE (host + idx) % 3 > 0 AND (host % 5 > 0 OR hardware)),
@@ -246,6 +260,6 @@ SELECT file, mode, CASE WHEN file = 0 THEN 1920 ELSE w + w % 2 END AS target_w,
   concat_ws('; ', CASE WHEN file % 7 = 0 THEN 'no audio' END, CASE WHEN confidence < 0.5 THEN 'cadence unsure' END, CASE WHEN file <> 0 AND h + h % 2 > 2160 THEN 'large canvas' END) AS warnings FROM u"""
 
 QUERIES = {
-    "conversion_plans": conversion_plans, "cadence": cadence, "cadence_points": sample_points, "geometry": geometry, "devices": devices, "budgets": budgets, "ladder": ladder, "heaps": heaps, "encoders": encoders,
+    "conversion_plans": conversion_plans, "cadence": cadence, "cadence_points": sample_points, "geometry": geometry, "devices": devices, "budgets": budgets, "ladder": ladder, "heaps": heaps, "encoders": encoders, "refusals": refusals,
     "quality_checks": quality, "quality_summary": quality_summary, "job_progress": job_progress,
 }

@@ -127,9 +127,20 @@ def interpolation(multiplier: Column, has_runtime: Column, fps_num: Column, fps_
     return mode, F.call_function("div", num.cast("long"), g.cast("long")), F.call_function("div", fps_den.cast("long"), g.cast("long"))
 
 
+def refusal(missing: Column, wanted: Column, task: str) -> Column:
+    """Why a wanted model task can't run, by name; NULL where it can or isn't wanted."""
+    return F.when(wanted & missing, F.lit(f"{task} was asked for and no runtime can run it"))
+
+
 def refuse(missing: Column, wanted: Column, task: str) -> Column:
     """Raises by name where a wanted model task has no runtime; True elsewhere."""
-    return F.when(wanted & missing, F.raise_error(F.lit(f"{task} was asked for and no runtime can run it")).cast("boolean")).otherwise(True)
+    reason = refusal(missing, wanted, task)
+    return F.when(reason.isNotNull(), F.raise_error(reason).cast("boolean")).otherwise(True)
+
+
+def decode_refusal(seconds: Column) -> Column:
+    """Why a stream isn't decoded whole into memory: it is longer than an hour; NULL otherwise."""
+    return F.when(seconds > 3600, F.lit("in-memory decode refused for streams longer than an hour"))
 
 
 def free_mib(d: DataFrame) -> DataFrame:

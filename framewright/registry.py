@@ -16,7 +16,7 @@ MODULES = (
 #: Columns that sum or scale doubles: the order of summation shows in their last bits, so results
 #: and oracles carry them to nine decimals.
 ROUNDED = {
-    "frame_diffs": ("luma", "histogram", "edge", "mad", "score"), "shot_statistics": ("median_seconds",), "frame_times": ("seconds",), "grain": ("sigma", "confidence", "strength", "forced"), "warped": ("value",),
+    "frame_diffs": ("luma", "histogram", "edge", "mad", "score"), "shot_statistics": ("median_seconds",), "frame_times": ("seconds",), "grain": ("sigma", "confidence", "strength", "forced"), "grain_planes": ("sigma", "confidence"), "warped": ("value",),
     "time_instants": ("span",), "audio_chunks": ("ms", "peak_dbfs"), "audio_programme": ("programme", "lra"), "audio_speech": ("threshold_db", "smooth"),
     "audio_remaster": ("speech_ratio", "median_snr", "confidence", "programme", "dialogue", "ldr", "gain_db", "duck_db", "ldr_after", "gain"), "audio_curve": ("gain_db", "duck_db", "gain"),
     "audio_weighted": ("filtered",), "audio_speech_levels": ("speech_db",), "audio_downmix": ("mono", "right"), "audio_roles": ("out",), "segment_progress": ("fraction",), "cadence": ("confidence", "combing"),

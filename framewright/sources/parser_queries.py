@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -141,6 +145,50 @@ SELECT k AS p_partkey, 'enc_' || k || ',aac' AS names, k || '.1' AS version, 'vu
   CASE WHEN k % 2 = 0 THEN concat_ws('.', (raw >> 22) & 1023, (raw >> 14) & 255, (raw >> 6) & 255, raw & 63) ELSE concat_ws('.', (raw >> 22) & 1023, (raw >> 12) & 1023, raw & 4095) END AS driver,
   ['nvidia', 'amd', 'intel', 'unknown'][(k % 4 + 1)::INT] AS vendor, 'tool "' || p_name || '" "" "a\\"b"' AS command FROM p""".replace("\\\\", "\\")
 
+CHANNELS = 3
+
+
+def _files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(path, content): files of 1000 event values each, with a partial last record."""
+    e = read_table(spark, sf_dir, "events").select(F.call_function("div", F.col("event_id"), F.lit(1000).cast("long")).alias("file"), "event_id", (F.round(F.col("value") * 100).cast("long") % 251).alias("v"))
+    files = e.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "v"))), lambda x: x["v"]).alias("v"))
+
+    def content(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            values = [np.asarray(v) for v in pdf["v"]]
+            if kind == "raster":
+                made = [v.astype(np.uint8).tobytes() for v in values]
+            elif kind == "pcm":
+                made = [v.astype("<f4").tobytes() + b"\x00\x01" for v in values]
+            else:
+                made = [P.write_wav(48000, CHANNELS, v.astype(np.float32)) for v in values]
+            yield pd.DataFrame({"path": pdf["file"].astype(str), "content": made})
+
+    return files.mapInPandas(content, "path string, content binary")
+
+
+def raster_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raster records of 7 x 3 bytes; the partial last one ends the stream."""
+    t = P.rasters(_files(spark, sf_dir, "raster"), 7, 3)
+    return t.select("path", "frame_idx", "w", "h", F.array_join("data", ",").alias("data"))
+
+
+def pcm_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Float samples cut to whole frames of three channels."""
+    return P.pcm(_files(spark, sf_dir, "pcm"), CHANNELS).withColumn("sample", F.col("sample").cast("double"))
+
+
+def wav_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through float WAV files, written and read back."""
+    return P.wav(_files(spark, sf_dir, "wav")).withColumn("sample", F.col("sample").cast("double"))
+
+
+_FILES = """e AS (SELECT event_id // 1000 AS file, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS pos, CAST(round(value * 100) AS BIGINT) % 251 AS v, count(*) OVER (PARTITION BY event_id // 1000) AS n FROM events)"""
+ORACLES["raster_scan"] = f"""WITH {_FILES} SELECT file::VARCHAR AS path, pos // 21 AS frame_idx, 7 AS w, 3 AS h, string_agg(v::VARCHAR, ',' ORDER BY pos) AS data FROM e WHERE pos < n // 21 * 21 GROUP BY ALL"""
+for _name in ("pcm_scan", "wav_scan"):
+    ORACLES[_name] = f"WITH {_FILES} SELECT file::VARCHAR AS path, pos // 3 AS frame_idx, (pos % 3)::INT AS ch, v::DOUBLE AS sample FROM e WHERE pos < n // 3 * 3"
+
 QUERIES = {
+    "raster_scan": raster_scan, "pcm_scan": pcm_scan, "wav_scan": wav_scan,
     "manifests": manifests, "inventories": inventories, "summaries": summaries, "progress_blocks": progress, "counters": counters, "loudness_reports": loudness, "capabilities": capabilities,
 }

@@ -21,7 +21,7 @@ OOM_NEEDLES = (
     "out of memory", "cuda out of memory", "cuda_error_out_of_memory", "cannot allocate memory",
     "failed to allocate", "insufficient memory", "vk_error_out_of_device_memory", "not enough memory",
 )
-RETRYABLE = ("io", "timeout", "out_of_memory", "process")
+RETRYABLE = ("ffmpeg", "plugin", "device_memory", "stage")
 
 _S, _M = T.StringType(), T.MapType(T.StringType(), T.StringType())
 _TEXT_FIELDS = (

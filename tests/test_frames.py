@@ -31,6 +31,75 @@ def test_a_cut_after_a_flash():
     assert run([20] * 12 + [250] + [20] * 3 + [120] * 12) == [16]
 
 
+def walk(frames, size, o=V.SceneOptions()):
+    """Cuts by looking up distances between any two frames, for comparison."""
+    n = len(frames)
+    f = np.array(frames, float).reshape(n, size, size)
+    bins = np.array([np.histogram(x, 32, (0, 256))[0] / x.size for x in f])
+    g = np.zeros((n, size, size))
+    g[:, 1:-1, 1:-1] = np.abs(f[:, 1:-1, 2:] - f[:, 1:-1, :-2]) + np.abs(f[:, 2:, 1:-1] - f[:, :-2, 1:-1])
+    marks = g % 256 >= o.edge_threshold
+    hist = lambda i, j: min(np.abs(bins[i] - bins[j]).sum() / 2, 1)
+    mad = lambda i, j: np.abs(f[i] - f[j]).mean()
+    cuts, history, open_, last, shot, run, edges = [], [], None, None, None, 0, None
+    for i in range(n):
+        flash = False
+        if open_:
+            at, value, slow, base = open_
+            if mad(base, i) >= o.mad or hist(base, i) >= 0.6 * o.hard:
+                cuts.append((at, value, slow))
+                history, shot, run = [], 0, 0
+            else:
+                flash = True
+        against, outline = (open_[3], open_[3]) if flash else (last, edges)
+        open_ = None
+        if against is None:
+            value, limit, moved = 0.0, o.hard, False
+        else:
+            h, m = hist(against, i), mad(against, i)
+            value = min(0.5 * h + 0.4 * min((marks[outline] != marks[i]).mean(), 0.5) + 0.6 * m / 255, 1)
+            recent = sorted(history[-o.window :])
+            limit = o.hard
+            if len(recent) >= 4:
+                middle = recent[len(recent) // 2]
+                limit = max(middle + o.k * sorted(abs(x - middle) for x in recent)[len(recent) // 2], o.floor)
+            moved = m >= o.mad and (h >= o.hard or value >= limit)
+        if moved and last is not None and (shot is None or shot >= o.min_shot):
+            open_ = (i, value, run >= o.dissolve_run, last)
+        else:
+            shot = None if shot is None else shot + 1
+            run = run + 1 if value >= limit * o.dissolve_level else 0
+            history.append(value)
+        if flash:
+            last = edges = against
+        else:
+            last, edges = i, i if edges is None else edges
+    return cuts
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_cuts_against_a_walk(spark, batch):
+    size, rng, streams = 6, np.random.default_rng(12), {}
+    for s in range(8):
+        level, frames = 60.0, []
+        for _ in range(150):
+            u = rng.random()
+            level = rng.integers(0, 250) if u < 0.06 else level + rng.normal(0, 4) if u < 0.8 else level
+            shown = rng.integers(0, 250) if rng.random() < 0.04 else level
+            frames.append(np.clip(shown + rng.integers(-9, 10, size * size) * (s % 3), 0, 255).astype(int).tolist())
+        streams[s] = frames
+    rows = [(s, i, size, size, d) for s, frames in streams.items() for i, d in enumerate(frames)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {}
+        for r in V.detect_cuts(spark.createDataFrame(rows, "stream_id long, frame_idx long, w int, h int, data array<int>")).collect():
+            got.setdefault(r.stream_id, []).append((r.cut_idx, round(r.score, 9), r.dissolve))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {s: [(int(i), round(float(v), 9), d) for i, v, d in walk(f, size)] for s, f in streams.items()}
+    assert {s: sorted(c) for s, c in got.items()} == {s: c for s, c in want.items() if c} and sum(map(len, want.values())) > 20
+
+
 def test_edges_wrap_like_bytes(spark):
     data = [0, 0, 0, 0, 0, 0, 0, 255, 0] + [0] * 0
     df = spark.createDataFrame([(data, 3, 3)], "data array<int>, w int, h int")

@@ -19,7 +19,8 @@ def test_query(spark, small, con, name):
     if name in ORACLES:
         same(df, con, ORACLES[name])
     else:
-        assert df.columns and df.count() >= 0
+        assert name == "frame_cuts"  # held against a walk in test_frames
+        assert df.columns == ["stream_id", "cut_idx", "score", "dissolve"] and all(0 <= r.score <= 1 for r in df.collect())
 
 
 def test_oracles_belong_to_queries():
