@@ -64,7 +64,7 @@ def common_shingles(docs: DataFrame, max_common: int = MAX_COMMON, least: int =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        room, total = 2 << 20, 0
+        room, total = 1 << 20, 0
 
         def flush() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
