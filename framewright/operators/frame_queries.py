@@ -88,8 +88,10 @@ def sample_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """8 x 8 rasters resampled to 12 x 5."""
-    return V.resample(pixels(spark, sf_dir), 8, 8, 12, 5)
+    """8 x 8 rasters resampled to 12 x 5; a partial last raster is no frame."""
+    p = pixels(spark, sf_dir)
+    whole = p.groupBy("stream_id", "frame_idx").count().filter("count = 64").select("stream_id", "frame_idx")
+    return V.resample(p.join(whole, ["stream_id", "frame_idx"]), 8, 8, 12, 5)
 
 
 def warped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +151,7 @@ def _taps(src: int, dst: int) -> str:
 
 
 ORACLES["resampled"] = f"""WITH {_PIXELS}, a AS {_taps(8, 12)}, b AS {_taps(8, 5)},
-r AS (SELECT stream_id, frame_idx, y, a.i AS x, sum(value * weight) AS value FROM px JOIN a ON a.src = px.x GROUP BY ALL)
+r AS (SELECT stream_id, frame_idx, y, a.i AS x, sum(value * weight) AS value FROM f JOIN a ON a.src = f.x GROUP BY ALL)
 SELECT stream_id, frame_idx, x, b.i AS y, least(greatest(round(sum(value * weight)), 0), 255)::INT AS value FROM r JOIN b ON b.src = r.y GROUP BY ALL"""
 ORACLES["warped"] = f"""WITH {_PIXELS},
 t AS (SELECT *, least(greatest(x + (value % 9 - 4) / 4, 0), 7)::DOUBLE AS sx, least(greatest(y + (frame_idx % 5 - 2) / 2, 0), 7)::DOUBLE AS sy FROM px),
