@@ -220,16 +220,22 @@ def gated_loudness(rows: DataFrame, key: str = "stream_id", ms: str = "ms") -> D
     return found.select(key, lufs(F.coalesce("second", "first")).alias("gated"), "n")
 
 
-def nearest_rank(values: Column, fraction: float) -> Column:
-    """Element round((n - 1) f) of an array once sorted; NULL of an empty one."""
-    s = F.sort_array(values)
-    return F.when(F.size(s) > 0, F.element_at(s, F.round((F.size(s) - 1) * F.lit(fraction)).cast("int") + 1))
+def nearest(fraction: float) -> Callable[[Column], Column]:
+    """The place of a nearest-rank percentile among n sorted values: round((n - 1) f), from 0."""
+    return lambda n: F.round((n - 1) * F.lit(fraction)).cast("long")
 
 
-def upper_median(values: Column) -> Column:
-    """Element n div 2 (from 0) of an array once sorted; NULL of an empty one."""
-    s = F.sort_array(values)
-    return F.when(F.size(s) > 0, F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1))
+def upper_median(n: Column) -> Column:
+    """The place of the upper median among n sorted values: n div 2, from 0."""
+    return F.call_function("div", n, F.lit(2).cast("long"))
+
+
+def picked(rows: DataFrame, value: Column, key: str = "stream_id", **places: Callable[[Column], Column]) -> DataFrame:
+    """(key, n, a column for each place): values of a key's sorted ones, NULLs left out. Rows are sorted and numbered, so
+    that no array of a key's values is built."""
+    t = rows.select(key, value.alias("v")).filter("v IS NOT NULL")
+    t = t.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("v")) - 1).join(t.groupBy(key).agg(F.count("*").alias("n")), key)
+    return t.groupBy(key, "n").agg(*[F.max(F.when(F.col("at") == place(F.col("n")), F.col("v"))).alias(name) for name, place in places.items()])
 
 
 def loudness_range(chunks: DataFrame, window: int = SHORT_TERM_CHUNKS, hop: int = HOP_CHUNKS) -> DataFrame:
@@ -237,15 +243,13 @@ def loudness_range(chunks: DataFrame, window: int = SHORT_TERM_CHUNKS, hop: int
     short = blocks(chunks, window, hop).select("stream_id", lufs(F.col("ms")).alias("v")).filter(F.col("v") > ABSOLUTE_GATE)
     w = Window.partitionBy("stream_id")
     kept = short.withColumn("threshold", 10 * F.log10(F.avg(F.pow(F.lit(10.0), F.col("v") / 10)).over(w)) - 20).filter("v > threshold")
-    lists = kept.groupBy("stream_id").agg(F.collect_list("v").alias("v"))
-    found = lists.select("stream_id", F.when(F.size("v") >= 2, F.greatest(nearest_rank(F.col("v"), 0.95) - nearest_rank(F.col("v"), 0.10), F.lit(0.0))).otherwise(0.0).alias("lra"))
+    found = picked(kept, F.col("v"), high=nearest(0.95), low=nearest(0.10)).select("stream_id", F.when(F.col("n") >= 2, F.greatest(F.col("high") - F.col("low"), F.lit(0.0))).otherwise(0.0).alias("lra"))
     return chunks.select("stream_id").distinct().join(found, "stream_id", "left").select("stream_id", F.coalesce("lra", F.lit(0.0)).alias("lra"))
 
 
 def speech_threshold(levels: DataFrame, noise: float = 0.20, min_snr: float = 9.0, below_peak: float = 28.0) -> DataFrame:
     """Levels with floor (P20), p95, threshold = max(floor + 9, p95 - 28) and raw = level > threshold."""
-    stats = levels.groupBy("stream_id").agg(F.collect_list("level_db").alias("l"))
-    stats = stats.select("stream_id", nearest_rank(F.col("l"), noise).alias("floor_db"), nearest_rank(F.col("l"), 0.95).alias("p95_db"))
+    stats = picked(levels, F.col("level_db"), floor_db=nearest(noise), p95_db=nearest(0.95)).drop("n")
     stats = stats.withColumn("threshold_db", F.greatest(F.col("floor_db") + min_snr, F.col("p95_db") - below_peak))
     return levels.join(stats, "stream_id").withColumn("raw", F.col("level_db") > F.col("threshold_db"))
 
@@ -308,10 +312,9 @@ def dialogue_loudness(block_rows: DataFrame, mask: DataFrame) -> DataFrame:
 
 def track_summary(masked: DataFrame, min_snr: float = 9.0) -> DataFrame:
     """(stream_id, speech_ratio, median_snr, confidence, notes) of a masked level series."""
-    t = masked.groupBy("stream_id").agg(
-        (F.sum(F.col("mask").cast("int")) / F.count("*")).alias("speech_ratio"), F.collect_list(F.when(F.col("mask"), F.col("level_db") - F.col("floor_db"))).alias("snr")
-    )
-    t = t.select("stream_id", "speech_ratio", F.coalesce(upper_median(F.col("snr")), F.lit(0.0)).alias("median_snr"))
+    t = masked.groupBy("stream_id").agg((F.sum(F.col("mask").cast("int")) / F.count("*")).alias("speech_ratio"))
+    snr = picked(masked, F.when(F.col("mask"), F.col("level_db") - F.col("floor_db")), median_snr=upper_median).drop("n")
+    t = t.join(snr, "stream_id", "left").select("stream_id", "speech_ratio", F.coalesce("median_snr", F.lit(0.0)).alias("median_snr"))
     base = F.least(F.greatest((F.col("median_snr") - min_snr) / 12, F.lit(0.0)), F.lit(1.0))
     by_ratio = F.when(F.col("speech_ratio") < 0.02, 0.0).when(F.col("speech_ratio") > 0.90, base * 0.5).otherwise(base)
     notes = F.array(

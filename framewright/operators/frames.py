@@ -239,9 +239,11 @@ def shot_of(frames: DataFrame, shots: DataFrame) -> DataFrame:
 
 def shot_statistics(shots: DataFrame, fps: float) -> DataFrame:
     """Cuts and the upper median of shot seconds per stream."""
-    seconds = (F.col("end_frame") - F.col("start_frame")) / fps
-    t = shots.groupBy("stream_id").agg((F.count("*") - 1).alias("cuts"), F.sort_array(F.collect_list(seconds)).alias("s"))
-    return t.select("stream_id", "cuts", F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("median_seconds"))
+    lengths = shots.groupBy("stream_id", (F.col("end_frame") - F.col("start_frame")).alias("frames")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("stream_id").orderBy("frames").rowsBetween(Window.unboundedPreceding, 0)
+    t = lengths.withColumn("upto", F.sum("n").over(upto)).join(shots.groupBy("stream_id").agg(F.count("*").alias("all")), "stream_id")
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("frames")))
+    return t.groupBy("stream_id", "all").agg((middle / fps).alias("median_seconds")).select("stream_id", (F.col("all") - 1).alias("cuts"), "median_seconds")
 
 
 def frame_times(frames: DataFrame, pts: DataFrame, fps: float) -> DataFrame:

@@ -146,3 +146,44 @@ def test_a_missing_chunk_is_an_error(spark):
     files = spark.createDataFrame([(1, 0, "a")], "stream_id long, chunk long, path string")
     with pytest.raises(Exception, match="chunk 1 of stream 1 is missing"):
         G.require_chunks(planned, files).collect()
+
+
+def test_a_missing_source_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        P.read_probes(spark, f"{tmp_path}/none").collect()
+
+
+def test_filters_carry_their_state_over_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=1000)
+    for f in (*A.k_weighting(48000.0), A.low_pass(48000, 300), A.high_pass(48000, 6000)):
+        want, _ = f._walk(x, 0.0, 0.0)
+        out, state = [], (0.0, 0.0)
+        for part in np.split(x, [1, 65, 66, 300, 555]):
+            y, state = f.carry(part, state)
+            out.append(y)
+        assert np.allclose(np.concatenate(out), want, atol=1e-10)
+
+
+def test_a_cancelled_job_stops(spark):
+    import time
+
+    failed = []
+
+    def run():
+        spark.sparkContext.setJobGroup("job-7", "a job that is cancelled", interruptOnCancel=True)
+        try:
+            spark.range(0, 1 << 42, 1, 4).selectExpr("sum(hash(id))").collect()
+        except Exception as error:  # noqa: BLE001
+            failed.append(str(error))
+
+    from pyspark import InheritableThread
+
+    worker = InheritableThread(target=run)
+    worker.start()
+    until = time.time() + 60
+    while not spark.sparkContext.statusTracker().getJobIdsForGroup("job-7") and time.time() < until:
+        time.sleep(0.1)
+    J.cancel(spark, "job-7")
+    worker.join(60)
+    assert not worker.is_alive() and failed and "cancel" in failed[0].lower()
