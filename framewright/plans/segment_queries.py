@@ -77,7 +77,7 @@ def padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = got.unionByName(e.select("stream_id", (F.col("total") + F.col("stream_id")).alias("frame_idx"), F.lit(1).cast("long").alias("value")))
     planned = planned.drop("total")
     filled, extra = G.delivered(planned, got)
-    return filled.join(extra, "stream_id")
+    return filled.hint("merge").join(extra.hint("merge"), "stream_id")
 
 
 def concat_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,11 +111,14 @@ def slots(segs: DataFrame, multiplier: int = 2) -> DataFrame:
 
 def delivered(planned: DataFrame, got: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A short stream is padded by its last frame; extra frames are counted. planned (stream_id, frame_idx),
-    got (stream_id, frame_idx, value): (planned rows with value and padded, extras per stream)."""
+    got (stream_id, frame_idx, value): (planned rows with value and padded, extras per stream).
+
+    Frames made by explode count as their stream in Spark's sizes, so the joins ask for sorting: neither
+    side goes through the driver."""
     w = Window.partitionBy("stream_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
-    t = planned.join(got, ["stream_id", "frame_idx"], "left")
+    t = planned.hint("merge").join(got.hint("merge"), ["stream_id", "frame_idx"], "left")
     filled = t.select("stream_id", "frame_idx", F.last("value", ignorenulls=True).over(w).alias("value"), F.col("value").isNull().alias("padded"))
-    extra = got.join(planned, ["stream_id", "frame_idx"], "left_anti").groupBy("stream_id").agg(F.count("*").alias("extra"))
+    extra = got.hint("merge").join(planned.hint("merge"), ["stream_id", "frame_idx"], "left_anti").groupBy("stream_id").agg(F.count("*").alias("extra"))
     return filled, extra
 
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.operators import frames as V
+from framewright.plans import segment_queries
 from framewright.plans import segments as G
 
 
@@ -156,3 +157,9 @@ def test_lanczos_taps_sum_to_one():
         taps = V.lanczos_taps(src, dst)
         assert np.allclose(taps.groupby("dst").weight.sum(), 1.0)
         assert taps.src.between(0, src - 1).all()
+
+
+def test_padding_broadcasts_no_frames(spark, small):
+    df = segment_queries.padding(spark, small)
+    df.collect()
+    assert "SortMergeJoin" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "BroadcastExchange" not in plan
