@@ -81,10 +81,10 @@ def padding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concat_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concatenation lists of each stream's chunks (K6)."""
+    """Concatenation lists of each stream's chunks (K6); files left over have numbers below 0, which no plan has."""
     planned = chunks(spark, sf_dir)
     files = planned.select("stream_id", "chunk", F.concat(F.lit("C:\\it's\\"), "path").alias("path"))
-    files = files.unionByName(files.select("stream_id", (F.col("chunk") + 100_000).alias("chunk"), F.lit("left over").alias("path")))
+    files = files.unionByName(files.select("stream_id", (-1 - F.col("chunk")).alias("chunk"), F.lit("left over").alias("path")))
     return G.concat_list(G.require_chunks(planned, files))
 
 

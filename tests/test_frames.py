@@ -159,6 +159,13 @@ def test_lanczos_taps_sum_to_one():
         assert taps.src.between(0, src - 1).all()
 
 
+def test_left_over_files_never_meet_a_long_streams_chunks(spark, monkeypatch):
+    planned = spark.range(100_003).select(F.lit(1).cast("long").alias("stream_id"), F.col("id").alias("chunk"), G.chunk_path("/work", F.col("id")).alias("path"))
+    monkeypatch.setattr(segment_queries, "chunks", lambda spark, sf_dir: planned)
+    lines = segment_queries.concat_lists(spark, "").first().listing.split("\n")
+    assert len(lines) == 100_003 and not any("left over" in x for x in lines) and lines[-1].endswith("chunk-100002.mkv'")
+
+
 def test_padding_broadcasts_no_frames(spark, small):
     df = segment_queries.padding(spark, small)
     df.collect()
