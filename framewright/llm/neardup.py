@@ -46,8 +46,9 @@ MAX_COMMON = 1 << 20
 BLOCK, WIDE_BLOCK, EXACT_BLOCK, FANOUT = 512, 2048, 4096, 8
 #: Bytes of whole sets in one block of a coarse group, and how many of its sets meet all blocks.
 EXACT_BYTES, LEADS = 16 << 20, 64
-#: Up to so many rows of sets' cells (32 bytes each) are broadcast to the documents; beyond, the join shuffles.
-MAX_BROADCAST_IDS = 1 << 19
+#: Up to so many rows of sets' cells (32 bytes each) are broadcast to the documents; beyond, a filter of their
+#: ids is (16 bits each, 32 MB at most), and only the texts that pass it are shuffled to meet them.
+MAX_BROADCAST_IDS, MAX_FILTER_BITS, SEGMENT, FILTER_SEEDS = 1 << 19, 1 << 28, 1 << 16, (5, 6)
 
 
 def document_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -347,22 +348,65 @@ def _in_cells(rows: DataFrame, key: str, held: str, size: int) -> DataFrame:
     return rows.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("cells", "other", held)
 
 
+def id_filter(nodes: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """(bitmap, bits): two bits for each of about ``n`` nodes, put together in segments by the executors."""
+    bits = min(MAX_FILTER_BITS, max(SEGMENT, 1 << (16 * n - 1).bit_length()))
+    at = F.explode(F.array(*(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(bits)) for seed in FILTER_SEEDS)))
+    held = nodes.select(at.alias("bit")).select((F.col("bit") / SEGMENT).cast("int").alias("segment"), (F.col("bit") % SEGMENT).cast("int").alias("bit"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.column(1):
+                mask = np.zeros(SEGMENT, bool)
+                mask[row.values.to_numpy()] = True
+                out.append(np.packbits(mask, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["segment", "held"])
+
+    rows = held.groupBy("segment").agg(F.collect_set("bit").alias("bits")).mapInArrow(build, "segment int, held binary").toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    for segment, mask in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+        out[segment * SEGMENT // 8 : (segment + 1) * SEGMENT // 8] = np.frombuffer(mask, np.uint8)
+    return out, bits
+
+
+def _passed(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """Rows (node, text) whose node passes the filter of ``nodes``: all of theirs, and a few per cent of others."""
+    held, bits = id_filter(nodes, n)
+    shared = rows.sparkSession.sparkContext.broadcast(held)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.ones(batch.num_rows, bool)
+            for k in range(len(FILTER_SEEDS)):
+                at = batch.column(2 + k).to_numpy()
+                ok &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    hashes = [F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(bits)).alias(f"h{seed}") for seed in FILTER_SEEDS]
+    return rows.filter("node IS NOT NULL").select("node", "text", *hashes).mapInArrow(keep, "node long, text string")
+
+
 def _linked_in(docs: DataFrame, cells: DataFrame) -> DataFrame:
     """Links found in cells (component, left, right, node, known): the documents' texts meet their cells,
-    and their sets go there once."""
-    names = ["component", "left", "right", "node", "known", "set"]
+    go there once, and are made sets there, as a text takes less room than its set."""
+    names = ["component", "left", "right", "node", "set", "known"]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [s.tobytes() for _, s in document_sets(batch.column(5))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary())], names=names)
-
-    if cells.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
-        cells = F.broadcast(cells)
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(cells, "node")
-    dealt = rows.select(*names[:5], "text").mapInArrow(stream, "component long, left int, right int, node long, known long, set binary")
-    dealt = dealt.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "node")
-    return dealt.select("component", "left", "right", "node", "set", "known").mapInArrow(_pair_stream(_exact_round), "a long, b long")
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
+                out = [s.tobytes() for _, s in document_sets(batch.column(4))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary()), batch.column(5)], names=names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
+    n = cells.count()
+    if n <= MAX_BROADCAST_IDS:
+        dealt = rows.join(F.broadcast(cells), "node")
+    else:
+        dealt = _passed(rows, cells, n).hint("merge").join(cells.hint("merge"), "node")
+    dealt = dealt.select("component", "left", "right", "node", "text", "known").repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "node")
+    return dealt.mapInArrow(_pair_stream(lambda batches: _exact_round(stream(batches))), "a long, b long")
 
 
 def exact_components(docs: DataFrame, coarse: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -392,18 +436,9 @@ def exact_components(docs: DataFrame, coarse: DataFrame, sizes: DataFrame) -> Da
     return checkpointed(connected_components(links.unionByName(_linked_in(docs, cells))))
 
 
-def components(docs: DataFrame, keys: int | None = KEYS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs``.
-
-    Null and empty texts and texts without words have an empty set and are their own component. Rows of
-    one doc_id count as one document that has all their sets; rows without an id are linked with nothing
-    and have a null component. Very long texts are read whole. Extra columns are not read; an empty table
-    gives none. ``keys``: how many of its smallest shingles a set meets others by; None for its whole prefix.
-    """
-    keyed = checkpointed(keyed_sets(docs, common_shingles(docs), keys))
-    filled = keyed.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = filled.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "keys", "map")).alias("rep"))
-    reps = checkpointed(reps.select("fp1", "fp2", "n", F.col("rep.doc_id").alias("node"), "rep.keys", "rep.map"))
+def coarse_groups(reps: DataFrame) -> DataFrame:
+    """(node, component) of sets (node, n, keys, map) that could be linked by their bitmaps, in two rounds over
+    the buckets; the tables of the rounds are let go with it."""
     maps = reps.select("node", "n", "map")
     exploded = reps.select("node", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("lead")).filter("held > 1")
@@ -424,9 +459,22 @@ def components(docs: DataFrame, keys: int | None = KEYS) -> DataFrame:
     dealt = _in_cells(rest, "key", "held", WIDE_BLOCK).join(maps, "node").select("key", "left", "right", "node", "n", "map", "component", "block")
     dealt = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "node")
     second = dealt.mapInArrow(_pair_stream(_second_round), "a long, b long").distinct()
-    coarse = checkpointed(connected_components(first.unionByName(second)))
+    return checkpointed(connected_components(first.unionByName(second)))
+
 
-    comps = exact_components(docs, coarse, reps.select("node", "n"))
+def components(docs: DataFrame, keys: int | None = KEYS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs``.
+
+    Null and empty texts and texts without words have an empty set and are their own component. Rows of
+    one doc_id count as one document that has all their sets; rows without an id are linked with nothing
+    and have a null component. Very long texts are read whole. Extra columns are not read; an empty table
+    gives none. ``keys``: how many of its smallest shingles a set meets others by; None for its whole prefix.
+    """
+    keyed = checkpointed(keyed_sets(docs, common_shingles(docs), keys))
+    filled = keyed.filter("n > 0 AND doc_id IS NOT NULL")
+    reps = filled.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "keys", "map")).alias("rep"))
+    reps = checkpointed(reps.select("fp1", "fp2", "n", F.col("rep.doc_id").alias("node"), "rep.keys", "rep.map"))
+    comps = exact_components(docs, coarse_groups(reps), reps.select("node", "n"))
 
     of_set = reps.select("fp1", "fp2", "n", "node").join(comps, "node", "left").select("fp1", "fp2", "n", F.coalesce("component", "node").alias("component"))
     found = filled.select("doc_id", "fp1", "fp2", "n").join(of_set, ["fp1", "fp2", "n"])

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.llm import bloomlm, chat, components, decontaminate, kdshard, licenses, mixing, mpegts, neardup, quality, queries, wrappers
+from framewright.llm import bloomlm, chat, common, components, decontaminate, kdshard, licenses, mixing, mpegts, neardup, quality, queries, wrappers
 from framewright.llm.textkernel import SPACE, hash_words, shingles, text_slices, tokenize
 from tests.compare import connect, same
 
@@ -583,6 +584,28 @@ def test_components_against_brute_force(spark, monkeypatch, blocks):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_only_texts_of_cells_are_shuffled_to_them(spark):
+    rows = spark.range(60_000).select(F.col("id").alias("node"), F.concat(F.lit("text "), "id").alias("text")).unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS node, 'none' AS text"))
+    cells = spark.range(0, 60_000, 20).withColumnRenamed("id", "node")
+    passed = {r.node: r.text for r in neardup._passed(rows, cells, 3000).collect()}
+    assert set(range(0, 60_000, 20)) <= set(passed) and len(passed) < 8000 and all(t == f"text {i}" for i, t in passed.items())
+
+
+def test_finished_steps_leave_no_shuffle_files(spark, monkeypatch):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    data = lambda: sum(f.getName().startswith("shuffle_") for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files.getAllFiles()))
+    monkeypatch.setattr(common, "TIDY_S", 0.0)
+    common.checkpointed(spark.range(100_000).repartition(7, "id")).count()
+    held = data()
+    assert held >= 7
+    common.tidy(spark)
+    for _ in range(50):
+        if data() < held:
+            break
+        time.sleep(0.2)
+    assert data() < held
+
+
 def test_component_edge_cases(docs, none):
     got = neardup.components(docs).collect()
     assert len(got) == docs.count() and neardup.components(none).count() == 0
