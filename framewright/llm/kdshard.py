@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import checkpointed
+from framewright.llm.common import checkpointed, tidy
 
 BINS = 1024
 #: A group of up to this share of a shard's bytes stays whole; a larger one is cut into pieces of the other share.
@@ -70,6 +70,7 @@ def grow(points: DataFrame, dims: list[str], size: str, leaves: int, tolerance:
         here = {n: node for n, node in nodes.items() if n.bit_length() == level and node.leaves > 1}
         if not here:
             break
+        tidy(points.sparkSession)
         open_ = _table(points, [(n,) for n in here], "kd_node long")
         rows = placed.join(open_, "kd_node").groupBy("kd_node").agg(F.sum(size).alias("size"), *stats).collect()
         goals = {}
