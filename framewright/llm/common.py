@@ -31,10 +31,10 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def tidy(spark: SparkSession) -> None:
-    """Has the driver collect its garbage now and then. Spark drops a step's shuffle files and broadcasts only
+def tidy(spark: SparkSession, every: float | None = None) -> None:
+    """Has the driver collect its garbage, at most once in ``every`` seconds (``TIDY_S``). Spark drops a step's shuffle files and broadcasts only
     once the driver has collected the step's plan, which a driver with room to spare may never do."""
-    if time.monotonic() - _tidied[0] >= TIDY_S:
+    if time.monotonic() - _tidied[0] >= (TIDY_S if every is None else every):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         _tidied[0] = time.monotonic()

@@ -17,7 +17,8 @@ passage do not meet in its bucket.
 Pairs that could be linked by the bitmaps' bound (about four bits a shingle) join sets into coarse
 groups; all links lie inside them. This takes two rounds over the buckets, each of which gives only
 pairs that connect something: first each set's first two shared keys, then every bucket that still
-holds several coarse groups. Then each set goes once, whole, to its coarse group, where a finer tree
+holds several coarse groups, from which only sets go that meet another group's set of a size that can be
+linked, in slices, so that their bitmaps' copies never lie on disk all at once. Then each set goes once, whole, to its coarse group, where a finer tree
 and exact counts find the links. Large buckets are dealt in blocks and pairs of blocks, so none has to
 fit a task. A large group is dealt in blocks of so many bytes and sets, each with about ``LEADS`` of the
 group's sets as well, which connects nearly all of a group of near copies; then only what isn't in the
@@ -32,11 +33,12 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import checkpointed
+from framewright.llm.common import checkpointed, tidy
 from framewright.llm.components import connected_components
 from framewright.llm.textkernel import SPACE, mix64, shingles, text_slices, tokenize
 
@@ -49,6 +51,10 @@ EXACT_BYTES, LEADS = 16 << 20, 64
 #: Up to so many rows of sets' cells (32 bytes each) are broadcast to the documents; beyond, a filter of their
 #: ids is (16 bits each, 32 MB at most), and only the texts that pass it are shuffled to meet them.
 MAX_BROADCAST_IDS, MAX_FILTER_BITS, SEGMENT, FILTER_SEEDS = 1 << 19, 1 << 28, 1 << 16, (5, 6)
+#: Sizes that can be linked lie in the same class or in neighbouring ones (above 100 / PERCENT, so rounding is safe).
+SIZE_STEP = 1.26
+#: The second round's bitmaps go in slices of so many bytes, or of so many times the bytes of all sets' bitmaps.
+SLICE_BYTES, SLICE_MAPS = 256 << 20, 2
 
 
 def document_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -290,14 +296,24 @@ def _tree_of(rows: list[tuple]) -> tuple[np.ndarray, SignatureTree]:
 
 
 def _size_bands(rows: list[tuple]) -> Iterator[list[tuple]]:
-    """Rows sorted by size, cut where neighbours are too far apart to be linked."""
-    band: list[tuple] = []
-    for r in sorted(rows, key=lambda r: (r[1], r[0])):
-        if band and 100 * band[-1][1] < PERCENT * r[1]:
-            yield band
-            band = []
-        band.append(r)
-    yield band
+    """Rows sorted by size, cut into runs whose sizes can all be linked with the run's first; each two
+    neighbouring runs together, so all pairs that can be linked share a band, and a band's bitmaps are
+    folded to at least half of what its largest set would have."""
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    runs: list[list[tuple]] = []
+    for r in rows:
+        if not runs or 100 * runs[-1][0][1] < PERCENT * r[1]:
+            runs.append([])
+        runs[-1].append(r)
+    lone = True  # the last run has met none before it
+    for a, b in zip(runs, [*runs[1:], []]):
+        if b and 100 * a[-1][1] >= PERCENT * b[0][1]:
+            yield a + b
+            lone = False
+        else:
+            if lone:
+                yield a
+            lone = True
 
 
 def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
@@ -436,16 +452,52 @@ def exact_components(docs: DataFrame, coarse: DataFrame, sizes: DataFrame) -> Da
     return checkpointed(connected_components(links.unionByName(_linked_in(docs, cells))))
 
 
+def _size_class() -> Column:
+    return F.floor(F.log(F.col("n")) / math.log(SIZE_STEP)).cast("int")
+
+
+def _open_members(members: DataFrame, coarse: DataFrame) -> DataFrame:
+    """(key, node, n, component, held) of the members that meet a set of another coarse group, of a size they
+    could be linked with, under their key; keys of more than ``WIDE_BLOCK`` such sets are parted by sizes."""
+    placed = members.join(coarse, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"), _size_class().alias("class"))
+    beside = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
+    near = placed.groupBy("key", "class").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).select("key", beside, "lo", "hi")
+    near = near.groupBy("key", "class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("key", "class")
+    rest = placed.join(near, ["key", "class"], "left_semi")
+    rest = rest.join(rest.groupBy("key").agg(F.count("*").alias("held")), "key")
+    wide = F.col("held") > WIDE_BLOCK
+    rest = rest.withColumn("window", F.explode(F.when(wide, F.array(F.col("class") - 1, F.col("class"))).otherwise(F.array(F.lit(None).cast("int")))))
+    rest = rest.select(F.when(wide, F.xxhash64("key", "window")).otherwise(F.col("key")).alias("key"), "node", "n", "component")
+    return rest.join(rest.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "key")
+
+
+def _second_pairs(rest: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs that connect coarse groups under the open keys; slices of the keys go one after the other, each
+    with a bounded share of the copies of bitmaps, and leave only their pairs."""
+    room = F.least(F.col("n"), F.lit(8192)) + 64
+    copies = rest.agg(F.sum(F.ceil(F.col("held") / WIDE_BLOCK) * room)).first()[0] or 0
+    slices = max(1, -(-int(copies) // max(SLICE_BYTES, SLICE_MAPS * int(maps.agg(F.sum(room)).first()[0] or 0))))
+    found = None
+    for k in range(slices):
+        part = rest.filter(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(slices)) == k).drop("n")
+        dealt = _in_cells(part, "key", "held", WIDE_BLOCK).join(maps, "node").select("key", "left", "right", "node", "n", "map", "component", "block")
+        dealt = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "node")
+        pairs = checkpointed(dealt.mapInArrow(_pair_stream(_second_round), "a long, b long").distinct())
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 def coarse_groups(reps: DataFrame) -> DataFrame:
     """(node, component) of sets (node, n, keys, map) that could be linked by their bitmaps, in two rounds over
     the buckets; the tables of the rounds are let go with it."""
     maps = reps.select("node", "n", "map")
-    exploded = reps.select("node", F.explode("keys").alias("key"))
+    exploded = reps.select("node", "n", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("lead")).filter("held > 1")
     members = checkpointed(exploded.join(shared, "key"))
 
     firsts = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, ROUND_KEYS).alias("own"))
-    chosen = members.join(firsts, "node").filter(F.array_contains("own", F.col("key")) | (F.col("node") == F.col("lead"))).drop("own")
+    followers = members.drop("n").join(firsts, "node").filter(F.array_contains("own", F.col("key")) & (F.col("node") != F.col("lead"))).drop("own")
+    chosen = followers.unionByName(followers.select("key", F.col("lead").alias("node"), "held", "lead").distinct())
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     own_block = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))
     chosen = chosen.select("key", F.explode(own_block).alias("block"), "node").join(maps, "node").select("key", "block", "node", "n", "map")
@@ -453,12 +505,8 @@ def coarse_groups(reps: DataFrame) -> DataFrame:
     first = checkpointed(chosen.mapInArrow(_pair_stream(_first_round), "a long, b long").distinct())
     coarse = checkpointed(connected_components(first))
 
-    placed = members.join(coarse, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = placed.join(open_keys, "key", "left_semi").select("key", "node", "component", "held")
-    dealt = _in_cells(rest, "key", "held", WIDE_BLOCK).join(maps, "node").select("key", "left", "right", "node", "n", "map", "component", "block")
-    dealt = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "node")
-    second = dealt.mapInArrow(_pair_stream(_second_round), "a long, b long").distinct()
+    rest = checkpointed(_open_members(members, coarse))
+    second = _second_pairs(rest, maps)
     return checkpointed(connected_components(first.unionByName(second)))
 
 
@@ -482,13 +530,38 @@ def components(docs: DataFrame, keys: int | None = KEYS) -> DataFrame:
     return found.select("doc_id", "n", "component").unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def _parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose doc_id is not among the distinct ``ids``, and those whose is. Rows stay where they are: the ids
+    are broadcast, or else a filter of them is, and only rows that pass it are shuffled to meet them."""
+    n = ids.count()
+    if n <= MAX_BROADCAST_IDS:
+        return tuple(docs.join(F.broadcast(ids), "doc_id", kind) for kind in ("left_anti", "left_semi"))
+    held, bits = id_filter(ids.select(F.col("doc_id").alias("node")), n)
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def passes(one: pd.Series, other: pd.Series) -> pd.Series:
+        ok = np.ones(len(one), bool)
+        for at in (one.to_numpy(), other.to_numpy()):
+            ok &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return pd.Series(ok)
+
+    suspect = passes(*(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(bits)) for seed in FILTER_SEEDS))
+    met = docs.filter(suspect).hint("merge")
+    out = docs.filter(~suspect).unionByName(met.join(ids.hint("merge"), "doc_id", "left_anti").select(*docs.columns))
+    return out, met.join(ids.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component stays, the one with the smallest id; all columns are kept, whatever
     their names. Rows without an id all stay, as do null and empty texts; of repeated rows of an id one
     stays. An empty table gives none."""
     found = checkpointed(components(docs).filter("doc_id IS NOT NULL"))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    tidy(docs.sparkSession, 0)
+    kept, _ = _parted(docs, found.filter("doc_id <> component_id").select("doc_id").distinct())
+    kept = kept.select(*docs.columns)
+    again = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.limit(1).count():
+        once, repeated = _parted(kept, again)
+        kept = once.select(*docs.columns).unionByName(repeated.select(*docs.columns).dropDuplicates(["doc_id"]))
     return kept

@@ -584,6 +584,74 @@ def test_components_against_brute_force(spark, monkeypatch, blocks):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+@pytest.mark.parametrize("wide", [3, 2048])
+def test_only_sets_that_could_link_another_group_are_dealt(spark, monkeypatch, wide):
+    monkeypatch.setattr(neardup, "WIDE_BLOCK", wide)
+    rng = np.random.default_rng(11)
+    sizes = [4, 5, 1024, 1280, 64, 81, *(int(x) for x in np.exp(rng.uniform(0, 9, 60)))]
+    members = [(7, i, n) for i, n in enumerate(sizes)] + [(9, i, 10 * 2**i) for i in range(8)] + [(8, 0, 4), (8, 1, 5)]
+    group = {i: i // 2 * 2 if i >= 8 else i for i in range(len(sizes))} | {1: 0}
+    df = spark.createDataFrame(members, "key long, node long, n long").withColumns({"held": F.lit(1), "lead": F.lit(0)})
+    coarse = spark.createDataFrame([(i, c) for i, c in group.items() if i % 3], "node long, component long")
+    label = {i: c if i % 3 else i for i, c in group.items()}
+    rest = neardup._open_members(df, coarse).collect()
+    met = {}
+    for r in rest:
+        met.setdefault(r.key, []).append(r)
+        assert r.component == label[r.node]
+    assert all(r.held == len(met[r.key]) for r in rest)
+    together = {(a.node, b.node) for rows in met.values() for a in rows for b in rows}
+    want = {(i, j) for k, i, n in members for q, j, m in members if k == q and label[i] != label[j] and 100 * n >= 80 * m and 100 * m >= 80 * n}
+    assert want and want <= together
+    assert not met.keys() & {8, 9} and (wide == 3 or set(met) == {7})
+
+
+def test_bands_hold_all_sizes_that_link():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        rows = [(i, int(n)) for i, n in enumerate(np.exp(rng.uniform(0, float(rng.uniform(0.1, 9)), int(rng.integers(1, 40)))))]
+        bands = list(neardup._size_bands(rows))
+        together = {(a, b) for band in bands for a in band for b in band}
+        assert {(a, b) for a in rows for b in rows if 100 * a[1] >= 80 * b[1] and 100 * b[1] >= 80 * a[1]} <= together
+        assert all(2 * min(r[1] for r in band) > max(r[1] for r in band) for band in bands)
+
+
+def test_second_round_in_slices_finds_the_same_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, 40, dtype=np.uint64)) for _ in range(30)]
+    rows = [(i, 40, bytes(neardup.bitmap(sets[i // 4], 256))) for i in range(120)]
+    maps = spark.createDataFrame(rows, "node long, n long, map binary")
+    rest = spark.createDataFrame([(i // 8, i, 40, i, 8) for i in range(120)], "key long, node long, n long, component long, held long")
+    steps = []
+    monkeypatch.setattr(neardup, "checkpointed", lambda df: steps.append(1) or common.checkpointed(df))
+    whole = {tuple(r) for r in neardup._second_pairs(rest, maps).collect()}
+    assert len(steps) == 1 and len(whole) >= 90
+    monkeypatch.setattr(neardup, "SLICE_BYTES", 1200)
+    monkeypatch.setattr(neardup, "SLICE_MAPS", 0)
+    assert {tuple(r) for r in neardup._second_pairs(rest, maps).collect()} == whole and len(steps) == 1 + 11
+
+
+@pytest.mark.parametrize("most", [2, 1 << 19])
+def test_kept_documents_are_not_shuffled(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "MAX_BROADCAST_IDS", most)
+    texts = [f"w{i} " * 3 + " ".join(f"t{i}x{j}" for j in range(40)) for i in range(400)]
+    rows = [(2 * i + k, t) for i, t in enumerate(texts) for k in range(1 + (i < 20))]
+    docs = spark.createDataFrame([*rows, rows[0], rows[500 % len(rows)], (None, "a b")], "doc_id long, text string").repartition(3).cache()
+    docs.count()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = neardup.keep_one(docs)
+        assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [2 * i for i in range(400)]
+        assert kept.filter("doc_id IS NULL").count() == 1
+        kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (most == 2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        docs.unpersist()
+
+
 def test_only_texts_of_cells_are_shuffled_to_them(spark):
     rows = spark.range(60_000).select(F.col("id").alias("node"), F.concat(F.lit("text "), "id").alias("text")).unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS node, 'none' AS text"))
     cells = spark.range(0, 60_000, 20).withColumnRenamed("id", "node")
